@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD_BREAK = r"[^\p{L}\p{M}]+"
 
@@ -48,7 +49,7 @@ def script_counts(text: Column) -> dict[str, Column]:
     return counts
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
@@ -80,14 +81,6 @@ def word_ngrams(word: Column) -> Column:
     return F.concat(whole, *[of_size(n) for n in range(MIN_N, MAX_N + 1)])
 
 
-def word_token_total(word: Column) -> Column:
-    """How many features ``word_ngrams`` yields, without building them."""
-    total = F.when(F.length(word) <= MAX_WORD_FEATURE, F.lit(1)).otherwise(F.lit(0))
-    for n in range(MIN_N, MAX_N + 1):
-        total = total + F.greatest(F.length(word) + 3 - n, F.lit(0))
-    return total
-
-
 def _fold_pairs() -> tuple[str, str]:
     """Accented lower-case letter -> base letter, derived from the Unicode decompositions."""
     source, target = [], []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.functions.scan import running_sum
 from corpusflow.functions.text import is_blank
 from corpusflow.operators.retrieve import chunk_counts
 
@@ -32,7 +33,7 @@ def is_index(xml: Column) -> Column:
 
 
 def loc_values(xml: Column) -> Column:
-    return F.transform(F.regexp_extract_all(xml, F.lit(r"(?i)<loc>(.*?)</loc>"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(xml, F.lit(r"(?i)<loc>(.*?)</loc>"), F.lit(1)), lambda u: F.trim(u))
 
 
 def url_entries(xml: Column) -> Column:
@@ -146,10 +147,8 @@ def step_durations(steps: DataFrame) -> DataFrame:
     steps(run_id, agent, kind, phase, elapsed_ms, duration_ms, status); an end without a
     duration takes the difference of the elapsed times; a start without an end stays running.
     """
-    from pyspark.sql import Window
-
-    nth = Window.partitionBy("run_id", "agent", "phase").orderBy("elapsed_ms")
-    numbered = steps.withColumn("occurrence", F.row_number().over(nth))
+    numbered = running_sum(steps.withColumn("_one", F.lit(1)), ["run_id", "agent", "phase"],
+                           "elapsed_ms", "_one", "occurrence").drop("_one")
     start, end = F.col("phase") == "start", F.col("phase") == "end"
     paired = numbered.groupBy("run_id", "agent", "occurrence").agg(
         F.coalesce(F.max(F.when(end, F.col("kind"))), F.max("kind")).alias("kind"),

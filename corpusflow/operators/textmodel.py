@@ -31,10 +31,15 @@ MAX_LABELS = 500
 
 # ---------------------------------------------------------------- features
 
+def gram_rows(words: DataFrame, *columns: str) -> DataFrame:
+    """(columns, ngram): the features of the composed form of ``word``."""
+    composed = words.select(*columns, tx.nfc(F.col("word")).alias("_composed"))
+    return composed.select(*columns, F.explode(tx.word_ngrams(F.col("_composed"))).alias("ngram"))
+
+
 def char_ngrams(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """TF1: (keys, ngram, n). Words are counted first, so n-grams are built once per distinct word."""
-    counted = tx.word_counts(df, keys, text)
-    grams = counted.select(*keys, "n", F.explode(tx.word_ngrams(tx.nfc(F.col("word")))).alias("ngram"))
+    grams = gram_rows(tx.word_counts(df, keys, text), *keys, "n")
     return grams.groupBy(*keys, "ngram").agg(F.sum("n").alias("n"))
 
 
@@ -165,7 +170,7 @@ def train_nb(labeled: DataFrame, smoothing: float = LANGUAGE_SMOOTHING, label: s
         raise ValueError(f"more than {MAX_LABELS} labels")
     labels = sorted(docs)
     by_word = tx.word_counts(data, ["label"], "text", F.col("_weight"))
-    grams = by_word.select("label", "n", F.explode(tx.word_ngrams(tx.nfc(F.col("word")))).alias("ngram"))
+    grams = gram_rows(by_word, "label", "n")
     wide = grams.groupBy("ngram").agg(*[
         F.sum(F.when(F.col("label") == name, F.col("n"))).alias(f"c{i}") for i, name in enumerate(labels)])
     wide = cut_lineage(wide)
@@ -178,18 +183,18 @@ def train_nb(labeled: DataFrame, smoothing: float = LANGUAGE_SMOOTHING, label: s
 
 
 def score_words(words: DataFrame, model: NBModel) -> DataFrame:
-    """Per distinct word: log-score gain over "unseen", seen tokens and word-feature hit, per label."""
-    grams = words.select("word", F.explode(tx.word_ngrams(tx.nfc(F.col("word")))).alias("ngram")) \
-        .groupBy("word", "ngram").agg(F.count(F.lit(1)).alias("n"))
+    """Per distinct word: its token counts and, per label, the log-score gain over "unseen", the
+    seen tokens and whether the word feature is known."""
+    grams = gram_rows(words, "word").groupBy("word", "ngram").agg(F.count(F.lit(1)).alias("n"))
     table = model.counts.select("ngram", *[model.log_likelihood(i).alias(f"p{i}")
                                            for i in range(len(model.labels))])
-    sums = []
+    sums = [F.sum("n").alias("t"), F.max(F.when(F.col("ngram").startswith("w:"), 1).otherwise(0)).alias("wt")]
     for i in range(len(model.labels)):
         present = F.col(f"p{i}").isNotNull()
         sums += [F.sum(F.when(present, F.col("n") * (F.col(f"p{i}") - model.unseen(i))).otherwise(0.0)).alias(f"g{i}"),
                  F.sum(F.when(present, F.col("n")).otherwise(0)).alias(f"s{i}"),
                  F.max(F.when(present & F.col("ngram").startswith("w:"), 1).otherwise(0)).alias(f"w{i}")]
-    return grams.join(table, "ngram").groupBy("word").agg(*sums)
+    return grams.join(table, "ngram", "left").groupBy("word").agg(*sums)
 
 
 def score_nb(df: DataFrame, model: NBModel, key: str = "doc_id", text: str = "text",
@@ -204,14 +209,11 @@ def score_nb(df: DataFrame, model: NBModel, key: str = "doc_id", text: str = "te
     vocabulary = per_text.select("word").distinct()
     gains = score_words(vocabulary, model).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = per_text.withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).cast("int"))
-    joined = salted.join(gains, ["word", "_salt"], "left")
+    joined = salted.join(gains, ["word", "_salt"])
     n, count = F.col("n"), len(model.labels)
-    sums = [F.sum(n * tx.word_token_total(F.col("word"))).alias("tokens"),
-            F.sum(F.when(F.length("word") <= tx.MAX_WORD_FEATURE, n).otherwise(0)).alias("word_tokens")]
+    sums = [F.sum(n * F.col("t")).alias("tokens"), F.sum(n * F.col("wt")).alias("word_tokens")]
     for i in range(count):
-        sums += [F.sum(n * F.coalesce(f"g{i}", F.lit(0.0))).alias(f"g{i}"),
-                 F.sum(n * F.coalesce(f"s{i}", F.lit(0))).alias(f"s{i}"),
-                 F.sum(n * F.coalesce(f"w{i}", F.lit(0))).alias(f"w{i}")]
+        sums += [F.sum(n * F.col(f"{c}{i}")).alias(f"{c}{i}") for c in "gsw"]
     summed = joined.groupBy(key).agg(*sums)
     return summed.select(
         key, "tokens", "word_tokens",

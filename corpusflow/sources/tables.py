@@ -30,7 +30,7 @@ def lookup(df: DataFrame, keys: DataFrame, on: str, active_only: bool = False) -
 def match_domain(tenants: DataFrame, hosts: DataFrame) -> DataFrame:
     """SRC3: (host, tenant_id) where the domain or any allowed domain equals the host without case."""
     names = tenants.select("tenant_id", F.explode(
-        F.array_distinct(F.transform(F.concat(F.array("domain"), F.coalesce("allowed_domains", F.array())), F.lower)))
+        F.array_distinct(F.transform(F.concat(F.array("domain"), F.coalesce("allowed_domains", F.array())), lambda d: F.lower(d))))
         .alias("_host"))
     return hosts.select("host", F.lower("host").alias("_host")).join(names, "_host").select("host", "tenant_id")
 

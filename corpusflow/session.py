@@ -16,6 +16,8 @@ def build_session(app: str = "corpusflow", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # n-gram expansion grows rows ~30x after a small shuffle: keep such stages parallel
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     if master:
         builder = builder.master(master)

@@ -119,7 +119,7 @@ STICKY_MIN = 0.12
 MAX_CLOSE = 4
 AFFIRMATIVES = ["ja", "yes", "oui", "sí", "si", "ok", "okay", "gerne", "sure", "jo", "yep", "yeah",
                 "ja bitte", "yes please", "bitte"]
-# Codes that a caller may choose by name; the spoken names are a parameter (language, names).
+# Names by which a caller may choose a language.
 CHOICE_NAMES = [
     ("de", ["deutsch", "german", "allemand", "tedesco", "duits", "alemán", "aleman", "német", "niemiecki",
             "německy", "nemecko"]),
@@ -147,7 +147,25 @@ CHOICE_NAMES = [
     ("uk", ["українська", "ukrainian", "ukrainisch"]),
     ("bg", ["български", "bulgarian", "bulgarisch"]),
     ("sr", ["српски", "serbian", "serbisch"]),
+    ("bs", ["bosanski", "bosnian", "bosnisch"]),
+    ("mk", ["македонски", "macedonian", "mazedonisch"]),
+    ("sq", ["shqip", "albanian", "albanisch"]),
+    ("et", ["eesti", "estonian", "estnisch"]),
+    ("lv", ["latviešu", "latvian", "lettisch"]),
+    ("lt", ["lietuvių", "lithuanian", "litauisch"]),
+    ("ga", ["gaeilge", "irish", "irisch"]),
+    ("cy", ["cymraeg", "welsh", "walisisch"]),
+    ("is", ["íslenska", "icelandic", "isländisch"]),
+    ("mt", ["malti", "maltese", "maltesisch"]),
     ("ca", ["català", "catalan", "katalanisch"]),
+    ("gl", ["galego", "galician", "galicisch"]),
+    ("eu", ["euskara", "basque", "baskisch"]),
+    ("lb", ["lëtzebuergesch", "luxembourgish", "luxemburgisch"]),
+    ("fy", ["frysk", "frisian", "friesisch", "westfriesisch"]),
+    ("rm", ["rumantsch", "romansh", "rätoromanisch"]),
+    ("be", ["беларуская", "belarusian", "weißrussisch"]),
+    ("hy", ["հայերեն", "armenian", "armenisch"]),
+    ("ka", ["ქართული", "georgian", "georgisch"]),
 ]
 
 # Distance patterns, radii and the gazetteer (name, kind, lat, lng, aliases).

@@ -102,7 +102,7 @@ def cr1_bfs_capped(spark, sf):
 def _crawled(spark, sf):
     """Documents as crawled chunks of some hundred sites."""
     return table(spark, sf, "documents").select(
-        F.concat(F.lit("t"), F.crc32("source") % 7, F.lit("_"), F.col("doc_id") % 50).alias("tenant_id"),
+        F.concat(F.lit("t"), F.col("doc_id") % 7, F.lit("_"), F.col("doc_id") * F.col("doc_id") % 50).alias("tenant_id"),
         F.col("text").alias("content"), F.concat(F.lit("https://Site/"), "doc_id").alias("source_url"),
         (F.col("n_chars") % 4 != 0).alias("is_active"))
 
@@ -207,7 +207,24 @@ _BFS = """g AS (SELECT page_id, unnest([(page_id * 2 + 1) % n, (page_id * 3 + 2)
     walk AS (SELECT page_id % 3 AS t, page_id, 0 AS depth, [0] AS path FROM pages WHERE page_id < 3
         UNION SELECT t, target, depth + 1, list_append(path, pos) FROM walk JOIN g USING (page_id) WHERE depth < {depth}),
     visit AS (SELECT t, page_id, min(depth) AS depth, min([depth] || path) AS path FROM walk GROUP BY ALL)"""
-_CRAWLED_TENANT = """p AS (SELECT doc_id, text AS content, n_chars % 4 <> 0 AS is_active, 'https://Site/' || doc_id AS source_url, tenant_id FROM documents JOIN site USING (doc_id))"""
+_CRAWLED = """crawled AS (SELECT 't' || (doc_id % 7) || '_' || (doc_id * doc_id % 50) AS tenant_id, text AS content,
+    'https://Site/' || doc_id AS source_url, n_chars % 4 <> 0 AS is_active FROM documents)"""
+# every page of the tables has its content in <main> or <article>; boilerplate is not nested
+_PARSED = r"""raw AS (SELECT page_id, url, regexp_replace(html, '(?s)<(script|style|nav|header|footer|aside|form|iframe)\b.*?</(script|style|nav|header|footer|aside|form|iframe)>', '<x>', 'g') AS h,
+        regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS rawtitle FROM pages),
+    roots AS (SELECT *, CASE WHEN contains(h, '<main') THEN regexp_extract(h, '(?s)<main[^>]*>(.*?)</main>', 1) ELSE regexp_extract(h, '(?s)<article[^>]*>(.*?)</article>', 1) END AS root FROM raw),
+    nodes AS (SELECT page_id, url, rawtitle, array_to_string(list_filter(list_transform(string_split_regex(root, '<!--.*?-->|<[^>]*>'),
+        lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))), lambda x: length(x) > 3), chr(10)) AS c FROM roots),
+    decoded AS (SELECT page_id, url, replace(replace(replace(replace(replace(rawtitle, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&') AS t,
+        replace(replace(replace(replace(replace(c, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&') AS c FROM nodes),
+    parsed AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS title,
+        regexp_replace(regexp_replace(regexp_replace(c, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t\r\f\v\x{A0}]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS content FROM decoded),
+    host AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host FROM pages)"""
+_CHUNKS = f"""{_PARSED}, made AS (SELECT sha256('hotel_' || replace(regexp_replace(host, '^www\\.', ''), '.', '_') || '|' || url) AS chunk_id,
+    'hotel_' || replace(regexp_replace(host, '^www\\.', ''), '.', '_') AS tenant_id, url AS source_url, page_id, title,
+    CASE WHEN length(content) <= 15000 THEN content ELSE CASE WHEN 15000 - instr(reverse(substr(content, 1, 15000)), '.') > 12000
+        THEN substr(content, 1, 15000 - instr(reverse(substr(content, 1, 15000)), '.') + 1) ELSE substr(content, 1, 15000) END END AS content
+    FROM parsed JOIN host USING (page_id) WHERE length(content) >= 50)"""
 
 SQL = {
     "ex1_resource_filter": """WITH u AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '[?#].*$', '') || '.PDF' ELSE url END AS url FROM pages)
@@ -223,7 +240,34 @@ SQL = {
         r AS (SELECT doc_id, CASE WHEN length(text) <= 1500 THEN text WHEN pa > 1200 THEN substr(a, 1, pa + 1) ELSE a END AS x,
             CASE WHEN length(text) <= 2000 THEN text WHEN pb > 1600 THEN substr(b, 1, pb + 1) ELSE b || '...' END AS y FROM l)
         SELECT doc_id, length(x) AS n, sha256(x) AS hash, length(y) AS m, sha256(y) AS mid_hash FROM r""",
-    "ex10_links": None,
+    "ex2_parsed_pages": f"""WITH {_PARSED}, l AS (SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS n_links FROM pages)
+        SELECT page_id, title, sha256(content) AS content_hash, length(content) AS n, n_links::BIGINT AS n_links FROM parsed JOIN l USING (page_id)""",
+    "ex_extract_chunks": f"WITH {_CHUNKS} SELECT chunk_id, tenant_id, source_url, length(content) AS n, 'de' AS language FROM made",
+    "ex10_links": """WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href,
+            unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)))) AS o FROM pages),
+        f AS (SELECT page_id, url, href, min(o) AS o FROM l GROUP BY ALL),
+        r AS (SELECT url, (row_number() OVER (PARTITION BY page_id ORDER BY o) - 1)::INTEGER AS position, regexp_extract(url, '^https?://[^/]+') || href AS link FROM f)
+        SELECT url, position, link FROM r WHERE NOT contains(link, '#')""",
+    "cr3_sitemap_crawl": f"WITH {_CHUNKS} SELECT 't' AS tenant_id, source_url, length(content) AS n FROM made WHERE page_id % 3 <> 0",
+    "cr4_incremental_urls": f"""WITH {_CRAWLED}, c AS (SELECT tenant_id, lower(source_url) AS url FROM crawled UNION ALL SELECT tenant_id, source_url || '/x' FROM crawled)
+        SELECT tenant_id, url FROM c WHERE (tenant_id, lower(url)) NOT IN (SELECT (tenant_id, lower(source_url)) FROM crawled WHERE is_active)""",
+    "cr5_plan": f"""WITH {_CRAWLED} SELECT tenant_id, CASE WHEN count(*) FILTER (length(content) > 3000) > 0 THEN 'sitemap' WHEN right(tenant_id, 1) = '1' THEN 'nothing' ELSE 'links' END AS mode
+        FROM crawled GROUP BY tenant_id""",
+    "cr6_recrawl": f"""WITH {_CRAWLED}, fresh AS (SELECT * FROM crawled WHERE source_url LIKE '%1' AND tenant_id LIKE 't1%')
+        SELECT tenant_id, source_url, substr(content, 1, 20) AS content, 0 AS crawled_at FROM crawled WHERE tenant_id NOT IN (SELECT tenant_id FROM fresh)
+        UNION ALL SELECT tenant_id, source_url, substr(content, 4, 20), 3 FROM fresh""",
+    "cr7_quality_verdict": f"""WITH {_CRAWLED}, e AS (SELECT tenant_id, CAST(floor(max(length(source_url)) * count(*) / 6) AS BIGINT) AS expected FROM crawled GROUP BY ALL),
+        s AS (SELECT tenant_id, count(*) FILTER (is_active AND length(content) < 2500) AS pages,
+            coalesce(avg(length(content)) FILTER (is_active AND length(content) < 2500), 0) AS avg_length FROM crawled GROUP BY ALL),
+        r AS (SELECT *, CASE WHEN pages < 3 THEN 'few_pages' WHEN expected > 0 AND pages < expected * 0.2 THEN 'low_coverage'
+            WHEN avg_length < 500 THEN 'short_content' END AS reason FROM s JOIN e USING (tenant_id))
+        SELECT tenant_id, pages, round(avg_length, 4) AS avg_length, expected, reason, reason IS NOT NULL AS retry FROM r""",
+    "cr8_rendered_retry": f"""WITH {_CHUNKS} SELECT 't' || (page_id % 40) AS tenant_id, count(*) AS chunks, CAST(sum(length(content)) AS BIGINT) AS chars
+        FROM made GROUP BY ALL""",
+    "cr9_job_progress": f"""WITH {_CRAWLED}, n AS (SELECT tenant_id, count(*) AS n FROM crawled GROUP BY ALL)
+        SELECT substr(tenant_id, 1, 2) AS job_id, count(*) AS total, count(*) FILTER (n >= 2) AS processed, count(*) FILTER (n > 2) AS succeeded,
+        count(*) FILTER (n = 2) AS failed, CAST(coalesce(sum(n) FILTER (n > 2), 0) AS BIGINT) AS pages,
+        CASE WHEN count(*) FILTER (n >= 2) < count(*) THEN 'running' ELSE 'completed' END AS status FROM n GROUP BY ALL""",
     "ex11_render_signals": """WITH h AS (SELECT page_id, lower(html || CASE WHEN page_id % 4 = 0 THEN '<img Loading="lazy">' ELSE '' END) AS l FROM pages)
         SELECT page_id, concat_ws('|', CASE WHEN contains(l, 'react') THEN 'React' END, CASE WHEN contains(l, 'vue') THEN 'Vue' END,
         CASE WHEN contains(l, 'angular') THEN 'Angular' END, CASE WHEN contains(l, 'next.js') THEN 'Next.js' END,
@@ -237,6 +281,4 @@ SQL = {
     "cr1_bfs": "WITH RECURSIVE " + _BFS.format(depth=4) + " SELECT 't' || t AS tenant_id, '/P' || page_id AS url, depth FROM visit",
     "cr1_bfs_capped": "WITH RECURSIVE " + _BFS.format(depth=5) + """ SELECT 't' || t AS tenant_id, '/P' || page_id AS url, depth FROM visit
         WHERE page_id % 5 <> 2 QUALIFY row_number() OVER (PARTITION BY t ORDER BY depth, path) <= 10""",
-    "cr9_job_progress": None,
 }
-SQL = {name: sql for name, sql in SQL.items() if sql}

@@ -92,3 +92,29 @@ CTE = {
 
 def with_(*names: str) -> str:
     return "WITH " + ",\n".join(CTE[n] for n in names)
+
+
+# Phrases that are mixed into the conversation turns, so that tags and intents occur.
+PHRASES = [
+    "Welche Hotels kennst du in Tirol?", "Something in Carinthia please", "Wieviele Zimmer gibt es dort?",
+    "so nah an Salzburg-Stadt wie möglich", "nahe Salzburg-Stadt mit Skilift vor dem Hotel",
+    "Which hotel is closest to Zell am See?", "more sources please", "Which hotels do you know?",
+    "Ich suche ein Hotel mit Sauna in Tirol", "Hotel near Kaprun or near a ski area",
+    "nähe zu Innsbruck und Seefeld", "near a skigebiet, close to Mondsee", "Hotel nation_4 bitte", "ok",
+    "English please", "Hotels in Salzburg", "Was kostet Hotel NATION_1 oder NATION_12?", "NATION_2 und NATION_3",
+    "close to Wien with sauna", "unweit Innsbruck, pool und Skigebiet",
+]
+
+
+def turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversation turns; every text ends in a phrase, every second one is the phrase alone."""
+    pick = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), ((F.col("conv_id") * 3 + F.col("turn") * 7) % len(PHRASES) + 1).cast("int"))
+    alone = (F.col("conv_id") + F.col("turn")) % 2 == 0
+    return table(spark, sf, "conversations").select(
+        F.concat(F.lit("s"), "conv_id").alias("session_id"), "turn", "role",
+        F.when(alone, pick).otherwise(F.concat("text", F.lit(" "), pick)).alias("text"))
+
+
+_LIST = ", ".join("'" + p + "'" for p in PHRASES)
+CTE["turns"] = f"""turns AS (SELECT 's' || conv_id AS session_id, turn, role, CASE WHEN (conv_id + turn) % 2 = 0 THEN p ELSE text || ' ' || p END AS text
+    FROM (SELECT *, [{_LIST}][(conv_id * 3 + turn * 7) % {len(PHRASES)} + 1] AS p FROM conversations))"""

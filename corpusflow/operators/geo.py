@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -13,6 +14,7 @@ from corpusflow import defaults as d
 from corpusflow.functions.text import strip
 from corpusflow.operators.retrieve import search
 from corpusflow.operators.turns import has_strong_filter
+from corpusflow.session import cut_lineage
 
 TARGET = "struct<name:string,kind:string,place_kind:string,lat:double,lng:double>"
 _ALIASES = [alias for place in d.PLACES for alias in place[4]]
@@ -43,11 +45,17 @@ def resolve_coordinates(tenants: DataFrame, fallback: DataFrame | None = None) -
         .filter("lat IS NOT NULL AND lng IS NOT NULL").drop("_flat", "_flng")
 
 
+def _place_literal(places) -> Column:
+    """The gazetteer as one constant array<struct<name, place_kind, lat, lng>>."""
+    rows = [{"name": p[0], "place_kind": p[1], "lat": p[2], "lng": p[3]} for p in places]
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), "array<struct<name:string,place_kind:string,lat:double,lng:double>>")
+
+
 def nearest_place(lat: Column, lng: Column, kind: str = "SkiArea", places=d.PLACES) -> Column:
     """GE3: struct(km, name) of the nearest place of a kind; the gazetteer is a literal, no join."""
-    options = [F.struct(haversine_km(lat, lng, F.lit(p[2]), F.lit(p[3])).alias("km"), F.lit(p[0]).alias("name"))
-               for p in places if p[1] == kind]
-    return F.array_min(F.array(*options))
+    options = _place_literal([p for p in places if p[1] == kind])
+    return F.array_min(F.transform(options, lambda p: F.struct(
+        haversine_km(lat, lng, p["lat"], p["lng"]).alias("km"), p["name"].alias("name"))))
 
 
 # ---------------------------------------------------------------- intents
@@ -118,20 +126,22 @@ def parse_geo(queries: DataFrame, text: str = "text", other: str | None = None)
         own = F.col("_near1") & ((F.size("_names1") > 0) | F.col("_area1"))
         near, lift, area = (F.when(own, F.col(f"_{n}1")).otherwise(F.col(f"_{n}2")) for n in ("near", "lift", "area"))
         names = F.when(own, F.col("_names1")).otherwise(F.col("_names2"))
-    table = F.create_map(*[x for p in d.PLACES for x in (F.lit(p[0]), F.struct(
-        F.lit(p[0]).alias("name"), F.lit("Place").alias("kind"), F.lit(p[1]).alias("place_kind"),
-        F.lit(p[2]).alias("lat"), F.lit(p[3]).alias("lng")))])
     nearest = F.array(F.struct(F.lit(d.NEAREST_SKI).alias("name"), F.lit("NearestSkiArea").alias("kind"),
                                F.lit(None).cast("string").alias("place_kind"), F.lit(None).cast("double").alias("lat"),
                                F.lit(None).cast("double").alias("lng")))
-    named = F.transform(names, lambda n: F.element_at(table, n)).cast(f"array<{TARGET}>")
+    gazetteer = _place_literal(d.PLACES)
+    named = F.transform(names, lambda n: F.element_at(F.filter(gazetteer, lambda p: p["name"] == n), 1))
+    named = F.transform(named, lambda p: F.struct(p["name"].alias("name"), F.lit("Place").alias("kind"), p["place_kind"].alias("place_kind"),
+                                                  p["lat"].alias("lat"), p["lng"].alias("lng"))).cast(f"array<{TARGET}>")
+    parsed = parsed.withColumn("_named", named)
+    named = F.col("_named")
     want = near & area & ~F.exists(named, lambda t: t["place_kind"] == "SkiArea")
     targets = F.when(want, F.concat(named, nearest.cast(f"array<{TARGET}>"))).when(near, named) \
         .otherwise(F.array().cast(f"array<{TARGET}>"))
     parsed = parsed.withColumn("targets", targets).withColumn("requires_lift", lift).withColumn("wants_nearest", want)
     places = F.size(F.filter("targets", lambda t: t["kind"] == "Place"))
     parsed = parsed.withColumn("conflicting", (places >= 2) | ((places >= 1) & (F.col("wants_nearest") | F.col("requires_lift"))))
-    return parsed.withColumn("is_geo", F.size("targets") > 0).drop(*[c for c in parsed.columns if re.fullmatch(r"_(near|lift|area|names)\d", c)])
+    return parsed.withColumn("is_geo", F.size("targets") > 0).drop(*[c for c in parsed.columns if re.fullmatch(r"_(near|lift|area|names)\d|_named", c)])
 
 
 def intent_key() -> Column:
@@ -148,10 +158,12 @@ def _km(target: Column, lat: Column, lng: Column) -> Column:
 
 def tenant_place_km(tenants: DataFrame) -> DataFrame:
     """(tenant columns, place, km) for every gazetteer place and the nearest ski area: a fixed factor."""
-    options = [F.struct(F.lit(p[0]).alias("place"), haversine_km(F.col("lat"), F.col("lng"), F.lit(p[2]), F.lit(p[3])).alias("km"))
-               for p in d.PLACES]
-    options.append(F.struct(F.lit(d.NEAREST_SKI).alias("place"), nearest_place(F.col("lat"), F.col("lng"))["km"].alias("km")))
-    return tenants.select("tenant_id", "has_lift", F.inline(F.array(*options)))
+    named = F.transform(_place_literal(d.PLACES), lambda p: F.struct(
+        p["name"].alias("place"), haversine_km(F.col("lat"), F.col("lng"), p["lat"], p["lng"]).alias("km"), (p["place_kind"] == "SkiArea").alias("ski")))
+    every = tenants.withColumn("_named", named)
+    nearest = F.struct(F.lit(d.NEAREST_SKI).alias("place"), F.array_min(F.transform(
+        F.filter("_named", lambda p: p["ski"]), lambda p: p["km"])).alias("km"), F.lit(False).alias("ski"))
+    return every.select("tenant_id", "has_lift", F.inline(F.concat("_named", F.array(nearest)))).drop("ski")
 
 
 def _score(rows: DataFrame) -> DataFrame:
@@ -225,7 +237,8 @@ def geo_rank(queries: DataFrame, tenants: DataFrame, hits: DataFrame, n: int = 3
     queries from ``prepare``; hits(query_id, tenant_id, text_rank) in text order. Queries without
     an intent or without candidates keep the text order; mixed ones are filled up from it.
     """
-    scores = distance_scores(queries, tenants, hits)
+    # read four times below; stored once, it is one row per (intent, tenant)
+    scores = cut_lineage(distance_scores(queries, tenants, hits))
     verdict = conflicts(scores)
     subject = F.when(F.col("amenity_mixed"), F.col("query_id").cast("string")).otherwise(F.col("intent"))
     asked = queries.select("query_id", "is_geo", "amenity_mixed", F.when(F.col("is_geo"), subject).alias("subject"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -126,19 +127,17 @@ def _letter_words(text: Column) -> Column:
 def match_choice(text: Column, allowed: list[str] | None = None) -> Column:
     """CT8: a two-letter code, or the longest language name among the words (ties: list order)."""
     codes = set(allowed if allowed is not None else d.LANGUAGES)
-    entries, order = [], 0
-    seen = set()
+    table, order = {}, 0
     for code, names in d.CHOICE_NAMES:
         for name in names:
-            if code in codes and name not in seen:
-                seen.add(name)
-                entries += [F.lit(name), F.struct(F.lit(-len(name)).alias("size"), F.lit(order).alias("order"), F.lit(code).alias("code"))]
+            if code in codes:
+                table.setdefault(name, {"size": -len(name), "order": order, "code": code})
             order += 1
     normal = F.regexp_replace(F.lower(strip(text)), r"\s+", " ")
-    if not entries:
+    if not table:
         return F.when((F.length(normal) == 2) & normal.isin(*codes), normal)
-    table = F.create_map(*entries)
-    named = F.array_min(F.filter(F.transform(_letter_words(text), lambda w: F.try_element_at(table, w)), lambda s: s.isNotNull()))
+    known = F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), "map<string,struct<size:int,order:int,code:string>>")
+    named = F.array_min(F.filter(F.transform(_letter_words(text), lambda w: F.try_element_at(known, w)), lambda s: s.isNotNull()))
     return F.when((F.length(normal) == 2) & normal.isin(*codes), normal).otherwise(named["code"])
 
 

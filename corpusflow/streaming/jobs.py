@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusflow.operators.crawl import new_urls
 from corpusflow.operators.extract import extract_chunks
@@ -15,7 +17,6 @@ from corpusflow.operators.extract import extract_chunks
 # Request limits per client.
 PER_MINUTE = 60
 PER_HOUR = 1000
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _read_chunks(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -58,43 +59,46 @@ def rate_violations(events: DataFrame, client: str = "user_id", ts: str = "ts",
         client, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "requests")
 
 
-class StepPairs(StatefulProcessor):
-    """First-in-first-out pairing of starts and ends per (run, agent)."""
+DURATIONS = "run_id string, agent string, occurrence bigint, kind string, duration_ms bigint, status string"
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "starts array<bigint>, ends array<struct<ms:bigint,d:bigint,kind:string,status:string>>, done bigint",
-                                         ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("elapsed_ms", kind="stable")
-        starts, ends, done = [], [], 0
-        if self.open.exists():
-            held = self.open.get()
-            starts, ends, done = list(held[0] or []), [tuple(e) for e in (held[1] or [])], held[2]
+def _pair_steps(ttl_ms: int, timed: bool):
+    """First-in-first-out pairing of starts and ends per (run, agent); the open ones are the state."""
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        starts, ends, done = (deque(json.loads(state.get[0])), deque(json.loads(state.get[1])), state.get[2]) \
+            if state.exists else (deque(), deque(), 0)
+        batch = pd.concat(list(batches)).sort_values("elapsed_ms", kind="stable")
         out = []
         for phase, ms, duration, kind, status in zip(batch["phase"], batch["elapsed_ms"], batch["duration_ms"], batch["kind"], batch["status"]):
             if phase == "start":
                 starts.append(int(ms))
             else:
-                ends.append((int(ms), None if pd.isna(duration) else int(duration), kind, status))
+                ends.append([int(ms), None if pd.isna(duration) else int(duration), kind, status])
             while starts and ends:
-                begun, (ended, given, end_kind, end_status) = starts.pop(0), ends.pop(0)
+                begun, (ended, given, end_kind, end_status) = starts.popleft(), ends.popleft()
                 done += 1
                 out.append([key[0], key[1], done, end_kind, given if given is not None else ended - begun, end_status])
-        self.open.update((starts, ends, done))
-        yield pd.DataFrame(out, columns=["run_id", "agent", "occurrence", "kind", "duration_ms", "status"])
+        state.update((json.dumps(list(starts)), json.dumps(list(ends)), done))
+        if timed:
+            state.setTimeoutTimestamp(int(batch["_ts"].max().timestamp() * 1000) + ttl_ms)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in DURATIONS.split(", ")])
+
+    return run
 
-    def close(self) -> None:
-        pass
 
+def live_durations(steps: DataFrame, ts: str | None = None, ttl_hours: float = 2.0, watermark: str = "1 hour") -> DataFrame:
+    """ST4: finished pairs of a stream of trace steps, as they close.
 
-def live_durations(steps: DataFrame, ttl_hours: float = 2.0) -> DataFrame:
-    """ST4: finished pairs of a stream of trace steps, as they close."""
-    return steps.select("run_id", "agent", "phase", "elapsed_ms", F.col("duration_ms").cast("double").alias("duration_ms"), "kind", "status") \
-        .groupBy("run_id", "agent").transformWithStateInPandas(
-            statefulProcessor=StepPairs(int(ttl_hours * 3600_000)),
-            outputStructType="run_id string, agent string, occurrence bigint, kind string, duration_ms bigint, status string",
-            outputMode="Append", timeMode="ProcessingTime")
+    With an event time ``ts`` the open steps of a run are forgotten ``ttl_hours`` after its last one.
+    """
+    columns = ["run_id", "agent", "phase", "elapsed_ms", F.col("duration_ms").cast("double").alias("duration_ms"), "kind", "status"]
+    if ts is not None:
+        rows = steps.select(*columns, F.col(ts).alias("_ts")).withWatermark("_ts", watermark)
+        timeout = GroupStateTimeout.EventTimeTimeout
+    else:
+        rows, timeout = steps.select(*columns), GroupStateTimeout.NoTimeout
+    return rows.groupBy("run_id", "agent").applyInPandasWithState(
+        _pair_steps(int(ttl_hours * 3600_000), ts is not None), DURATIONS, "starts string, ends string, done bigint", "append", timeout)

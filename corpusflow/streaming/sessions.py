@@ -7,31 +7,27 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusflow.functions.policy import empty_state, step
 from corpusflow.operators.sessions import FEATURES, _turn_of
 
 CONSTRAINTS = ["region", "named_tenant", "named_name", "deictic", "multi"]
-STATE = ("locked string, first_unambiguous boolean, region string, focus_tenant string, focus_name string")
+STATE = "locked string, first_unambiguous boolean, region string, focus_tenant string, focus_name string"
 OUTPUT = ("session_id string, turn bigint, language string, source string, text_to_process string, locked string, "
           "first_unambiguous boolean, region_state string, focus_tenant string, focus_name string")
+_NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
 
 
-class SessionFold(StatefulProcessor):
-    """Value state per session; it expires when a session is idle longer than the TTL."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", STATE, ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("turn", kind="stable")
+def _session_step(ttl_ms: int, timed: bool):
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         language, region, focus, name = empty_state(), None, None, None
-        if self.state.exists():
-            language["locked"], language["first_unambiguous"], region, focus, name = self.state.get()
+        if state.exists:
+            language["locked"], language["first_unambiguous"], region, focus, name = state.get
+        batch = pd.concat(list(batches)).sort_values("turn", kind="stable")
         out = []
         inputs = zip(batch["turn"], *[batch[c] for c in CONSTRAINTS], *[batch[c] for c in FEATURES])
         for turn, found, tenant, tenant_name, deictic, multi, *values in inputs:
@@ -43,19 +39,26 @@ class SessionFold(StatefulProcessor):
             elif multi and not deictic:
                 focus, name = None, None
             out.append([key[0], turn, code, source, text, language["locked"], bool(language["first_unambiguous"]), region, focus, name])
-        self.state.update((language["locked"], bool(language["first_unambiguous"]), region, focus, name))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+        state.update((language["locked"], bool(language["first_unambiguous"]), region, focus, name))
+        if timed:
+            state.setTimeoutTimestamp(int(batch["_ts"].max().timestamp() * 1000) + ttl_ms)
+        yield pd.DataFrame(out, columns=_NAMES)
 
-    def close(self) -> None:
-        pass
+    return run
 
 
-def fold_sessions(turns: DataFrame, ttl_hours: float = 24.0) -> DataFrame:
+def fold_sessions(turns: DataFrame, ts: str | None = None, ttl_hours: float = 24.0, watermark: str = "1 hour") -> DataFrame:
     """ST1: turns is a stream with the columns of ``language_features`` and ``tag_turns``.
 
-    The session needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    One small state row per session. With an event time ``ts`` a session is forgotten once the
+    watermark is ``ttl_hours`` past its last turn; without one it is kept. For many sessions choose
+    the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
     """
-    columns = ["session_id", "turn", *CONSTRAINTS, *FEATURES]
-    return turns.select(*columns).withColumn("turn", F.col("turn").cast("long")).groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=SessionFold(int(ttl_hours * 3600_000)), outputStructType=OUTPUT, outputMode="Append",
-        timeMode="ProcessingTime")
+    columns = ["session_id", F.col("turn").cast("long").alias("turn"), *CONSTRAINTS, *FEATURES]
+    if ts is not None:
+        rows = turns.select(*columns, F.col(ts).alias("_ts")).withWatermark("_ts", watermark)
+        timeout = GroupStateTimeout.EventTimeTimeout
+    else:
+        rows, timeout = turns.select(*columns), GroupStateTimeout.NoTimeout
+    return rows.groupBy("session_id").applyInPandasWithState(
+        _session_step(int(ttl_hours * 3600_000), ts is not None), OUTPUT, STATE, "append", timeout)

@@ -43,6 +43,8 @@ def parse_pages(pages: DataFrame, profile: str | list = "plain", keep: list[str]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if not len(batch):
+                continue
             parsed = [parse_page(html, selectors) for html in batch["html"]]
             out = {c: batch[c].to_numpy() for c in keep}
             out["url"] = batch["url"].to_numpy()

@@ -96,7 +96,7 @@ def _name_kernel(texts: pd.DataFrame, tenants: pd.DataFrame) -> pd.DataFrame:
                 out_text.append(key)
                 out_tenant.append(tenants["tenant_id"].iloc[row])
                 out_size.append(len(names[row]))
-    return pd.DataFrame({"text_id": pd.Series(out_text, dtype=texts["text_id"].dtype), "tenant_id": out_tenant,
+    return pd.DataFrame({"text_id": pd.Series(out_text, dtype=texts["text_id"].dtype), "tenant_id": pd.Series(out_tenant, dtype=object),
                          "size": pd.Series(out_size, dtype="int32")})
 
 

@@ -24,11 +24,6 @@ SCRIPT_RANGES = {
 }
 
 
-def words(text: Column) -> Column:
-    """Lower-cased runs of letters and combining marks."""
-    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
-
-
 def letters(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{L}]", "")
 
@@ -63,7 +58,7 @@ def nfc(text: Column) -> Column:
 def word_counts(df: DataFrame, keys: list[str], text: str, weight: Column | None = None) -> DataFrame:
     """(keys, word, n): the shuffle carries words, not n-grams; partial sums run map-side."""
     exploded = df.select(*keys, (weight if weight is not None else F.lit(1)).alias("_w"),
-                         F.explode(words(F.col(text))).alias("word"))
+                         F.explode(F.split(F.lower(F.col(text)), WORD_BREAK)).alias("word")).filter("word <> ''")
     return exploded.groupBy(*keys, "word").agg(F.sum("_w").alias("n"))
 
 

@@ -65,29 +65,37 @@ def topk_kernel(k: int, floor: float, mode: str):
         if len(big) and len(small):
             chunks, chunk_ok = unit_matrix(big["embedding"])
             big, chunks = big[chunk_ok], chunks[chunk_ok]
-            ids, groups = big["chunk_id"].to_numpy(), big["grp"].to_numpy()
+            ids, groups, query_ids = big["chunk_id"].to_numpy(), big["grp"].to_numpy(), small["query_id"].to_numpy()
             buckets = {None: np.arange(len(big))} if mode == "all" else big.groupby("grp").indices
             queries = small.groupby("grp").indices if mode == "own" else {None: np.arange(len(small))}
             for group, members in buckets.items():
                 asked = queries.get(group if mode == "own" else None)
                 if asked is None or not len(members):
                     continue
-                part = chunks[members]
+                part, names = chunks[members], ids[members]
                 for start in range(0, len(asked), 1024):
                     block = asked[start:start + 1024]
                     vectors, usable = unit_matrix(small["embedding"].iloc[block])
                     if vectors.shape[1] != part.shape[1]:
                         continue
                     scores = np.round(vectors @ part.T, SCORE_DIGITS)
-                    for i in np.flatnonzero(usable):
-                        found = _best(scores[i], ids[members], k, floor)
-                        out_q.extend([small["query_id"].iloc[block[i]]] * len(found))
-                        out_c.extend(ids[members][found])
-                        out_g.extend(groups[members][found])
-                        out_s.extend(scores[i][found])
-        return pd.DataFrame({"query_id": pd.Series(out_q, dtype=small["query_id"].dtype),
-                             "chunk_id": pd.Series(out_c, dtype=big["chunk_id"].dtype),
-                             "grp": pd.Series(out_g, dtype=big["grp"].dtype),
-                             "score": np.asarray(out_s, dtype=np.float64)})
+                    scores[~usable] = -np.inf
+                    keep = scores >= max(floor, -2.0)
+                    if part.shape[0] > k:
+                        kth = np.partition(scores, part.shape[0] - k, axis=1)[:, part.shape[0] - k]
+                        keep &= scores >= kth[:, None]
+                    for i in np.flatnonzero(keep.sum(axis=1) > k):  # ties at the k-th place
+                        keep[i] = False
+                        keep[i, _best(scores[i], names, k, floor)] = True
+                    rows, cols = np.nonzero(keep)
+                    out_q.append(query_ids[block[rows]])
+                    out_c.append(names[cols])
+                    out_g.append(groups[members][cols])
+                    out_s.append(scores[rows, cols])
+        def column(parts: list, like: pd.Series) -> pd.Series:
+            return pd.Series(np.concatenate(parts) if parts else [], dtype=like.dtype)
+
+        return pd.DataFrame({"query_id": column(out_q, small["query_id"]), "chunk_id": column(out_c, big["chunk_id"]),
+                             "grp": column(out_g, big["grp"]), "score": np.concatenate(out_s) if out_s else np.zeros(0)})
 
     return kernel

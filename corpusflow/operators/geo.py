@@ -237,6 +237,7 @@ def geo_rank(queries: DataFrame, tenants: DataFrame, hits: DataFrame, n: int = 3
     queries from ``prepare``; hits(query_id, tenant_id, text_rank) in text order. Queries without
     an intent or without candidates keep the text order; mixed ones are filled up from it.
     """
+    queries = cut_lineage(queries.select("query_id", "targets", "requires_lift", "conflicting", "is_geo", "amenity_mixed", "intent"))
     # read four times below; stored once, it is one row per (intent, tenant)
     scores = cut_lineage(distance_scores(queries, tenants, hits))
     verdict = conflicts(scores)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.vector import cosine, topk_kernel, unit_matrix
 from corpusflow.operators.product import BLOCK_ROWS, SMALL_BYTES, SMALL_ROWS, sized_product
+from corpusflow.session import cut_lineage
 
 __all__ = ["cosine", "search", "search_all", "build_ivf", "search_ivf", "recall", "keyword_search",
            "followup_merge", "join_catalog", "chunk_counts", "existing_urls", "vectors_from_json",
@@ -79,6 +80,7 @@ def search_all(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: flo
     if refill > 0 and tenants is not None:
         # A query has at most candidate_limit tenants with hits, so its first `refill` tenants
         # without hits lie among the first candidate_limit + refill ids: a bounded list.
+        hits = cut_lineage(hits)  # read three times below
         first = [r["tenant_id"] for r in
                  tenants.select("tenant_id").distinct().orderBy("tenant_id")
                  .limit(candidate_limit + refill).collect()]
@@ -99,7 +101,8 @@ def build_ivf(chunks: DataFrame, lists: int = 10, seed: int = 7):
     from pyspark.ml.functions import array_to_vector
 
     usable = chunks.filter(F.col("embedding").isNotNull())
-    data = usable.withColumn("_features", array_to_vector(F.col("embedding").cast("array<double>")))
+    # k-means reads its input once per iteration
+    data = cut_lineage(usable.withColumn("_features", array_to_vector(F.col("embedding").cast("array<double>"))))
     model = KMeans(k=lists, seed=seed, distanceMeasure="cosine", featuresCol="_features",
                    predictionCol="list_id").fit(data)
     return model, model.transform(data).drop("_features")

@@ -10,6 +10,7 @@ from corpusflow.functions.policy import Summary, step
 from corpusflow.functions.scan import SEGMENT, running_last
 from corpusflow.functions.text import is_blank, strip
 from corpusflow.operators.turns import is_deictic
+from corpusflow.session import cut_lineage
 
 FEATURES = ["text", "_hint", "marker", "shared", "cue", "choice", "affirmative", "close", "sticky", "code",
             "unknown", "unrecognized"]
@@ -90,7 +91,8 @@ def fold_language(features: DataFrame, initial: DataFrame | None = None, segment
     incoming lock, the effects are chained, then all pieces fold in parallel.
     """
     types = dict(features.dtypes)
-    turns = features.select("session_id", "turn", *FEATURES)
+    # read several times below; the features are costly (language scores), the rows are small
+    turns = cut_lineage(features.select("session_id", "turn", *FEATURES))
     first = turns.groupBy("session_id").agg(F.min("turn").alias("_first"))
     cut = turns.join(first, "session_id").withColumn("_seg", F.floor((F.col("turn") - F.col("_first")) / segment)).drop("_first")
     state = initial if initial is not None else None
@@ -153,7 +155,7 @@ def fold_constraints(tagged: DataFrame, initial: DataFrame | None = None, segmen
     """
     event = F.when(F.col("named_tenant").isNotNull(), F.struct(F.col("named_tenant").alias("t"), F.col("named_name").alias("n"))) \
         .when(F.col("multi") & ~F.col("deictic"), F.struct(F.lit(None).cast("string").alias("t"), F.lit(None).cast("string").alias("n")))
-    marked = tagged.withColumn("_event", event)
+    marked = cut_lineage(tagged.withColumn("_event", event))
     run = running_last(marked, ["session_id"], "turn", {"region_state": "region", "_focus": "_event"}, segment=segment)
     if initial is not None:
         run = run.join(initial.select("session_id", F.col("region").alias("_r0"), F.col("focus_tenant").alias("_t0"),

@@ -27,6 +27,7 @@ GREETING_SINGLE = 0.97
 GREETING_FIRST = 0.78
 
 MAX_LABELS = 500
+BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 # ---------------------------------------------------------------- features
@@ -185,31 +186,40 @@ def train_nb(labeled: DataFrame, smoothing: float = LANGUAGE_SMOOTHING, label: s
 def score_words(words: DataFrame, model: NBModel) -> DataFrame:
     """Per distinct word: its token counts and, per label, the log-score gain over "unseen", the
     seen tokens and whether the word feature is known."""
-    grams = gram_rows(words, "word").groupBy("word", "ngram").agg(F.count(F.lit(1)).alias("n"))
+    grams = gram_rows(words, "word")
     table = model.counts.select("ngram", *[model.log_likelihood(i).alias(f"p{i}")
                                            for i in range(len(model.labels))])
-    sums = [F.sum("n").alias("t"), F.max(F.when(F.col("ngram").startswith("w:"), 1).otherwise(0)).alias("wt")]
+    sums = [F.count(F.lit(1)).alias("t"), F.max(F.when(F.col("ngram").startswith("w:"), 1).otherwise(0)).alias("wt")]
     for i in range(len(model.labels)):
         present = F.col(f"p{i}").isNotNull()
-        sums += [F.sum(F.when(present, F.col("n") * (F.col(f"p{i}") - model.unseen(i))).otherwise(0.0)).alias(f"g{i}"),
-                 F.sum(F.when(present, F.col("n")).otherwise(0)).alias(f"s{i}"),
+        sums += [F.sum(F.when(present, F.col(f"p{i}") - model.unseen(i)).otherwise(0.0)).alias(f"g{i}"),
+                 F.count_if(present).alias(f"s{i}"),
                  F.max(F.when(present & F.col("ngram").startswith("w:"), 1).otherwise(0)).alias(f"w{i}")]
+    # A model below the bound is broadcast: the n-grams of a word then stay in the word's partition
+    # and the sums need no further shuffle. Beyond it, both sides are shuffled by n-gram.
+    if model.vocabulary * (48 + 9 * len(model.labels)) <= BROADCAST_BYTES:
+        table = F.broadcast(table)
     return grams.join(table, "ngram", "left").groupBy("word").agg(*sums)
 
 
 def score_nb(df: DataFrame, model: NBModel, key: str = "doc_id", text: str = "text",
-             salts: int = 8) -> DataFrame:
+             salts: int = 1) -> DataFrame:
     """LG2/LG3 in array form, one row per text that has features.
 
     -> (key, tokens, word_tokens, scores, seen, word_seen); arrays follow ``model.labels``.
-    Texts meet the model on words, not on n-grams; a frequent word is spread over ``salts``
-    tasks, and the per-text sums are combined map-side.
+    Texts meet the model on words, not on n-grams, with one row per text and distinct word. A
+    partition with a frequent word is split at run time (adaptive skew join); ``salts`` > 1 spreads
+    every word by hand. The per-text sums are combined map-side.
     """
     per_text = tx.word_counts(df, [key], text)
     vocabulary = per_text.select("word").distinct()
-    gains = score_words(vocabulary, model).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = per_text.withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).cast("int"))
-    joined = salted.join(gains, ["word", "_salt"])
+    gains = score_words(vocabulary, model)
+    if salts > 1:
+        gains = gains.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = per_text.withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).cast("int"))
+        joined = salted.join(gains, ["word", "_salt"])
+    else:
+        joined = per_text.join(gains, "word")
     n, count = F.col("n"), len(model.labels)
     sums = [F.sum(n * F.col("t")).alias("tokens"), F.sum(n * F.col("wt")).alias("word_tokens")]
     for i in range(count):

@@ -10,6 +10,7 @@ from corpusflow.operators import recommend as rc
 from corpusflow.operators import retrieve as vs
 from corpusflow.plans.tables import (PHRASES, supplier_tenants, table, turns, vector_chunks, vector_queries,
                                      vector_tenants, with_)
+from corpusflow.session import cut_lineage
 
 
 def _located(spark, sf):
@@ -95,7 +96,7 @@ def _content_chunks(spark, sf):
 def _hits(spark, sf, k=3):
     chunks = _content_chunks(spark, sf)
     hits = vs.search_all(vector_queries(spark, sf), chunks, k, 0.2, candidate_limit=None).drop("rn")
-    return hits.join(chunks.select("chunk_id", "title", "content", "source_url"), "chunk_id")
+    return cut_lineage(hits.join(chunks.select("chunk_id", "title", "content", "source_url"), "chunk_id"))
 
 
 def rc1_recommend(spark, sf):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow import defaults as d
 from corpusflow.functions.text import is_blank, strip
+from corpusflow.operators.product import sized_product
 from corpusflow.operators.retrieve import search, search_all
-from corpusflow.operators.sessions import matches_region
 
 # Result and source limits, reason texts, joining rule line.
 DEFAULT_RESULTS = 3
@@ -198,18 +199,18 @@ def _number(shuffled: DataFrame) -> DataFrame:
     return cut.join(offset, ["_region", "_bucket"]).withColumn("position", F.row_number().over(inner) + F.col("_before"))
 
 
-def _regions_of(tenants: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(_region, tenant_id): the strict region test against each distinct region asked for.
+def _region_kernel(tenants: pd.DataFrame, regions: pd.DataFrame) -> pd.DataFrame:
+    found = [tenants.loc[tenants["_fields"].str.contains(r.strip().lower(), regex=False), ["tenant_id"]].assign(_region=r)
+             for r in regions["_region"]]
+    empty = pd.DataFrame({"tenant_id": pd.Series(dtype=object), "_region": pd.Series(dtype=object)})
+    return pd.concat([empty, *found])[["_region", "tenant_id"]]
 
-    The distinct regions come from the fixed region list (CT1) or from free filters; they are a
-    handful of values, held as a literal after their number was checked.
-    """
-    limit = 1000
-    values = [r["_region"] for r in wanted.limit(limit + 1).collect()]
-    if len(values) > limit:
-        raise ValueError(f"more than {limit} distinct regions asked for")
-    tests = F.array(*[F.when(matches_region(F.lit(v)), F.lit(v)) for v in values]) if values else F.array().cast("array<string>")
-    return tenants.select("tenant_id", F.explode(F.filter(tests, lambda v: v.isNotNull())).alias("_region")).select("_region", "tenant_id")
+
+def _regions_of(tenants: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_region, tenant_id): the strict region test of each distinct region asked for."""
+    fields = F.concat_ws("\u0001", *[F.lower(c) for c in ("region", "location", "country", "domain", "tenant_id")])
+    return sized_product(tenants.select("tenant_id", fields.alias("_fields")), wanted, _region_kernel,
+                         "_region string, tenant_id string", "tenant_id", "_region")
 
 
 def route(queries: DataFrame) -> DataFrame:

@@ -243,6 +243,7 @@ SQL = {
     "ex2_parsed_pages": f"""WITH {_PARSED}, l AS (SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS n_links FROM pages)
         SELECT page_id, title, sha256(content) AS content_hash, length(content) AS n, n_links::BIGINT AS n_links FROM parsed JOIN l USING (page_id)""",
     "ex_extract_chunks": f"WITH {_CHUNKS} SELECT chunk_id, tenant_id, source_url, length(content) AS n, 'de' AS language FROM made",
+    "ex14_embed": "SELECT doc_id, 64::BIGINT AS dims, 1.0::DOUBLE AS length FROM documents",
     "ex10_links": """WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href,
             unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)))) AS o FROM pages),
         f AS (SELECT page_id, url, href, min(o) AS o FROM l GROUP BY ALL),

@@ -226,7 +226,7 @@ def rc15_recommend_batch(spark, sf):
         F.concat(F.lit("Doc "), "doc_id").alias("title"), F.col("text").alias("content"), F.concat(F.lit("https://d/"), "doc_id").alias("source_url")))
     scope = tm.train_binary_nb(_quality(spark, sf).withColumn("label", F.when(F.col("label") == "good", "in_scope").otherwise("out_of_scope")), "in_scope", "out_of_scope")
     models = Models(tm.train_nb(_weighted(spark, sf)), scope=scope)
-    return recommend_batch(turns(spark, sf), chunks, vector_tenants(spark, sf).withColumn("has_lift", F.lit(False)), models).select(
+    return recommend_batch(turns(spark, sf), chunks, vector_tenants(spark, sf).withColumn("has_lift", F.lit(False)), models)[0].select(
         "query_id", "language", "response_type", "status", F.array_join("tenants", ",").alias("tenants"), F.length("answer").cast("long").alias("answer_len"))
 
 
@@ -247,7 +247,6 @@ _T = with_("tenants")
 # what each phrase asks for, written down by hand: targets, lift, nearest area
 _WANTS = {3: ("Salzburg-Stadt", False), 4: ("Salzburg-Stadt", True), 5: ("Zell am See", False), 9: ("Kaprun", False),
           10: ("Innsbruck;Seefeld", False), 11: ("Mondsee;Skigebiet", False), 18: ("Wien", False), 19: ("Innsbruck;Skigebiet", False)}
-_LIFT_ONLY: dict[int, bool] = {}
 _INTENT_ROWS = "(-1, '', false)" + "".join(f", ({i}, '{t}', {str(lift).lower()})" for i, (t, lift) in _WANTS.items())
 _SKI = "contains(lower(text), 'ski') OR contains(lower(text), 'schi')"
 

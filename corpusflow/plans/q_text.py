@@ -126,12 +126,6 @@ def bn4_scope_gate(spark, sf):
     return tm.scope_gate(_docs(spark, sf), model, {"contains": ["heit", "blebl"]}, positive="good", negative="bad")
 
 
-def _lines(spark, sf):
-    docs = table(spark, sf, "documents")
-    return docs.select(F.col("doc_id").alias("line"), F.when(F.crc32("text") % 3 == 0, "in").when(
-        F.crc32("text") % 3 == 1, "out").otherwise("skip").alias("label"), "text")
-
-
 def _label_lines(spark, sf):
     """Labels from the language: runs of equal labels form the blocks."""
     docs = table(spark, sf, "documents")

@@ -93,16 +93,25 @@ def understand(turns: DataFrame, tenants: DataFrame, models: Models) -> DataFram
 
 
 def recommend_batch(turns: DataFrame, chunks: DataFrame, tenants: DataFrame, models: Models,
-                    recommended: DataFrame | None = None, n: int = rc.DEFAULT_RESULTS) -> DataFrame:
-    """(query_id, session_id, language, response_type, status, tenants, answer).
+                    recommended: DataFrame | None = None, pending: DataFrame | None = None,
+                    n: int = rc.DEFAULT_RESULTS) -> tuple[DataFrame, DataFrame]:
+    """(responses, listing): responses(query_id, session_id, language, response_type, status, tenants,
+    answer) and the catalog answers as rows (query_id, position, tenant_id, line).
 
     turns(session_id, turn, role, text); chunks with title, content, source_url and embedding;
-    recommended(session_id, tenants array) holds earlier recommendations. All sessions run together;
-    what several branches read is stored once.
+    recommended(session_id, tenants array) holds earlier recommendations, pending(session_id, …) the
+    sources held back for a "more sources" request. All sessions run together; what several
+    branches read is stored once.
     """
-    queries = cut_lineage(understand(turns, tenants, models))
+    asked = understand(turns, tenants, models)
+    if pending is not None:
+        held = pending.select("session_id").distinct().withColumn("_held", F.lit(True))
+        asked = asked.join(held, "session_id", "left").withColumn("has_pending", F.coalesce("_held", F.lit(False))).drop("_held")
+    else:
+        asked = asked.withColumn("has_pending", F.lit(False))
+    queries = cut_lineage(asked)
     located = ge.resolve_coordinates(tenants)
-    searching = queries.filter("ethical AND in_scope AND NOT broad_catalog AND NOT more_sources")
+    searching = queries.filter("ethical AND in_scope AND NOT broad_catalog AND NOT (more_sources AND has_pending)")
     vectors = searching.select("query_id", "embedding")
     hits = vs.search_all(vectors, chunks, SEARCH_K, SEARCH_MIN, tenants=tenants.filter("is_active")).drop("rn")
     earlier = F.lit(None).cast("array<string>").alias("recommended")
@@ -128,20 +137,20 @@ def recommend_batch(turns: DataFrame, chunks: DataFrame, tenants: DataFrame, mod
     counts = full.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
     routed = queries.join(counts, "query_id", "left").join(lists, "query_id", "left").select(
         "query_id", "session_id", "language", "text", "ethical", "in_scope", "more_sources", "broad_catalog", "_r", "region_state",
-        F.lit(False).alias("needs_clarification"), F.lit(True).alias("has_pending"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
+        F.lit(False).alias("needs_clarification"), "has_pending", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
     routed = rc.route(routed)
     answered = _answer(routed.filter("response_type = 'recommendations'").select(
         "query_id", "text", F.array_join(F.transform("_r", lambda r: F.concat(r["rank"].cast("string"), F.lit(". "), r["name"], F.lit(": "), r["reason"])), "\n").alias("summary")),
         models.answer or extractive_answer)
     sources = rc.weighted_sources(answered, full, tenants)
     sections = rc.sources_section(sources, routed.select("query_id", "language"))
-    listing = rc.catalog(routed.filter("response_type = 'catalog'").select("query_id", F.col("region_state").alias("region")), tenants) \
-        .filter("position <= 1").select("query_id", F.col("line").alias("_first"))
-    text = F.when(F.col("response_type") == "recommendations", F.concat(rc.strip_footer(F.col("answer")), F.coalesce("section", F.lit("")))) \
-        .when(F.col("response_type") == "catalog", F.col("_first"))
-    return routed.join(answered, "query_id", "left").join(sections, "query_id", "left").join(listing, "query_id", "left").select(
+    listing = rc.catalog(routed.filter("response_type = 'catalog'").select("query_id", F.col("region_state").alias("region")), tenants)
+    text = F.concat(rc.strip_footer(F.col("answer")), F.coalesce("section", F.lit("")))
+    responses = routed.join(answered, "query_id", "left").join(sections, "query_id", "left").select(
         "query_id", "session_id", "language", "response_type", "status",
-        F.transform("_r", lambda r: r["tenant_id"]).alias("tenants"), text.alias("answer"))
+        F.when(F.col("response_type") == "recommendations", F.transform("_r", lambda r: r["tenant_id"])).alias("tenants"),
+        F.when(F.col("response_type") == "recommendations", text).alias("answer"))
+    return responses, listing
 
 
 def _answer(rows: DataFrame, answer) -> DataFrame:

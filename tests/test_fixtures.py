@@ -78,7 +78,7 @@ def test_choice_names(spark):
     assert [r[0] for r in rows.select(turns.match_choice(F.col("t"))).collect()] == ["en", "de", "it", None]
 
 
-TENANTS = [("t_city", "Gmachl", 47.839749, 13.022782, False), ("t_lift", "Nesslerhof", 47.2374, 13.2009, True),
+TENANTS = [("t_city", "Stadthof", 47.839749, 13.022782, False), ("t_lift", "Talhof", 47.2374, 13.2009, True),
            ("t_far", "Lermoos", 47.4014, 10.8796, True), ("t_lake", "Achen", 47.4250, 11.7548, False)]
 
 
@@ -110,12 +110,12 @@ def test_weighted_sources(spark):
     hits = spark.createDataFrame([("q", "a", "c1", .40, "low"), ("q", "a", "c2", .90, "high"), ("q", "a", "c3", .70, "mid"),
                                   ("q", "a", "c4", .60, "extra"), ("q", "b", "c5", .95, "x")],
                                  "query_id string, tenant_id string, chunk_id string, score double, source_url string")
-    tenants = spark.createDataFrame([("a", "Hotel Alpenrose"), ("b", "Hotel Stock")], "tenant_id string, name string")
-    answers = spark.createDataFrame([("q", "Ich empfehle das Hotel Alpenrose am Achensee.", "de")], "query_id string, answer string, language string")
+    tenants = spark.createDataFrame([("a", "Hotel Seeblick"), ("b", "Hotel Gipfel")], "tenant_id string, name string")
+    answers = spark.createDataFrame([("q", "Ich empfehle das Hotel Seeblick am Achensee.", "de")], "query_id string, answer string, language string")
     sources = recommend.weighted_sources(answers, hits, tenants)
     assert [(r["url"], r["is_primary"]) for r in sources.orderBy("position").collect()] == [("high", True), ("mid", True)]
     section = one(recommend.sources_section(sources, answers).select("section"))
-    assert "(0.90)" in section and "Stock" not in section
+    assert "(0.90)" in section and "Gipfel" not in section
 
 
 def test_result_count(spark):
@@ -204,4 +204,4 @@ def test_enrichment(spark):
         return one(spark.range(1).select(sessions.enrich_query(*[F.lit(v).cast("string") for v in (text, region, focus, name)])))
 
     assert enrich("Zu welchen Hotels hast du Informationen?", "Tirol", None, None).endswith("Tirol")
-    assert enrich("Wieviele Zimmer gibt es dort?", "Tirol", "h", "Hochschober") == "Hochschober Wieviele Zimmer gibt es dort?"
+    assert enrich("Wieviele Zimmer gibt es dort?", "Tirol", "h", "Bergruh") == "Bergruh Wieviele Zimmer gibt es dort?"

@@ -110,10 +110,11 @@ def mentioned_tenants(answers: DataFrame, hits: DataFrame, tenants: DataFrame, f
     """RC4: (query_id, tenant_id): tenants of the query's hits that the answer names; without any, the best three."""
     found = hits.groupBy("query_id", "tenant_id").agg(F.max("score").alias("score")) \
         .join(tenants.select("tenant_id", "name"), "tenant_id").join(answers.select("query_id", "answer"), "query_id")
-    named = found.filter(_mentions(F.col("answer"), F.col("tenant_id"), F.col("name"))).select("query_id", "tenant_id")
-    rest = found.join(named.select("query_id").distinct(), "query_id", "left_anti")
-    best = _top(rest, ["query_id"], [F.desc("score"), "tenant_id"], fallback).select("query_id", "tenant_id")
-    return named.unionByName(best)
+    query = Window.partitionBy("query_id")
+    marked = found.withColumn("_named", _mentions(F.col("answer"), F.col("tenant_id"), F.col("name"))) \
+        .withColumn("_any", F.max("_named").over(query)) \
+        .withColumn("_rank", F.row_number().over(query.orderBy(F.desc("score"), "tenant_id")))
+    return marked.filter(F.col("_named") | (~F.col("_any") & (F.col("_rank") <= fallback))).select("query_id", "tenant_id")
 
 
 def weighted_sources(answers: DataFrame, hits: DataFrame, tenants: DataFrame, per_tenant: int = SOURCES_PER_TENANT,

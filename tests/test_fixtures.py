@@ -107,10 +107,10 @@ def test_haversine(spark):
 
 
 def test_weighted_sources(spark):
-    hits = spark.createDataFrame([("q", "a", "c1", .40, "low"), ("q", "a", "c2", .90, "high"), ("q", "a", "c3", .70, "mid"),
-                                  ("q", "a", "c4", .60, "extra"), ("q", "b", "c5", .95, "x")],
+    hits = spark.createDataFrame([("q", "hotel_a", "c1", .40, "low"), ("q", "hotel_a", "c2", .90, "high"), ("q", "hotel_a", "c3", .70, "mid"),
+                                  ("q", "hotel_a", "c4", .60, "extra"), ("q", "hotel_b", "c5", .95, "x")],
                                  "query_id string, tenant_id string, chunk_id string, score double, source_url string")
-    tenants = spark.createDataFrame([("a", "Hotel Seeblick"), ("b", "Hotel Gipfel")], "tenant_id string, name string")
+    tenants = spark.createDataFrame([("hotel_a", "Hotel Seeblick"), ("hotel_b", "Hotel Gipfel")], "tenant_id string, name string")
     answers = spark.createDataFrame([("q", "Ich empfehle das Hotel Seeblick am Achensee.", "de")], "query_id string, answer string, language string")
     sources = recommend.weighted_sources(answers, hits, tenants)
     assert [(r["url"], r["is_primary"]) for r in sources.orderBy("position").collect()] == [("high", True), ("mid", True)]

@@ -148,3 +148,12 @@ def test_repeated_ingest_batch_changes_nothing(spark, tmp_path):
     for batch, data in ((0, pages.limit(1)), (1, pages), (1, pages)):
         jobs.ingest_batch(data, batch, path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_session_stream_equals_batch_folds(spark):
+    from corpusflow.plans import q_streams
+
+    streamed = q_streams.st1_session_stream(spark, SF).drop("region_state", "focus_tenant")
+    batch = q_turns.cs1_language_fold(spark, SF).drop("first_unambiguous")
+    key = lambda df: sorted(map(str, df.select("session_id", "turn", "language", "source", "locked").collect()))
+    assert key(streamed) == key(batch)

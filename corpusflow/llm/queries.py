@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import bytebpe, codes, packing, quality
+from corpusflow.llm import bytebpe, codes, packing, quality, simhash
 from corpusflow.session import shared_folder, ship_package
 
 QUERIES, SQL = {}, {}
@@ -47,3 +47,8 @@ def op5_byte_bpe(spark, sf):
 @query
 def op8_first_fit_packing(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op7_byte_position_simhash(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"))

@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import bytebpe, codes, neardup, packing, quality, simhash
+from corpusflow.llm import bytebpe, codes, neardup, packing, quality, simhash, toxicity
 from corpusflow.session import shared_folder, ship_package
 
 QUERIES, SQL = {}, {}
@@ -70,3 +70,8 @@ least AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a),
 counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings e JOIN least ON least.a = e.vec_id LEFT JOIN counts ON counts.a = e.vec_id"""
+
+
+@query
+def op9_kneser_ney_toxicity(spark, sf):
+    return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))

@@ -23,6 +23,8 @@ ORDER = 5
 DISCOUNT = 0.9
 #: Evidence of a word that ordinary words seldom reach.
 USUAL = 2.0
+#: Shorter texts count as long as this where length itself is judged.
+FEWEST_WORDS = 20
 FEATURES = ("per_byte", "first", "second", "first_4", "first_8", "excess_for_length", "log_words", "excess")
 #: Labelled rows of each class, chosen by a hash of their ids, that a model is fitted on; a quarter of them calibrates.
 ROWS_PER_CLASS = 8_000
@@ -112,12 +114,14 @@ class Model:
         known.update(zip(new, self.word_evidence(new).tolist()))
         for row, words in zip(out, split):
             n = len(words)
+            if not n:
+                continue
             values = np.zeros(max(8, n))
             values[:n] = np.fromiter(map(known.__getitem__, words), np.float64, n)
             top = np.sort(np.partition(values, -8)[-8:])[::-1]
             excess = np.maximum(values - USUAL, 0).sum()
             row[:] = (values.sum() / (sum(map(len, words)) + n + 1), top[0], top[1], top[:4].mean(), top.mean(),
-                      excess / np.sqrt(n + 1), np.log1p(n), excess)
+                      excess / np.sqrt(n + 1), np.log1p(max(n, FEWEST_WORDS)), excess)
         return out
 
     def calibrate(self, features: np.ndarray, labels: np.ndarray, ridge: float = 0.3) -> None:
@@ -142,8 +146,10 @@ class Model:
         self.weights = w
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = (self.features(texts) - self.mean) / self.scale
-        return _logistic(x @ self.weights[:-1] + self.weights[-1])
+        """From 0 to 1; 0 for a text without words."""
+        x = self.features(texts)
+        worded = x[:, FEATURES.index("log_words")] > 0
+        return np.where(worded, _logistic((x - self.mean) / self.scale @ self.weights[:-1] + self.weights[-1]), 0.0)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -207,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
 
 
 def score(text: Column | str, model: Model | None) -> Column:
-    """Toxicity of each whole text from 0 to 1; a null text counts as empty; 0 without a model."""
+    """Toxicity of each whole text from 0 to 1; 0 for null texts, texts without words, and without a model."""
     if model is None:
         return F.lit(0.0)
 

@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import bytebpe, codes, neardup, packing, quality, simhash, toxicity
+from corpusflow.llm import bytebpe, codes, langid, neardup, packing, quality, simhash, toxicity
 from corpusflow.session import shared_folder, ship_package
 
 QUERIES, SQL = {}, {}
@@ -75,3 +75,8 @@ FROM embeddings e JOIN least ON least.a = e.vec_id LEFT JOIN counts ON counts.a
 @query
 def op9_kneser_ney_toxicity(spark, sf):
     return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op10_byte_network_language(spark, sf):
+    return langid.identify(table(spark, sf, "documents"))

@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import bytebpe, codes, langid, neardup, packing, quality, simhash, toxicity
+from corpusflow.llm import bytebpe, codes, langid, neardup, packing, pii, quality, simhash, toxicity
 from corpusflow.session import shared_folder, ship_package
 
 QUERIES, SQL = {}, {}
@@ -80,3 +80,8 @@ def op9_kneser_ney_toxicity(spark, sf):
 @query
 def op10_byte_network_language(spark, sf):
     return langid.identify(table(spark, sf, "documents"))
+
+
+@query
+def op4_bootstrapped_pii(spark, sf):
+    return pii.find(table(spark, sf, "documents"))

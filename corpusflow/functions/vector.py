@@ -30,7 +30,10 @@ def unit_matrix(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     if not len(column):
         return np.zeros((0, 0)), np.zeros(0, dtype=bool)
     present = column.notna().to_numpy()
-    width = len(column[present].iloc[0]) if present.any() else 0
+    widths = column[present].map(len).unique()
+    if len(widths) > 1:
+        raise ValueError(f"vectors of different sizes: {sorted(widths.tolist())}")
+    width = int(widths[0]) if len(widths) else 0
     matrix = np.zeros((len(column), width))
     if present.any():
         matrix[present] = np.stack(column[present].to_numpy()).astype(np.float64)
@@ -76,8 +79,10 @@ def topk_kernel(k: int, floor: float, mode: str):
                 for start in range(0, len(asked), 1024):
                     block = asked[start:start + 1024]
                     vectors, usable = unit_matrix(small["embedding"].iloc[block])
-                    if vectors.shape[1] != part.shape[1]:
+                    if not usable.any():
                         continue
+                    if vectors.shape[1] != part.shape[1]:
+                        raise ValueError(f"vectors of different sizes: {vectors.shape[1]} and {part.shape[1]}")
                     scores = np.round(vectors @ part.T, SCORE_DIGITS)
                     scores[~usable] = -np.inf
                     keep = scores >= max(floor, -2.0)

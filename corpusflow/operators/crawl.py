@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,20 +11,19 @@ from corpusflow.operators.extract import MIN_CONTENT, extract_chunks, is_resourc
 from corpusflow.session import cut_lineage
 from corpusflow.sources.sinks import delete_keys, upsert_chunks
 
-# Crawl limits and quality limits.
-MAX_DEPTH = 2
-MAX_PAGES = 50
+# Quality limits.
 MIN_PAGES = 3
 MIN_COVERAGE = 0.2
 MIN_AVG_LENGTH = 500
 
 
-def crawl_bfs(seeds: DataFrame, edges: DataFrame, fetched: DataFrame | None = None, max_depth: int = MAX_DEPTH,
-              max_pages: int | None = MAX_PAGES, ignore_case: bool = False) -> DataFrame:
+def crawl_bfs(seeds: DataFrame, edges: DataFrame, fetched: DataFrame | None = None, max_depth: int | None = None,
+              max_pages: int | None = None, ignore_case: bool = False) -> DataFrame:
     """CR1/CR2: breadth-first visit of all tenants at once.
 
     seeds(tenant_id, url[, position]), edges(tenant_id, url, position, link), fetched(tenant_id, url):
-    pages that gave a chunk; the visit of a tenant ends with its ``max_pages``-th one.
+    pages that gave a chunk. Without limits the walk ends when no new page is left; ``max_depth`` ends it earlier, and
+    with ``max_pages`` the visit of a tenant ends with its ``max_pages``-th page that gave a chunk.
     -> (tenant_id, url, depth, path). ``path`` holds the link positions from the seed; its order
     inside a depth is the discovery order, so no window over a tenant is needed while walking.
     Each level is stored once, which cuts lineage and makes the loop restartable.
@@ -41,7 +42,7 @@ def crawl_bfs(seeds: DataFrame, edges: DataFrame, fetched: DataFrame | None = No
                                               F.array(position).alias("path")), 0))
     links = edges.select("tenant_id", F.col("url").alias("_from"), F.col("position").cast("int").alias("position"), "link")
     visited = level
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = level.join(links, (level.tenant_id == links.tenant_id) & (level.url == links._from)) \
             .select(level.tenant_id, F.col("link").alias("url"), key("link").alias("_key"),
                     F.concat("path", F.array("position")).alias("path"))

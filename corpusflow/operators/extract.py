@@ -14,11 +14,8 @@ from corpusflow.functions import text as tx
 from corpusflow.functions.html import absolute_links, parse_page
 from corpusflow.sources.tables import host_of
 
-# Length limits of a chunk, embedding batch size.
+# Least length of a chunk, embedding batch size.
 MIN_CONTENT = 50
-MAX_CONTENT = 15000
-KEEP_CONTENT = 12000
-LANGUAGE_SAMPLE = 2000
 EMBED_BATCH = 50
 DEFAULT_LANGUAGE = "de"
 PROFILES = {"plain": PLAIN_SELECTORS, "rendered": RENDERED_SELECTORS}
@@ -64,19 +61,22 @@ def chunk_id(tenant: Column, url: Column) -> Column:
 
 
 def chunks_of(parsed: DataFrame, tenant: Column | None = None, min_len: int = MIN_CONTENT,
-              max_len: int = MAX_CONTENT, keep_len: int = KEEP_CONTENT, crawled_at: Column | None = None) -> DataFrame:
-    """EX7, EX8, EX13: pages with enough content as chunk rows."""
+              max_len: int | None = None, keep_len: int | None = None, crawled_at: Column | None = None) -> DataFrame:
+    """EX7, EX8, EX13: pages with enough content as chunk rows; only ``max_len`` cuts a text (EX8)."""
     owner = tenant if tenant is not None else tenant_id_of(F.col("url"))
     fit = parsed.filter(F.length("content") >= min_len)
+    content = F.col("content")
+    if max_len is not None:
+        content = tx.truncate_sentence(content, max_len, keep_len if keep_len is not None else max_len * 4 // 5)
     return fit.select(
         chunk_id(owner, F.col("url")).alias("chunk_id"), owner.alias("tenant_id"), F.col("url").alias("source_url"),
-        "title", tx.truncate_sentence(F.col("content"), max_len, keep_len).alias("content"),
+        "title", content.alias("content"),
         F.lit(DEFAULT_LANGUAGE).alias("language"), F.lit(True).alias("is_active"),
         (crawled_at if crawled_at is not None else F.lit(None).cast("timestamp")).alias("crawled_at"))
 
 
 def extract_chunks(pages: DataFrame, profile: str | list = "plain", min_len: int = MIN_CONTENT,
-                   max_len: int = MAX_CONTENT, model=None, known_languages: list[str] | None = None,
+                   max_len: int | None = None, model=None, known_languages: list[str] | None = None,
                    crawled_at: Column | None = None) -> DataFrame:
     """EX: pages(url, html[, tenant_id]) -> chunk rows. With a model the language is detected (EX9)."""
     keep = ["tenant_id"] if "tenant_id" in pages.columns else []
@@ -85,26 +85,28 @@ def extract_chunks(pages: DataFrame, profile: str | list = "plain", min_len: int
     return tag_language(chunks, model, known_languages) if model is not None else chunks
 
 
-def tag_language(chunks: DataFrame, model, known: list[str] | None = None) -> DataFrame:
-    """EX9: language of the first 2000 characters; ``de`` when blank or undecided."""
+def tag_language(chunks: DataFrame, model, known: list[str] | None = None, sample_chars: int | None = None) -> DataFrame:
+    """EX9: language of the text, or of its first ``sample_chars`` characters; ``de`` when blank or undecided."""
     from corpusflow.operators.textmodel import decide_language, detect_language
 
-    sample = chunks.select("chunk_id", F.substring("content", 1, LANGUAGE_SAMPLE).alias("text"))
+    text = F.col("content") if sample_chars is None else F.substring("content", 1, sample_chars)
+    sample = chunks.select("chunk_id", text.alias("text"))
     decided = detect_language(decide_language(sample, model, "chunk_id"), known or model.labels, DEFAULT_LANGUAGE)
     return chunks.drop("language").join(decided.select("chunk_id", "language"), "chunk_id", "left") \
         .withColumn("language", F.coalesce("language", F.lit(DEFAULT_LANGUAGE))).select(*chunks.columns)
 
 
-def links_of(parsed: DataFrame, allowed: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+def links_of(parsed: DataFrame, allowed: DataFrame | None = None, keep: list[str] | None = None,
+             same_host: bool = True) -> DataFrame:
     """EX10: (keep, url, position, link): allowed hosts, no fragment, no resource, distinct per page.
 
-    Without ``allowed(url_host, link_host)`` a link must stay on the page's own host.
+    Without ``allowed(url_host, link_host)`` a link must stay on the page's own host, unless ``same_host`` is False.
     """
     keep = keep or []
     rows = parsed.select(*keep, "url", F.posexplode("links").alias("position", "link")) \
         .filter(~F.contains(F.col("link"), F.lit("#")) & ~is_resource(F.col("link")))
     if allowed is None:
-        return rows.filter(host_of(F.col("link")) == host_of(F.col("url")))
+        return rows.filter(host_of(F.col("link")) == host_of(F.col("url"))) if same_host else rows
     hosts = rows.withColumn("url_host", host_of(F.col("url"))).withColumn("link_host", host_of(F.col("link")))
     return hosts.join(allowed, ["url_host", "link_host"], "left_semi").drop("url_host", "link_host")
 
@@ -157,10 +159,12 @@ def feature_hash_embedder(dims: int = 64, seed: int = 7) -> Callable[[list[str]]
 
 
 def embed_texts(df: DataFrame, text: str = "content", out: str = "embedding",
-                embed: Callable[[list[str]], np.ndarray] | None = None, batch: int = EMBED_BATCH) -> DataFrame:
-    """EX14: add vectors; texts are truncated (EX8) and passed on in batches of 50, row by row."""
+                embed: Callable[[list[str]], np.ndarray] | None = None, batch: int = EMBED_BATCH,
+                max_len: int | None = None) -> DataFrame:
+    """EX14: add vectors; whole texts, or texts cut at ``max_len`` (EX8), are passed on in batches of 50, row by row."""
     call = embed or feature_hash_embedder()
-    cut = df.withColumn("_cut", tx.truncate_for_embedding(F.coalesce(F.col(text), F.lit(""))))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    cut = df.withColumn("_cut", whole if max_len is None else tx.truncate_for_embedding(whole, max_len))
 
     @F.pandas_udf("array<float>")
     def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

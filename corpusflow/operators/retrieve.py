@@ -55,18 +55,16 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: float =
 
 
 def search_all(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: float = 0.7,
-               candidate_limit: int | None = -1, refill: int = 20, tenants: DataFrame | None = None,
+               candidate_limit: int | None = None, refill: int = 20, tenants: DataFrame | None = None,
                max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES,
                block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """VS3: best ``k`` per tenant out of the nearest ``max(80k, 200)`` chunks of each query.
+    """VS3: best ``k`` per tenant of each query, over all chunks.
 
-    ``candidate_limit=None`` ranks all chunks. With a limit, up to ``refill`` active tenants
-    without any hit (by id) are searched alone; ``tenants(tenant_id)`` lists them.
+    With a ``candidate_limit`` only the nearest chunks of each query are grouped, and up to ``refill`` active
+    tenants without any hit (by id) are searched alone; ``tenants(tenant_id)`` lists them.
     """
     if "is_active" in chunks.columns:
         chunks = chunks.filter("is_active")
-    if candidate_limit == -1:
-        candidate_limit = max(80 * k, 200)
     order = [F.desc("score"), "chunk_id"]
     if candidate_limit is None:
         hits = _topk(queries, chunks, k, min_score, "each", "tenant_id", max_rows, max_bytes, block_rows)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -99,11 +100,16 @@ def example_weight(text: Column, is_greeting: Column | None = None) -> Column:
         .when(complete, 0.7).otherwise(0.35)
 
 
+def quoted(text: str) -> str:
+    """A pattern that matches the text itself."""
+    return re.sub(r"([^\w\s])", r"\\\1", text)
+
+
 def cue_match(text: Column, cues: dict[str, list[str]]) -> Column:
     """TF7: a folded word contains a stem or known name, equals a token, or starts with a prefix."""
     folded = tx.fold(text)
     tests = []
-    inside = [*cues.get("contains", []), *cues.get("names", [])]
+    inside = [*cues.get("contains", []), *(quoted(name) for name in cues.get("names", []))]
     if inside:
         tests.append("(?:" + "|".join(inside) + ")")
     if cues.get("exact"):

@@ -29,7 +29,7 @@ def vs2_tenant_topk(spark, sf):
 
 def vs3_search_all_grouped_topk(spark, sf):
     tenants = vector_tenants(spark, sf).filter("is_active")
-    return _out(vs.search_all(vector_queries(spark, sf), vector_chunks(spark, sf), 3, MIN_SCORE, tenants=tenants))
+    return _out(vs.search_all(vector_queries(spark, sf), vector_chunks(spark, sf), 3, MIN_SCORE, candidate_limit=240, tenants=tenants))
 
 
 def vs3_search_all_exact(spark, sf):

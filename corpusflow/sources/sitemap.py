@@ -9,8 +9,6 @@ from corpusflow.functions.text import strip
 from corpusflow.session import cut_lineage
 from corpusflow.sources.tables import host_of
 
-MAX_NESTING = 10
-
 
 def _decode(text):
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
@@ -34,18 +32,17 @@ def sitemap_entries(docs: DataFrame) -> DataFrame:
         .withColumn("loc", _decode(strip(F.col("loc")))).filter("loc <> ''")
 
 
-def sitemap_urls(docs: DataFrame, candidates: DataFrame, allowed: DataFrame,
-                 max_nesting: int = MAX_NESTING) -> DataFrame:
+def sitemap_urls(docs: DataFrame, candidates: DataFrame, allowed: DataFrame) -> DataFrame:
     """SRC8: (tenant_id, url) of the first candidate with any URL; index files are followed.
 
     docs(sitemap_url, xml); candidates(tenant_id, priority, sitemap_url); allowed(tenant_id, host).
-    The loop does one join per nesting level and ends when no index is left.
+    The loop does one join per nesting level and ends when no index is left that was not followed before.
     """
     entries = cut_lineage(sitemap_entries(docs))
     frontier = candidates.select("tenant_id", "priority", "sitemap_url")
     seen = frontier
     found = None
-    for _ in range(max_nesting):
+    while True:
         rows = frontier.join(entries, "sitemap_url")
         urls = rows.filter("NOT is_index").select("tenant_id", "priority", F.col("loc").alias("url"))
         found = urls if found is None else found.unionByName(urls)

@@ -32,7 +32,7 @@ def test_crawl_by_sitemap_and_by_links(spark):
     tenants, pages, maps = sites(spark)
     old = spark.createDataFrame([("old", "a", "https://a.example.com/old", "T", "c", "de", True, None, None),
                                  ("keep", "z", "https://z/1", "T", "c", "de", True, None, None)], CHUNK)
-    table, verdicts = crawl_sites(tenants, pages, maps, old)
+    table, verdicts = crawl_sites(tenants, pages, maps, old, max_depth=2, max_pages=50)
     urls = {(r["tenant_id"], r["source_url"]) for r in table.collect()}
     assert urls == {("z", "https://z/1"), *[("a", f"https://a.example.com/{i}") for i in range(4)],
                     *[("b", f"https://b.example.com/{p}") for p in ("", "1", "3")]}
@@ -40,6 +40,68 @@ def test_crawl_by_sitemap_and_by_links(spark):
     assert table.filter("tenant_id = 'a' AND size(embedding) = 64").count() == 4
 
 
+def test_without_limits_all_linked_pages_are_found(spark):
+    tenants, pages, maps = sites(spark)
+    old = spark.createDataFrame([], CHUNK)
+    table, _ = crawl_sites(tenants, pages, maps, old)
+    assert {r["source_url"] for r in table.filter("tenant_id = 'b'").collect()} == {f"https://b.example.com/{p}" for p in ("", "1", "3", "4")}
+
+
+def test_links_lead_to_every_allowed_host(spark):
+    tenants = spark.createDataFrame([("a", "https://a.example.com/", ["a.example.com", "WWW.a.example.com"])],
+                                    "tenant_id string, base_url string, allowed_domains array<string>")
+    pages = spark.createDataFrame([("https://a.example.com/", page("A", ["https://www.a.example.com/1", "https://b.example.com/"])),
+                                   ("https://www.a.example.com/1", page("A1", ["https://a.example.com/2"])), ("https://a.example.com/2", page("A2")),
+                                   ("https://b.example.com/", page("B"))], "url string, html string")
+    maps = spark.createDataFrame([], "sitemap_url string, xml string")
+    table, verdicts = crawl_sites(tenants, pages, maps, spark.createDataFrame([], CHUNK))
+    assert {r["source_url"] for r in table.collect()} == {"https://a.example.com/", "https://www.a.example.com/1", "https://a.example.com/2"}
+    assert not verdicts.first()["retry"]
+
+
+def test_second_pass_reads_pages_that_gave_nothing(spark):
+    tenants = spark.createDataFrame([("a", "https://a.example.com/", ["a.example.com"])],
+                                    "tenant_id string, base_url string, allowed_domains array<string>")
+    html = "<body><div class='content'>x</div><div id='app'>" + "text of the rendered part " * 40 + "<a href='/1'>more</a></div></body>"
+    pages = spark.createDataFrame([("https://a.example.com/", html), ("https://a.example.com/1", html)], "url string, html string")
+    maps = spark.createDataFrame([], "sitemap_url string, xml string")
+    table, verdicts = crawl_sites(tenants, pages, maps, spark.createDataFrame([], CHUNK))
+    assert verdicts.first()["pages"] == 0 and verdicts.first()["retry"]
+    assert {r["source_url"] for r in table.collect()} == {"https://a.example.com/", "https://a.example.com/1"}
+
+
+def test_sitemaps_nested_deeply(spark):
+    from corpusflow.sources.sitemap import sitemap_urls
+
+    def index(i):
+        return f"<sitemapindex><sitemap><loc>https://a/{i + 1}.xml</loc></sitemap><sitemap><loc>https://a/0.xml</loc></sitemap></sitemapindex>"
+
+    docs = spark.createDataFrame([(f"https://a/{i}.xml", index(i)) for i in range(12)]
+                                 + [("https://a/12.xml", "<urlset><url><loc>https://a/page</loc></url></urlset>")], "sitemap_url string, xml string")
+    candidates = spark.createDataFrame([("t", 0, "https://a/0.xml")], "tenant_id string, priority int, sitemap_url string")
+    allowed = spark.createDataFrame([("t", "a")], "tenant_id string, host string")
+    assert [tuple(r) for r in sitemap_urls(docs, candidates, allowed).collect()] == [("t", "https://a/page")]
+
+
+def test_vectors_of_different_sizes_raise(spark):
+    import pytest
+
+    from corpusflow.operators import retrieve
+
+    chunks = spark.createDataFrame([("1", "a", [1.0, 0.0])], "chunk_id string, tenant_id string, embedding array<float>")
+    for vectors in ([[1.0, 0.0, 0.0]], [[1.0, 0.0], [1.0, 0.0, 0.0]]):
+        queries = spark.createDataFrame([(str(i), "a", v) for i, v in enumerate(vectors)], "query_id string, tenant_id string, embedding array<float>")
+        with pytest.raises(Exception, match="vectors of different sizes"):
+            retrieve.search(queries, chunks).collect()
+
+
+def test_names_are_no_patterns(spark):
+    from corpusflow.operators.textmodel import cue_match
+
+    df = spark.createDataFrame([("abc",), ("a.c (x)",)], "text string")
+    assert [r[0] for r in df.select(cue_match(F.col("text"), {"names": ["a.c (x)"]})).collect()] == [False, True]
+
+
 def test_incremental_crawl_adds_only_new_pages(spark):
     tenants, pages, maps = sites(spark)
     old = spark.createDataFrame([("old", "a", "HTTPS://a.example.com/0", "T", "c", "de", True, None, None)], CHUNK)

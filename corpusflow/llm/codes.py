@@ -47,7 +47,7 @@ def to_levels(ids: np.ndarray) -> list[dict[str, bytes]]:
         bits = np.packbits(more)
         per_group = np.add.reduceat(_ONES[bits], np.arange(0, len(bits), GROUP_BITS // 8))
         ranks = np.append(0, np.cumsum(per_group)[:-1]).astype("<u4")
-        levels.append({"chunks": (rest & 0xFF).astype(np.uint8).tobytes(), "more": bits.tobytes(), "ranks": ranks.tobytes()})
+        levels.append({"chunks": rest.astype(np.uint8).tobytes(), "more": bits.tobytes(), "ranks": ranks.tobytes()})
         rest = rest[more] >> 8
     return levels
 
@@ -57,10 +57,11 @@ def from_levels(levels) -> np.ndarray:
     if not levels:
         return np.zeros(0, dtype="<u4")
     out = np.frombuffer(levels[0]["chunks"], dtype=np.uint8).astype("<u4")
-    at = np.arange(len(out))
+    at = None
     for depth, level in enumerate(levels[1:], 1):
-        bits = np.unpackbits(np.frombuffer(levels[depth - 1]["more"], dtype=np.uint8), count=len(at))
-        at = at[bits.astype(bool)]
+        bits = np.unpackbits(np.frombuffer(levels[depth - 1]["more"], dtype=np.uint8), count=len(levels[depth - 1]["chunks"]))
+        more = np.flatnonzero(bits)
+        at = more if at is None else at[more]
         out[at] |= np.frombuffer(level["chunks"], dtype=np.uint8).astype("<u4") << np.uint32(8 * depth)
     return out
 

@@ -1,96 +1,151 @@
 """Token ids of whole texts, assembled from segments cut at safe boundaries.
 
-A text may be cut before a space that a non-space follows: no pre-token of the vocabularies used here spans that place,
-and what stands on one side never changes the split of the other. So the ids of a text are the ids of its segments, and a
-worker needs to encode a segment that it has seen only once. The segments are whole; long texts need no other treatment.
+A text may be cut before a space that a non-space follows, and on both sides of a line feed between non-spaces: no pre-token
+of the vocabularies used here spans such a place, and what stands on one side never changes the split of the other. So the
+ids of a text are the ids of its segments, and a worker needs to encode a segment that it has seen only once. The segments
+are whole; long texts need no other treatment.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
+import os
 import re
-from collections.abc import Callable, Iterable
+import string
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from itertools import filterfalse, islice
+from operator import add
 
 import numpy as np
 
-#: Segments that a worker remembers (about 150 bytes each); when full, it starts anew.
-CACHED_SEGMENTS = 600_000
+#: Segments of a generation that a worker remembers (two generations, about 200 bytes a segment).
+CACHED_SEGMENTS = 500_000
 #: New segments that go to the tokenizer in one string.
-JOINED = 800
+JOINED = 16
 
 # Python's white space holds that of the vocabularies, so each cut is safe for them.
 _CUT = re.compile(r" (?=\S)")
-_PLAIN = re.compile(r"\S+\Z")
+_PUNCTUATION = string.punctuation
+# Fixed rule: byte-level vocabularies spell bytes that do not print as letters from U+0100 on, in order.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_UNPRINTED = [b for b in range(256) if b not in _PRINTED]
+_BYTE_LETTERS = "".join(chr(b if b in _PRINTED else 256 + _UNPRINTED.index(b)) for b in range(256))
+
+
+def _spelled(text: str) -> str:
+    """The text as a byte-level vocabulary spells its bytes."""
+    return codecs.charmap_decode(text.encode(), "strict", _BYTE_LETTERS)[0]
+
+
+class Remembered:
+    """Ids of segments with ``before`` in front; what was not asked for during a whole generation is forgotten."""
+
+    def __init__(self, encode: Callable[[str, list[str]], list[bytes]], before: str, cached: int):
+        self.encode, self.before, self.cached = encode, before, cached
+        self.now: dict[str, bytes] = {}
+        self.past: dict[str, bytes] = {}
+
+    def of(self, rows: list[list[str]], first: int, last: int | None) -> list[bytes]:
+        """Ids of the segments first to last of each row, one after the other."""
+        if len(self.now) > self.cached:
+            self.now, self.past = {}, self.now
+        missing: set[str] = set()
+        for row in rows:
+            missing.update(filterfalse(self.now.__contains__, islice(row, first, last)))
+        if missing:
+            past = self.past
+            self.now.update((s, past[s]) for s in missing if s in past)
+            new = [s for s in missing if s not in past]
+            self.now.update(zip(new, self.encode(self.before, new)))
+        return [b"".join(map(self.now.__getitem__, islice(row, first, last))) for row in rows]
 
 
 class SegmentEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers; ``encode`` does the work for new segments."""
+    """Ids of texts as little-endian unsigned 32-bit integers; ``encode(before, segments)`` does the work for new ones."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], cached: int = CACHED_SEGMENTS):
-        self.encode = encode
-        self.cached = cached
-        self.heads: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+    def __init__(self, encode: Callable[[str, list[str]], list[bytes]], cached: int = CACHED_SEGMENTS):
+        (self.line,) = encode("", ["\n"])
+        self.heads, self.rest = Remembered(encode, "", cached), Remembered(encode, " ", cached)
 
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
-        split = [_CUT.split(t) if t else [""] for t in texts]
-        if len(self.heads) + len(self.rest) > self.cached:
-            self.heads, self.rest = {"": b""}, {}
-        heads = {s[0] for s in split}.difference(self.heads)
-        rest: set[str] = set()
-        for s in split:
-            rest.update(s[1:])
-        rest = rest.difference(self.rest)
-        heads.discard("")
-        self.heads[""] = b""
-        self._learn(self.heads, list(heads), "")
-        self._learn(self.rest, list(rest), " ")
-        of = self.rest.__getitem__
-        return [self.heads[s[0]] + b"".join(map(of, s[1:])) for s in split]
-
-    def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> None:
-        if new:
-            known.update(zip(new, self.encode([before + s for s in new])))
+        lines = [list(_lines(t)) if t else [] for t in texts]
+        # where single spaces are all the white space there is, the plain split makes the same cuts
+        split = [x.split(" ") if x.isprintable() and "  " not in x else _CUT.split(x) for some in lines for x in some]
+        done = map(add, self.heads.of(split, 0, 1), self.rest.of(split, 1, None))
+        return [self.line.join(islice(done, len(some))) for some in lines]
+
+
+def _lines(text: str) -> Iterator[str]:
+    """The text between the line feeds that have a non-space on both sides."""
+    held = None
+    for line in text.split("\n"):
+        if held is not None and (not line or line[0].isspace() or not held or held[-1].isspace()):
+            held += "\n" + line
+            continue
+        if held is not None:
+            yield held
+        held = line
+    yield held
 
 
 def byte_encoder(path: str) -> SegmentEncoder:
-    """Byte-level vocabulary of the tokenizers library; a line feed alone marks the borders of joined segments."""
-    return SegmentEncoder(_library(path, "\n", "\n"))
+    """Byte-level vocabulary of the tokenizers library, a space before a word being part of it."""
+    return SegmentEncoder(_library(path, "\n", str, True))
 
 
 def word_encoder(path: str) -> SegmentEncoder:
-    """Vocabulary with word ends, white space dropped; a bar standing alone marks the borders."""
-    return SegmentEncoder(_library(path, " | ", "|"))
+    """Vocabulary with word ends, lower case, white space dropped."""
+    return SegmentEncoder(_library(path, "|", str.lower, False))
 
 
-def _library(path: str, border: str, mark: str) -> Callable[[list[str]], list[bytes]]:
+def _library(path: str, mark: str, fold: Callable[[str], str], keeps_space: bool) -> Callable[[str, list[str]], list[bytes]]:
+    """Most new segments are letters with or without punctuation behind: two pre-tokens at once. For these the library's
+    model is called on many words, already spelled in its byte letters and with a one-token ``mark`` between them;
+    all other segments go through the whole tokenizer, one by one."""
+    # Spark runs a worker for each core; threads of the library would take the others' time
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import Split
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
-    (border_id,) = tokenizer.encode(mark, add_special_tokens=False).ids
+    whole, model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    whole.encode_special_tokens = model.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
+    spelled_mark = _spelled(mark)
+    model.normalizer, model.pre_tokenizer = None, Split(spelled_mark, "isolated")
+    (mark_id,) = whole.encode(mark, add_special_tokens=False).ids
 
     def each(segments: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
-
-    def encode(segments: list[str]) -> list[bytes]:
-        joined = [i for i, s in enumerate(segments) if mark not in s and _PLAIN.match(s.lstrip(" "))]
-        out: list[bytes | None] = [None] * len(segments)
-        groups = [joined[i:i + JOINED] for i in range(0, len(joined), JOINED)]
-        texts = [border.join(segments[i] for i in g) for g in groups]
-        for group, found in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in whole.encode_batch_fast(segments, add_special_tokens=False)]
+
+    tails = {"": b""}
+
+    def encode(before: str, segments: list[str]) -> list[bytes]:
+        front = _spelled(before) if keeps_space else ""
+        # segment -> its letters as the vocabulary spells them; most are plain
+        spelled = {s: front + fold(s) for s in segments if s.isascii() and s.isalpha()}
+        tail = {}
+        for s in segments:
+            if s not in spelled:
+                stem = s.rstrip(_PUNCTUATION)
+                letters = fold(stem)
+                # Latin letters only: alike in every Unicode version, and composed already
+                if letters.isalpha() and max(letters) < "\u0250":
+                    spelled[s], tail[s] = front + _spelled(letters), s[len(stem):]
+        words = list(set(spelled.values()))
+        known: dict[str, bytes] = {}
+        groups = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+        for group, found in zip(groups, model.encode_batch_fast([spelled_mark.join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(found.ids, dtype="<u4")
-            at = np.flatnonzero(ids == border_id)
-            starts, ends = np.append(0, at + 1), np.append(at, len(ids))
-            if len(starts) == len(group):
-                raw = ids.tobytes()
-                for i, a, b in zip(group, (starts * 4).tolist(), (ends * 4).tolist()):
-                    out[i] = raw[a:b]
-        left = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(left, each([segments[i] for i in left])):
-            out[i] = ids
-        return out
+            at, raw = np.flatnonzero(ids == mark_id) * 4, ids.tobytes()
+            known.update(zip(group, [raw[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)])], strict=True))
+        out = {s: known[x] for s, x in spelled.items()}
+        new = list(set(tail.values()).difference(tails))
+        tails.update(zip(new, each(new)))
+        out.update((s, out[s] + tails[t]) for s, t in tail.items())
+        left = [s for s in segments if s not in spelled]
+        out.update(zip(left, each([before + s for s in left])))
+        return list(map(out.__getitem__, segments))
 
     return encode
 
@@ -98,7 +153,7 @@ def _library(path: str, border: str, mark: str) -> Callable[[list[str]], list[by
 def rank_encoder(path: str, pattern: str) -> SegmentEncoder:
     """Vocabulary in a local rank file, by the tiktoken library."""
     encoding = rank_encoding(path, pattern)
-    return SegmentEncoder(lambda segments: [np.array(encoding.encode_ordinary(s), dtype="<u4").tobytes() for s in segments])
+    return SegmentEncoder(lambda before, segments: [np.array(encoding.encode_ordinary(before + s), dtype="<u4").tobytes() for s in segments])
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

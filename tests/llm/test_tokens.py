@@ -19,7 +19,8 @@ BYTES, WORDS, RANKS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json"),
 PIECES = [" ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", " ", "　", "a", "word", "'s", "'re", "don't", "12", "3.5", "|", " | ",
           "é", "é", "́", "Σ", "ß", "İ", "漢字", "👍🏽", "<|endoftext|>", "<|startoftext|>", "%%%", "\x00", "_", "A"]
 HARD = ["", " ", "a", " a", "a ", "\n\n a  b\n c \n", "x" * 3000, "1" * 500, "<|endoftext|> tail", "a | b", "| a", "a\nb | c\nd", "  lead", "tail  ",
-        " ́ a ́b", "word " * 5000]
+        " ́ a ́b", "word " * 5000, "a\nb", "a \nb", "a\n b", "a\n\nb", "\na", "a\n", "a\r\nb", "'s\n's 's", "one two.\nThree four\n\n five\nsix",
+        "Ċ aĊb İstanbul ŉ ß ẞ Ǆ ƻ 'ord word' it's. (word) a|b |c| d| word.', end%%% x_ _ '' é. É,, ñ!?", "a ", " a", "  ", "\u0138 \u02b0 ª º µ"]
 
 
 def library(path):
@@ -58,8 +59,8 @@ def test_any_texts(kind, texts):
 
 
 def test_full_cache_starts_anew():
-    small = segments.SegmentEncoder(CASES["bytes"][0].encode, cached=3)
-    for text in ["a b c d e", "c d e f", "a b", ""]:
+    small = segments.SegmentEncoder(CASES["bytes"][0].rest.encode, cached=3)
+    for text in ["a b c d e", "c d e f", "a b", "", "c d", "a b c d e f g h", "a f"]:
         assert ids_of(small([text])[0]) == CASES["bytes"][1](text)
 
 

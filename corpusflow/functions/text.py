@@ -76,6 +76,14 @@ def word_ngrams(word: Column) -> Column:
     return F.concat(whole, *[of_size(n) for n in range(MIN_N, MAX_N + 1)])
 
 
+def word_features(word: str) -> list[str]:
+    """The same features of one word in Python; the word feature stands first."""
+    word = unicodedata.normalize("NFC", word)
+    padded = f" {word} "
+    whole = [f"w:{word}"] if len(word) <= MAX_WORD_FEATURE else []
+    return whole + [padded[i:i + n] for n in range(MIN_N, MAX_N + 1) for i in range(len(padded) - n + 1)]
+
+
 def _fold_pairs() -> tuple[str, str]:
     """Accented lower-case letter -> base letter, derived from the Unicode decompositions."""
     source, target = [], []

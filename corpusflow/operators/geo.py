@@ -214,7 +214,7 @@ def conflicts(scores: DataFrame) -> DataFrame:
 
 
 def _branches(scores: DataFrame, verdict: DataFrame, n: int) -> DataFrame:
-    """GE10: (subject, tenant_id, ord): poles first where there is a conflict, then by distance."""
+    """GE10: (subject, tenant_id, ord<source, ord>): poles first where there is a conflict, then by distance."""
     def best(name: str, condition: Column | None = None) -> Column:
         key = F.struct(F.col(name).alias("km"), F.col("primary_km").alias("p"), F.col("tenant_id"))
         return F.min(F.when(condition, key)) if condition is not None else F.min(key)
@@ -223,11 +223,11 @@ def _branches(scores: DataFrame, verdict: DataFrame, n: int) -> DataFrame:
     poles = scores.groupBy("subject").agg(best("_km1").alias("b1"), best("_km1", lift).alias("b2"),
                                           best("_km2", F.col("_km2").isNotNull()).alias("b3"))
     poles = poles.join(verdict.filter("conflict"), "subject").select("subject", F.inline(F.array(
-        *[F.struct(F.col(f"b{i}.tenant_id").alias("tenant_id"), F.lit(i).alias("ord")) for i in (1, 2, 3)]))) \
+        *[F.struct(F.col(f"b{i}.tenant_id").alias("tenant_id"), F.struct(F.lit(0).alias("source"), F.lit(i).alias("ord")).alias("ord")) for i in (1, 2, 3)]))) \
         .filter("tenant_id IS NOT NULL")
     window = Window.partitionBy("subject").orderBy("primary_km", "tenant_id")
     by_distance = scores.withColumn("ord", F.row_number().over(window)).filter(F.col("ord") <= n) \
-        .select("subject", "tenant_id", (F.col("ord") + 10).alias("ord"))
+        .select("subject", "tenant_id", F.struct(F.lit(1).alias("source"), "ord").alias("ord"))
     return poles.unionByName(by_distance)
 
 
@@ -246,7 +246,7 @@ def geo_rank(queries: DataFrame, tenants: DataFrame, hits: DataFrame, n: int = 3
     ordered = asked.join(_branches(scores, verdict, n), "subject").select("query_id", "tenant_id", "ord")
     known = verdict.select("subject", F.lit(True).alias("_scored"), "conflict")
     fill_for = asked.join(known, "subject", "left").filter("NOT is_geo OR amenity_mixed OR _scored IS NULL")
-    filled = hits.select("query_id", "tenant_id", (F.col("text_rank") + 100000).alias("ord")) \
+    filled = hits.select("query_id", "tenant_id", F.struct(F.lit(2).alias("source"), F.col("text_rank").cast("int").alias("ord")).alias("ord")) \
         .join(fill_for.select("query_id"), "query_id", "left_semi")
     best = ordered.unionByName(filled).groupBy("query_id", "tenant_id").agg(F.min("ord").alias("ord"))
     ranked = best.withColumn("geo_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("ord", "tenant_id"))) \

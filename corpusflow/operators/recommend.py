@@ -44,7 +44,8 @@ def _first_distinct(hits: DataFrame, value: str, key: Column, n: int, out: str)
         F.transform(F.sort_array(F.collect_list(F.struct("rn", "_v"))), lambda s: s["_v"]).alias(out))
 
 
-def recommend(hits: DataFrame, tenants: DataFrame, geo: DataFrame | None = None, n: int = DEFAULT_RESULTS) -> DataFrame:
+def recommend(hits: DataFrame, tenants: DataFrame, geo: DataFrame | None = None, n: int = DEFAULT_RESULTS,
+              max_urls: int = MAX_URLS, max_features: int = MAX_FEATURES) -> DataFrame:
     """RC1: per (query, tenant) best score, URLs, titles, reason, coordinates; ranked and cut.
 
     hits(query_id, tenant_id, chunk_id, score, title, source_url); geo(query_id, tenant_id,
@@ -65,8 +66,8 @@ def recommend(hits: DataFrame, tenants: DataFrame, geo: DataFrame | None = None,
     ranked = _top(rows, ["query_id"], [F.when(is_geo, F.col("geo_rank")).asc_nulls_last(), F.desc("match_score"), "tenant_id"], n, "rank")
     keys = ranked.select("query_id", "tenant_id")
     kept = hits.join(keys, ["query_id", "tenant_id"], "left_semi")
-    urls = _first_distinct(kept, "source_url", F.lower("source_url"), MAX_URLS, "sources")
-    titles = _first_distinct(kept, "title", F.col("title"), MAX_FEATURES, "features")
+    urls = _first_distinct(kept, "source_url", F.lower("source_url"), max_urls, "sources")
+    titles = _first_distinct(kept, "title", F.col("title"), max_features, "features")
     reason = F.when(is_geo, REASON_GEO).when(~is_blank(F.col("_best_title")), F.col("_best_title")).otherwise(REASON_DEFAULT)
     has_point = "latitude" in tenants.columns
     lat = F.round("latitude", 6) if has_point else F.lit(None).cast("double")

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +31,8 @@ MAX_SHARED_LETTERS = 96
 GREETING_SINGLE = 0.97
 GREETING_FIRST = 0.78
 
-MAX_LABELS = 500
-BROADCAST_BYTES = 256 * 1024 * 1024
+#: Largest model that workers hold; a worker needs about four times as much.
+BROADCAST_BYTES = 96 * 1024 * 1024
 
 
 # ---------------------------------------------------------------- features
@@ -131,6 +135,7 @@ class NBModel:
     totals: list[float]
     vocabulary: int
     smoothing: float
+    _held: Broadcast | None = None
 
     def denominator(self, i: int) -> float:
         return self.totals[i] + self.smoothing * self.vocabulary
@@ -142,6 +147,22 @@ class NBModel:
         seen = F.log((F.col(f"c{i}") + self.smoothing) / self.denominator(i))
         return F.when(F.col(f"c{i}").isNotNull(), seen.cast("float").cast("double"))
 
+    def likelihoods(self) -> DataFrame:
+        """ngram and a nullable log-likelihood per label (p0, p1, ...)."""
+        return self.counts.select("ngram", *[self.log_likelihood(i).alias(f"p{i}") for i in range(len(self.labels))])
+
+    def is_small(self) -> bool:
+        """The whole table, as counted in training, is below the bound for what a worker may hold."""
+        return self.vocabulary * (48 + 9 * len(self.labels)) <= BROADCAST_BYTES
+
+    def local(self) -> Broadcast:
+        """n-grams and their log-likelihoods (NaN = none) for the workers, fetched once; only for a small model."""
+        if self._held is None:
+            rows = self.likelihoods().toPandas()
+            matrix = rows.drop(columns="ngram").to_numpy(dtype=np.float64)
+            self._held = self.counts.sparkSession.sparkContext.broadcast((rows["ngram"].tolist(), matrix))
+        return self._held
+
     def likelihood_table(self) -> DataFrame:
         """LG1 as rows: (label, ngram, log_likelihood)."""
         rows = F.array(*[F.struct(F.lit(label).alias("label"), self.log_likelihood(i).alias("log_likelihood"))
@@ -170,11 +191,9 @@ def train_nb(labeled: DataFrame, smoothing: float = LANGUAGE_SMOOTHING, label: s
         w = F.lit(1.0)
     data = labeled.select(F.col(label).alias("label"), F.col(text).alias("text"), w.alias("_weight"))
     docs = {r["label"]: r["w"] for r in
-            data.groupBy("label").agg(F.sum("_weight").alias("w")).orderBy("label").take(MAX_LABELS + 1)}
+            data.groupBy("label").agg(F.sum("_weight").alias("w")).collect()}
     if not docs:
         raise ValueError("training data is empty")
-    if len(docs) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
     labels = sorted(docs)
     by_word = tx.word_counts(data, ["label"], "text", F.col("_weight"))
     grams = gram_rows(by_word, "label", "n")
@@ -193,26 +212,83 @@ def score_words(words: DataFrame, model: NBModel) -> DataFrame:
     """Per distinct word: its token counts and, per label, the log-score gain over "unseen", the
     seen tokens and whether the word feature is known."""
     grams = gram_rows(words, "word")
-    table = model.counts.select("ngram", *[model.log_likelihood(i).alias(f"p{i}")
-                                           for i in range(len(model.labels))])
+    table = model.likelihoods()
     sums = [F.count(F.lit(1)).alias("t"), F.max(F.when(F.col("ngram").startswith("w:"), 1).otherwise(0)).alias("wt")]
     for i in range(len(model.labels)):
         present = F.col(f"p{i}").isNotNull()
         sums += [F.sum(F.when(present, F.col(f"p{i}") - model.unseen(i)).otherwise(0.0)).alias(f"g{i}"),
                  F.count_if(present).alias(f"s{i}"),
                  F.max(F.when(present & F.col("ngram").startswith("w:"), 1).otherwise(0)).alias(f"w{i}")]
-    # A model below the bound is broadcast: the n-grams of a word then stay in the word's partition
-    # and the sums need no further shuffle. Beyond it, both sides are shuffled by n-gram.
-    if model.vocabulary * (48 + 9 * len(model.labels)) <= BROADCAST_BYTES:
-        table = F.broadcast(table)
     return grams.join(table, "ngram", "left").groupBy("word").agg(*sums)
 
 
-def score_nb(df: DataFrame, model: NBModel, key: str = "doc_id", text: str = "text",
-             salts: int = 1) -> DataFrame:
-    """LG2/LG3 in array form, one row per text that has features.
+class _WordScorer:
+    """Per word: features, word features and, per label, gain, seen features and the known word feature; kept while met again."""
+
+    CACHED = 300_000
+
+    def __init__(self, grams: list[str], likelihoods: np.ndarray, unseen: list[float]):
+        self.index = {g: i for i, g in enumerate(grams)}
+        self.known = ~np.isnan(likelihoods)
+        self.gain = np.where(self.known, likelihoods - np.array(unseen), 0.0)
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((1024, 2 + 3 * len(unseen)))
+
+    def _add(self, word: str) -> int:
+        grams = tx.word_features(word)
+        found = [i for i in map(self.index.get, grams) if i is not None]
+        has_word = grams[0].startswith("w:")
+        whole = self.index.get(grams[0]) if has_word else None
+        row = len(self.rows)
+        if row == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        seen = self.known[found].sum(axis=0)
+        word_seen = self.known[whole] if whole is not None else np.zeros(len(seen))
+        self.table[row] = np.concatenate([[len(grams), has_word], self.gain[found].sum(axis=0), seen, word_seen])
+        self.rows[word] = row
+        return row
+
+    def total(self, text: str) -> np.ndarray:
+        if len(self.rows) > self.CACHED:
+            self.rows.clear()
+        get = self.rows.get
+        at = [r if (r := get(w)) is not None else self._add(w) for w in text.split(" ") if w]
+        return self.table[at].sum(axis=0)
+
+
+def score_column(text: Column, model: NBModel) -> Column:
+    """LG2/LG3 of a text as struct<tokens, word_tokens, scores, seen, word_seen> (null without features), in the text's own row.
+
+    The measured model goes to the workers once; texts meet it where they are, nothing is shuffled.
+    """
+    held, unseen, priors, k = model.local(), [model.unseen(i) for i in range(len(model.labels))], np.array(model.priors), len(model.labels)
+
+    @F.pandas_udf("tokens long, word_tokens long, scores array<double>, seen array<long>, word_seen array<long>")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = _WordScorer(*held.value, unseen)
+        for part in parts:
+            rows = []
+            for words in part:
+                sums = scorer.total(words or "")
+                whole = sums[[0, 1, *range(2 + k, 2 + 3 * k)]].astype(np.int64)
+                rows.append((whole[0], whole[1], priors + np.array(unseen) * sums[0] + sums[2:2 + k], whole[2:2 + k], whole[2 + k:]))
+            yield pd.DataFrame(rows, columns=["tokens", "word_tokens", "scores", "seen", "word_seen"])
+
+    scored = score(F.regexp_replace(F.lower(text), tx.WORD_BREAK, " "))
+    return F.when(scored["tokens"] > 0, scored)
+
+
+def score_nb(df: DataFrame, model: NBModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """LG2/LG3, one row per text that has features: (key, tokens, word_tokens, scores, seen, word_seen); arrays follow
+    ``model.labels``."""
+    if model.is_small():
+        return df.select(key, score_column(F.col(text), model).alias("_s")).filter("_s IS NOT NULL").select(key, "_s.*")
+    return score_nb_shuffled(df, model, key, text)
+
+
+def score_nb_shuffled(df: DataFrame, model: NBModel, key: str = "doc_id", text: str = "text", salts: int = 1) -> DataFrame:
+    """The same for a model that workers cannot hold; rows of one key count as one text.
 
-    -> (key, tokens, word_tokens, scores, seen, word_seen); arrays follow ``model.labels``.
     Texts meet the model on words, not on n-grams, with one row per text and distinct word. A
     partition with a frequent word is split at run time (adaptive skew join); ``salts`` > 1 spreads
     every word by hand. The per-text sums are combined map-side.
@@ -239,6 +315,16 @@ def score_nb(df: DataFrame, model: NBModel, key: str = "doc_id", text: str = "te
         F.array(*[F.col(f"w{i}") for i in range(count)]).alias("word_seen"))
 
 
+_SCORE = ["tokens", "word_tokens", "scores", "seen", "word_seen"]
+
+
+def with_scores(df: DataFrame, model: NBModel, key: str, text: str) -> DataFrame:
+    """All rows with the score columns, null for texts without features."""
+    if model.is_small():
+        return df.withColumn("_s", score_column(F.col(text), model)).select("*", *[F.col(f"_s.{c}") for c in _SCORE]).drop("_s")
+    return df.join(score_nb_shuffled(df, model, key, text), key, "left")
+
+
 def _softmax(scores: Column) -> Column:
     """Null scores (excluded labels) get probability 0."""
     top = F.array_max(scores)
@@ -284,8 +370,8 @@ def decide_language(df: DataFrame, model: NBModel, key: str = "doc_id", text: st
         base = match_greetings(base, greetings, text)
     else:
         base = base.withColumn("greeting_codes", F.lit(None).cast("array<string>"))
-    base = script_profile(base, text).select(key, "greeting_codes", "letters", "restrict_script", "unsupported")
-    scored = base.join(score_nb(df, model, key, text), key, "left")
+    scored = with_scores(script_profile(base, text), model, key, text).select(
+        key, "greeting_codes", "letters", "restrict_script", "unsupported", *_SCORE)
     allowed = allowed_labels(F.col("restrict_script"))
     scored = rank_labels(scored, model.labels, allowed)
     any_label = F.coalesce(F.arrays_overlap(allowed, F.array(*[F.lit(c) for c in model.labels])), F.lit(True))
@@ -370,13 +456,12 @@ def train_binary_nb(labeled: DataFrame, positive: str, negative: str, label: str
 def score_binary_nb(df: DataFrame, model: NBModel, positive: str, negative: str, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """BN1: (key, label, p); a tie is positive, a text without features is negative with p = 1."""
-    scored = score_nb(df, model, key, text)
+    scored = with_scores(df.select(key, text), model, key, text)
     at = {name: i + 1 for i, name in enumerate(model.labels)}
     pos, neg = F.element_at("scores", at[positive]), F.element_at("scores", at[negative])
     top = F.greatest(pos, neg)
     p = F.exp(pos - top) / (F.exp(pos - top) + F.exp(neg - top))
-    scored = scored.select(key, p.alias("_p"))
-    joined = df.select(key, tx.letter_count(F.col(text)).alias("_letters")).join(scored, key, "left")
+    joined = scored.select(key, tx.letter_count(F.col(text)).alias("_letters"), p.alias("_p"))
     usable = (F.col("_letters") >= MIN_LETTERS) & F.col("_p").isNotNull()
     is_positive = usable & (F.col("_p") >= 0.5)
     return joined.select(key, F.when(is_positive, positive).otherwise(negative).alias("label"),

@@ -217,7 +217,7 @@ def rc15_recommend_batch(spark, sf):
     """All sessions answered over documents as chunks, with models trained on the documents."""
     from corpusflow.operators import textmodel as tm
     from corpusflow.operators.extract import embed_texts
-    from corpusflow.plans.q_text import _quality, _weighted
+    from corpusflow.plans.q_text import _quality, language_model
     from corpusflow.plans.recommend_batch import Models, recommend_batch
 
     docs = table(spark, sf, "documents")
@@ -225,7 +225,7 @@ def rc15_recommend_batch(spark, sf):
         F.col("doc_id").cast("string").alias("chunk_id"), F.concat(F.lit("t"), F.col("doc_id") % 10).alias("tenant_id"), F.lit(True).alias("is_active"),
         F.concat(F.lit("Doc "), "doc_id").alias("title"), F.col("text").alias("content"), F.concat(F.lit("https://d/"), "doc_id").alias("source_url")))
     scope = tm.train_binary_nb(_quality(spark, sf).withColumn("label", F.when(F.col("label") == "good", "in_scope").otherwise("out_of_scope")), "in_scope", "out_of_scope")
-    models = Models(tm.train_nb(_weighted(spark, sf)), scope=scope)
+    models = Models(language_model(spark, sf), scope=scope)
     return recommend_batch(turns(spark, sf), chunks, vector_tenants(spark, sf).withColumn("has_lift", F.lit(False)), models)[0].select(
         "query_id", "language", "response_type", "status", F.array_join("tenants", ",").alias("tenants"), F.length("answer").cast("long").alias("answer_len"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
@@ -26,6 +28,17 @@ def _quality(spark, sf):
         "doc_id", "text", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("label"))
 
 
+@cache
+def language_model(spark, sf):
+    """Trained once in a session for all queries that only use it."""
+    return tm.train_nb(_weighted(spark, sf))
+
+
+@cache
+def quality_model(spark, sf):
+    return tm.train_binary_nb(_quality(spark, sf), "good", "bad")
+
+
 def tf1_char_ngrams(spark, sf):
     return tm.char_ngrams(_docs(spark, sf), ["lang"], "text")
 
@@ -79,7 +92,7 @@ def _turn_texts(spark, sf):
 
 
 def lg2_score_nb(spark, sf):
-    model = tm.train_nb(_weighted(spark, sf))
+    model = language_model(spark, sf)
     return tm.label_probabilities(_turn_texts(spark, sf), model).select(
         "doc_id", "label", F.round("score", 3).alias("score"), F.round("p", 4).alias("p"),
         F.col("seen").cast("long").alias("seen"), F.col("word_seen").cast("long").alias("word_seen"),
@@ -87,42 +100,42 @@ def lg2_score_nb(spark, sf):
 
 
 def lg4_language_decision(spark, sf):
-    model = tm.train_nb(_weighted(spark, sf))
+    model = language_model(spark, sf)
     return tm.decide_language(_turn_texts(spark, sf), model).select(
         "doc_id", "code", F.round("p", 4).alias("p"), F.round("coverage", 4).alias("coverage"),
         "is_unknown", "is_ambiguous", "reason")
 
 
 def lg5_detect(spark, sf):
-    model = tm.train_nb(_weighted(spark, sf))
+    model = language_model(spark, sf)
     decided = tm.decide_language(_turn_texts(spark, sf), model)
     return tm.detect_language(decided, ["de", "en", "fr"]).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
 
 
 def lg6_confusion(spark, sf):
-    model = tm.train_nb(_weighted(spark, sf))
+    model = language_model(spark, sf)
     docs = _docs(spark, sf)
     best = tm.rank_labels(tm.score_nb(docs, model), model.labels).select("doc_id", F.col("ranked")[0]["code"].alias("pred"))
     return tm.evaluate(docs.join(best, "doc_id").withColumn("truth", F.col("lang")))[0]
 
 
 def bn1_binary_nb(spark, sf):
-    model = tm.train_binary_nb(_quality(spark, sf), "good", "bad")
+    model = quality_model(spark, sf)
     return tm.score_binary_nb(_docs(spark, sf), model, "good", "bad").select("doc_id", "label", F.round("p", 4).alias("p"))
 
 
 def bn2_positive(spark, sf):
-    model = tm.train_binary_nb(_quality(spark, sf), "good", "bad")
+    model = quality_model(spark, sf)
     return tm.is_positive(tm.score_binary_nb(_docs(spark, sf), model, "good", "bad"), "good", 0.45).select("doc_id", "label")
 
 
 def bn3_gate(spark, sf):
-    model = tm.train_binary_nb(_quality(spark, sf), "good", "bad")
+    model = quality_model(spark, sf)
     return tm.abuse_gate(_docs(spark, sf), model, ["worthless"], ["the ", "und"], reject="bad", ok="good")
 
 
 def bn4_scope_gate(spark, sf):
-    model = tm.train_binary_nb(_quality(spark, sf), "good", "bad")
+    model = quality_model(spark, sf)
     return tm.scope_gate(_docs(spark, sf), model, {"contains": ["heit", "blebl"]}, positive="good", negative="bad")
 
 

@@ -8,7 +8,7 @@ from corpusflow import defaults as d
 from corpusflow.operators import sessions as cs
 from corpusflow.operators import textmodel as tm
 from corpusflow.operators import turns as ct
-from corpusflow.plans.q_text import _weighted
+from corpusflow.plans.q_text import language_model
 from corpusflow.plans.tables import table, turns, vector_chunks, vector_queries, vector_tenants, with_
 
 
@@ -49,7 +49,7 @@ def ct9_vocab_flags(spark, sf):
 
 
 def _decided(spark, sf):
-    model = tm.train_nb(_weighted(spark, sf))
+    model = language_model(spark, sf)
     keyed = turns(spark, sf).filter("role = 'user'").withColumn("key", F.concat_ws(":", "session_id", "turn"))
     decided = tm.decide_language(keyed, model, "key")
     return keyed.join(decided, "key").drop("p")

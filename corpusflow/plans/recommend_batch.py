@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -37,11 +38,24 @@ class Models:
     soft_markers: list[str] = field(default_factory=list)
     cues: dict = field(default_factory=lambda: d.DOMAIN_CUES)
     embed: Callable | None = None
-    answer: Callable[[list[str], list[str]], list[str]] | None = None
+    #: questions, ranked lists, contexts -> answers
+    answer: Callable[[list[str], list[str], list[str]], list[str]] | None = None
+    #: questions, contexts -> whether the context fits, asked only where no score decides; None takes all as fitting
+    relevant: Callable[[list[str], list[str]], list[bool]] | None = None
     translate: Callable[[list[str]], list[str]] | None = None
 
 
-def extractive_answer(questions: list[str], summaries: list[str]) -> list[str]:
+class Batch(NamedTuple):
+    responses: DataFrame
+    listing: DataFrame
+    pending: DataFrame
+    state: DataFrame
+
+
+PENDING = "session_id string, position int, name string, score double, url string"
+
+
+def extractive_answer(questions: list[str], summaries: list[str], contexts: list[str]) -> list[str]:
     """Default answer: the ranked names with their reasons."""
     return [s for s in summaries]
 
@@ -94,21 +108,26 @@ def understand(turns: DataFrame, tenants: DataFrame, models: Models) -> DataFram
 
 def recommend_batch(turns: DataFrame, chunks: DataFrame, tenants: DataFrame, models: Models,
                     recommended: DataFrame | None = None, pending: DataFrame | None = None,
-                    n: int = rc.DEFAULT_RESULTS) -> tuple[DataFrame, DataFrame]:
-    """(responses, listing): responses(query_id, session_id, language, response_type, status, tenants,
-    answer) and the catalog answers as rows (query_id, position, tenant_id, line).
+                    n: int = rc.DEFAULT_RESULTS, configured: str | None = None) -> Batch:
+    """Responses(query_id, session_id, language, response_type, status, tenants, answer), the catalog answers as rows
+    (query_id, position, tenant_id, line), and for the next run the sources still held back (``PENDING``) and the state
+    (session_id, region_state, focus_tenant, focus_name, tenants) of the sessions asked.
 
     turns(session_id, turn, role, text); chunks with title, content, source_url and embedding;
-    recommended(session_id, tenants array) holds earlier recommendations, pending(session_id, …) the
-    sources held back for a "more sources" request. All sessions run together; what several
+    recommended(session_id, tenants array) holds earlier recommendations, pending (``PENDING``) the
+    sources held back for a "more sources" request, which returns and clears them. ``configured`` is the configured
+    number of results, 1 to 20, and goes before ``n``. A question whose best score is too low for a decision goes through
+    ``models.relevant`` with its context; what it rejects has no results. All sessions run together; what several
     branches read is stored once.
     """
+    if configured is not None:
+        number = configured.strip()
+        n = int(number) if number.isdecimal() and 1 <= int(number) <= rc.MAX_RESULTS else rc.DEFAULT_RESULTS
     asked = understand(turns, tenants, models)
-    if pending is not None:
-        held = pending.select("session_id").distinct().withColumn("_held", F.lit(True))
-        asked = asked.join(held, "session_id", "left").withColumn("has_pending", F.coalesce("_held", F.lit(False))).drop("_held")
-    else:
-        asked = asked.withColumn("has_pending", F.lit(False))
+    if pending is None:
+        pending = turns.sparkSession.createDataFrame([], PENDING)
+    held = pending.select("session_id").distinct().withColumn("_held", F.lit(True))
+    asked = asked.join(held, "session_id", "left").withColumn("has_pending", F.coalesce("_held", F.lit(False))).drop("_held")
     queries = cut_lineage(asked)
     located = ge.resolve_coordinates(tenants)
     searching = queries.filter("ethical AND in_scope AND NOT broad_catalog AND NOT (more_sources AND has_pending)")
@@ -134,23 +153,60 @@ def recommend_batch(turns: DataFrame, chunks: DataFrame, tenants: DataFrame, mod
     recommendations = cut_lineage(rc.recommend(full, tenants, geo, n))
     lists = recommendations.groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "tenant_id", "name", "reason"))).alias("_r"))
+    ranked = full.join(recommendations.select("query_id", "tenant_id"), ["query_id", "tenant_id"], "left_semi")
+    briefing = ge.briefing(geo, searching, tenants)
+    context = rc.assemble_context(ranked, tenants, n, briefing)
     counts = full.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    gated = cut_lineage(_gated(vs.relevance_gate(searching.select("query_id", "text", "is_geo"), ranked, RELEVANT).join(context, "query_id"), models.relevant))
+    counts = counts.join(gated.filter("fits").select("query_id"), "query_id", "left_semi")
     routed = queries.join(counts, "query_id", "left").join(lists, "query_id", "left").select(
-        "query_id", "session_id", "language", "text", "ethical", "in_scope", "more_sources", "broad_catalog", "_r", "region_state",
+        "query_id", "session_id", "language", "text", "ethical", "in_scope", "more_sources", "broad_catalog", "_r", "region_state", "focus_tenant", "focus_name",
         F.lit(False).alias("needs_clarification"), "has_pending", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
-    routed = rc.route(routed)
-    answered = _answer(routed.filter("response_type = 'recommendations'").select(
-        "query_id", "text", F.array_join(F.transform("_r", lambda r: F.concat(r["rank"].cast("string"), F.lit(". "), r["name"], F.lit(": "), r["reason"])), "\n").alias("summary")),
+    routed = cut_lineage(rc.route(routed))
+    answered = _answer(routed.filter("response_type = 'recommendations'").join(gated.select("query_id", "context"), "query_id", "left").select(
+        "query_id", "text", F.coalesce("context", F.lit("")).alias("context"), F.array_join(F.transform("_r", lambda r: F.concat(r["rank"].cast("string"), F.lit(". "), r["name"], F.lit(": "), r["reason"])), "\n").alias("summary")),
         models.answer or extractive_answer)
-    sources = rc.weighted_sources(answered, full, tenants)
+    answered = cut_lineage(answered)
+    sources = cut_lineage(rc.weighted_sources(answered, full, tenants))
     sections = rc.sources_section(sources, routed.select("query_id", "language"))
     listing = rc.catalog(routed.filter("response_type = 'catalog'").select("query_id", F.col("region_state").alias("region")), tenants)
     text = F.concat(rc.strip_footer(F.col("answer")), F.coalesce("section", F.lit("")))
-    responses = routed.join(answered, "query_id", "left").join(sections, "query_id", "left").select(
+    more = routed.filter("response_type = 'more_sources'").select("query_id", "session_id", "language")
+    new = sources.filter("NOT is_primary").join(routed.select("query_id", "session_id"), "query_id").select(
+        "session_id", F.col("position").cast("int").alias("position"), "name", "score", "url")
+    returned, kept = rc.pending_sources(new, more.select("session_id"), pending.select(*new.columns))
+    responses = routed.join(answered, "query_id", "left").join(sections, "query_id", "left").join(_more_answer(more, returned), "query_id", "left").select(
         "query_id", "session_id", "language", "response_type", "status",
         F.when(F.col("response_type") == "recommendations", F.transform("_r", lambda r: r["tenant_id"])).alias("tenants"),
-        F.when(F.col("response_type") == "recommendations", text).alias("answer"))
-    return responses, listing
+        F.when(F.col("response_type") == "recommendations", text).otherwise(F.col("more_answer")).alias("answer"))
+    named = recommendations.join(routed.filter("response_type = 'recommendations'").select("query_id", "session_id"), "query_id")
+    state = cs.focus_after(named.select("session_id", "tenant_id", F.col("name").alias("tenant_name")),
+                           routed.select("session_id", "region_state", "focus_tenant", "focus_name"))
+    last = named.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "tenant_id"))), lambda r: r["tenant_id"]).alias("tenants"))
+    return Batch(responses, listing, kept, state.join(last, "session_id", "left"))
+
+
+def _more_answer(requests: DataFrame, returned: DataFrame) -> DataFrame:
+    """(query_id, more_answer): the sources held back for a session as a list."""
+    line = F.concat(F.lit("- "), "name", F.lit(" ("), F.format_string("%.2f", F.col("score")), F.lit("): "), "url")
+    lists = returned.groupBy("session_id").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("position", line.alias("l")))), lambda s: s["l"]), "\n").alias("_lines"))
+    header = F.when(F.lower("language") == "en", "**Additional sources:**").otherwise("**Weitere Quellen:**")
+    return requests.join(lists, "session_id").select("query_id", F.concat(header, F.lit("\n"), "_lines").alias("more_answer"))
+
+
+def _gated(judged: DataFrame, relevant) -> DataFrame:
+    """(query_id, context, fits): scores decide, the callable judges the undecided rows only."""
+    decided = judged.filter("relevance = 'relevant'").select("query_id", "context", F.lit(True).alias("fits"))
+    open_ = judged.filter("relevance <> 'relevant'")
+    if relevant is None:
+        return decided.unionByName(open_.select("query_id", "context", F.lit(True).alias("fits")))
+
+    @F.pandas_udf("boolean")
+    def fits(questions: pd.Series, contexts: pd.Series) -> pd.Series:
+        return pd.Series([bool(x) for x in relevant(questions.tolist(), contexts.tolist())])
+
+    return decided.unionByName(open_.select("query_id", "context", fits("text", "context").alias("fits")))
 
 
 def _answer(rows: DataFrame, answer) -> DataFrame:
@@ -158,6 +214,6 @@ def _answer(rows: DataFrame, answer) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame({"query_id": batch["query_id"], "answer": answer(batch["text"].tolist(), batch["summary"].tolist())})
+            yield pd.DataFrame({"query_id": batch["query_id"], "answer": answer(batch["text"].tolist(), batch["summary"].tolist(), batch["context"].tolist())})
 
     return rows.mapInPandas(run, f"query_id {key}, answer string")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm import bytebpe, codes, langid, neardup, packing, pii, quality, simhash, toolcalls, toxicity
-from corpusflow.session import shared_folder, ship_package
+from corpusflow.llm.storage import ready
+from corpusflow.session import shared_folder
 
 QUERIES, SQL = {}, {}
 
@@ -17,7 +18,7 @@ QUERIES, SQL = {}, {}
 def query(f):
     @wraps(f)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        ship_package(spark)
+        ready(spark)
         return f(spark, sf)
 
     QUERIES[f.__name__] = run

@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.session import shared_folder
+from corpusflow.session import shared_folder, ship_package
+
+#: Bytes of rows that go to a Python worker at once: texts may be long, and an executor holds a batch for each core twice.
+BATCH_BYTES = "8m"
+
+
+def ready(spark: SparkSession) -> None:
+    """Ship the package and bound the batches for workers; a bound that the session sets below it stays."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > 8 << 20:
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ FEATURES = ("per_byte", "first", "second", "first_4", "first_8", "excess_for_len
 #: Labelled rows of each class, chosen by a hash of their ids, that a model is fitted on; a quarter of them calibrates.
 ROWS_PER_CLASS = 8_000
 CUTOFF = 0.7
-CACHED_WORDS = 700_000
+CACHED_WORDS = 300_000
 
 # other ASCII than letters and digits stands between words; one digit stands for all
 _BETWEEN = bytes(i if i >= 128 or chr(i).isalpha() else 48 if chr(i).isdigit() else 32 for i in range(256))

@@ -1,11 +1,14 @@
-"""The language policy of a session: one step per user turn, shared by batch and stream.
+"""The language policy of a session as one ordered rule table, shared by batch and stream.
 
 A turn is a dict of features (see ``operators.turns.language_features``); a state is a dict of
-locked, first_unambiguous, pending_codes and pending_query.
+locked, first_unambiguous, pending_codes and pending_query. A turn and its state become a set of facts; the first
+rule whose facts all hold (a leading ``-`` asks for the opposite) decides.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from corpusflow.defaults import CORE_LANGUAGES
 
 FALLBACK = "de"
@@ -13,75 +16,76 @@ UNRECOGNIZED = "en"
 _CORE = frozenset(CORE_LANGUAGES)
 
 
+class Rule(NamedTuple):
+    facts: str
+    #: german, english, choice, hint (the preferred one, else german), lock or code
+    language: str
+    source: str
+    #: whether the language is locked, and first_unambiguous after it: +, -, blank for unchanged; "hint": locked, -, if there is one
+    lock: str
+    #: own text or the pending query
+    text: str = "own"
+
+
+RULES = [
+    # a choice of languages was offered before
+    Rule("waiting strange", "english", "unrecognized_en", "", "older"),
+    Rule("waiting chose cue", "choice", "choice", "lock-"),
+    Rule("waiting chose", "choice", "choice", "lock-", "older"),
+    Rule("waiting yes", "hint", "choice_default", "lock-", "older"),
+    Rule("waiting -cue", "hint", "choice_default", "lock-", "older"),
+    Rule("-waiting strange", "english", "unrecognized_en", ""),
+    # the session has its language
+    Rule("locked shared", "lock", "sticky", "lock"),
+    Rule("locked sticky", "lock", "sticky", "lock"),
+    Rule("locked known other -core cue", "lock", "sticky", "lock"),
+    Rule("locked known other", "code", "switched", "lock+"),
+    Rule("locked known coded", "code", "detected", "lock"),
+    Rule("locked", "lock", "sticky", "lock"),
+    # a first turn, or a new question in place of a choice
+    Rule("marker", "german", "german_marker", "lock+"),
+    Rule("chose -cue", "choice", "choice", "lock+"),
+    Rule("shared", "hint", "shared_vocab", "hint"),
+    Rule("cue -core", "hint", "hotel_fallback", "hint"),
+    Rule("two_core_close", "hint", "ambiguous_core", "hint"),
+    Rule("two_close -core", "hint", "ambiguous_fallback", "hint"),
+    Rule("known core", "code", "detected", "lock+"),
+    Rule("", "hint", "fallback_de", "hint"),
+]
+_TABLE = [(frozenset(f for f in r.facts.split() if f[0] != "-"), frozenset(f[1:] for f in r.facts.split() if f[0] == "-"), r) for r in RULES]
+
+
 def empty_state() -> dict:
     return {"locked": None, "first_unambiguous": False, "pending_codes": None, "pending_query": None}
 
 
-def _decide(state: dict, language: str, source: str, text: str, lock: bool, flag: bool | None = None):
-    """Every decision clears what was pending; ``flag`` None leaves first_unambiguous as it is."""
-    after = dict(state, pending_codes=None, pending_query=None)
-    if lock:
-        after["locked"] = language
-    if flag is not None:
-        after["first_unambiguous"] = flag
-    return after, language, source, text
-
-
-def first_turn(state: dict, turn: dict):
-    text, hint = turn["text"], turn["hint"]
-
-    def preferred(source: str):
-        return _decide(state, hint or FALLBACK, source, text, hint is not None, False if hint is not None else None)
-
-    if turn["marker"]:
-        return _decide(state, FALLBACK, "german_marker", text, True, True)
-    if turn["choice"] is not None and not turn["cue"]:
-        return _decide(state, turn["choice"], "choice", text, True, True)
-    if turn["shared"]:
-        return preferred("shared_vocab")
-    core_top = turn["code"] is not None and turn["code"].lower() in _CORE
-    close = turn["close"]
-    if turn["cue"] and not core_top:
-        return preferred("hotel_fallback")
-    if sum(c.lower() in _CORE for c in close) >= 2:
-        return preferred("ambiguous_core")
-    if len(close) >= 2 and not core_top:
-        return preferred("ambiguous_fallback")
-    if not turn["unknown"] and core_top:
-        return _decide(state, turn["code"], "detected", text, True, True)
-    return preferred("fallback_de")
-
-
-def follow_up(state: dict, turn: dict):
-    locked, text, code = state["locked"], turn["text"], turn["code"]
-    if turn["shared"] or locked.lower() in turn["sticky"]:
-        return _decide(state, locked, "sticky", text, True)
-    if not turn["unknown"] and code and code.lower() != locked.lower():
-        if code.lower() not in _CORE and turn["cue"]:
-            return _decide(state, locked, "sticky", text, True)
-        return _decide(state, code, "switched", text, True, True)
-    if code and not turn["unknown"]:
-        return _decide(state, code, "detected", text, True)
-    return _decide(state, locked, "sticky", text, True)
+def facts_of(state: dict, turn: dict) -> set[str]:
+    waiting, lock, code = bool(state["pending_codes"]), state["locked"], turn["code"]
+    tests = {
+        "waiting": waiting, "locked": bool(lock) and not waiting, "strange": turn["unrecognized"], "chose": turn["choice"] is not None,
+        "yes": turn["affirmative"], "known": not turn["unknown"], "coded": bool(code), "core": code is not None and code.lower() in _CORE,
+        "other": bool(code) and bool(lock) and code.lower() != lock.lower(), "sticky": bool(lock) and lock.lower() in turn["sticky"],
+        "two_close": len(turn["close"]) >= 2, "two_core_close": sum(c.lower() in _CORE for c in turn["close"]) >= 2,
+        **{name: turn[name] for name in ("cue", "marker", "shared")},
+    }
+    return {name for name, holds in tests.items() if holds}
 
 
 def step(state: dict, turn: dict):
-    """-> (state, language, source, text to process)"""
-    if state["pending_codes"]:
-        query = state["pending_query"]
-        older = query if query is not None else turn["text"]
-        if turn["unrecognized"]:
-            return _decide(state, UNRECOGNIZED, "unrecognized_en", older, False)
-        if turn["choice"] is not None:
-            return _decide(state, turn["choice"], "choice", turn["text"] if turn["cue"] else older, True, False)
-        if turn["affirmative"] or not turn["cue"]:
-            return _decide(state, turn["hint"] or FALLBACK, "choice_default", older, True, False)
-        return first_turn(dict(state, pending_codes=None, pending_query=None), turn)
-    if turn["unrecognized"]:
-        return _decide(state, UNRECOGNIZED, "unrecognized_en", turn["text"], False)
-    if state["locked"]:
-        return follow_up(state, turn)
-    return first_turn(state, turn)
+    """-> (state, language, source, text to process); every decision clears what was pending."""
+    facts = facts_of(state, turn)
+    rule = next(r for needed, barred, r in _TABLE if needed <= facts and not barred & facts)
+    hint = turn["hint"]
+    language = {"german": FALLBACK, "english": UNRECOGNIZED, "choice": turn["choice"], "hint": hint or FALLBACK,
+                "lock": state["locked"], "code": turn["code"]}[rule.language]
+    effect = ("lock-" if hint is not None else "") if rule.lock == "hint" else rule.lock
+    after = dict(state, pending_codes=None, pending_query=None)
+    if effect:
+        after["locked"] = language
+    if effect[4:]:
+        after["first_unambiguous"] = effect[4:] == "+"
+    older = state["pending_query"] if state["pending_query"] is not None else turn["text"]
+    return after, language, rule.source, older if rule.text == "older" else turn["text"]
 
 
 ANY = "*"

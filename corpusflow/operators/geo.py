@@ -78,23 +78,20 @@ def is_proximity(text: Column) -> Column:
     return _matches(text, d.PROXIMITY) & (_mentions_place(text) | _matches(text, d.UNNAMED_SKI_AREA))
 
 
+# a pattern per place, in the order in which places claim their part of a text
+_PLACE_PATTERNS = [(place[0], re.compile(r"(?<![^\W_])(?:" + "|".join(re.escape(a) for a in sorted(place[4], key=len, reverse=True)) + r")(?![^\W_])"))
+                   for place in sorted(d.PLACES, key=lambda p: max(map(len, p[4])), reverse=True)]
+
+
 def places_in(lower: str) -> list[str]:
-    """GE4: place names in hit order: longest aliases claim their span first, spans never overlap."""
-    hits, spans = [], []
-    for name, _, _, _, aliases in sorted(d.PLACES, key=lambda p: -max(len(a) for a in p[4])):
-        for alias in sorted(aliases, key=lambda a: -len(a)):
-            start = lower.find(alias)
-            while start >= 0:
-                end = start + len(alias)
-                free = (start == 0 or not lower[start - 1].isalnum()) and (end == len(lower) or not lower[end].isalnum())
-                if free and not any(s < end and start < e for s, e in spans):
-                    hits.append(name)
-                    spans.append((start, end))
-                start = lower.find(alias, end)
+    """GE4: place names in the order of their longest alias. What a place matches is blotted out for the places after it."""
+    names, rest = [], lower
+    for name, pattern in _PLACE_PATTERNS:
+        rest, n = pattern.subn("\x01", rest)
+        names += [name] * min(n, 1)
     word, city, longer = d.CITY_WORD
-    if city not in hits and re.search(rf"\b{word}\b", lower) and not any(p in lower for p in longer):
-        hits.append(city)
-    return list(dict.fromkeys(hits))
+    whole = re.search(rf"\b{word}\b", lower) is not None and not any(phrase in lower for phrase in longer)
+    return names + [city] * (whole and city not in names)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

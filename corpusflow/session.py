@@ -32,11 +32,13 @@ def build_session(app: str = "corpusflow", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``; a private one only if it is unset."""
+    """Use the folder named by ``spark.checkpoint.dir``; a private one only if it is unset and there are no other machines."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpusflow-checkpoint-"))
 
 

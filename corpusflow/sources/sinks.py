@@ -8,15 +8,24 @@ from pyspark.sql import functions as F
 from corpusflow.functions.text import is_blank, strip
 
 
-def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Last row per key of a batch; partial max_by keeps one row per key and task."""
+def last_per_key(df: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Last row per key of a batch; partial max_by keeps one row per key and task.
+
+    Without an order, and among equal ones, a hash of the row decides, so the choice does not depend on the run.
+    """
     values = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_v"))
+    tie = F.xxhash64(*[c for c, kind in df.dtypes if c in values and "map<" not in kind])
+    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*([order] if order else []), tie.alias("_tie"))).alias("_v"))
     return picked.select(*keys, *[F.col(f"_v.`{c}`").alias(c) for c in values])
 
 
-def _upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], update: dict[str, str]) -> DataFrame:
-    """Full outer join. ``update`` maps a column to "replace", "keep" or "coalesce" for known keys."""
+def _upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], update: dict[str, str],
+            order: str | None = None) -> DataFrame:
+    """Full outer join. ``update`` maps a column to "replace", "keep" or "coalesce" for known keys.
+
+    Repeats inside the batch are resolved first: the largest ``order`` wins.
+    """
+    incoming = last_per_key(incoming, keys, order)
     old = existing.withColumn("_old", F.lit(True)).alias("o")
     new = incoming.withColumn("_new", F.lit(True)).alias("n")
     condition = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys]
@@ -44,10 +53,8 @@ def upsert_chunks(existing: DataFrame, incoming: DataFrame, order: str | None =
 
     Repeats inside the batch are resolved first: the largest ``order`` wins.
     """
-    if order:
-        incoming = last_per_key(incoming, ["chunk_id"], order)
     return _upsert(existing, incoming, ["chunk_id"], {
-        "content": "replace", "title": "replace", "embedding": "replace", "crawled_at": "replace"})
+        "content": "replace", "title": "replace", "embedding": "replace", "crawled_at": "replace"}, order)
 
 
 def upsert_tenants(existing: DataFrame, incoming: DataFrame, as_of: Column, strict_quirks: bool = True) -> DataFrame:

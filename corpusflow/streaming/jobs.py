@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusflow.operators.crawl import new_urls
-from corpusflow.operators.extract import extract_chunks
+from corpusflow.operators.extract import extract_chunks, tenant_id_of
 
 # Request limits per client.
 PER_MINUTE = 60
@@ -32,14 +32,18 @@ def ingest_batch(pages: DataFrame, batch_id: int, path: str, **options) -> None:
 
     A repeated batch overwrites its own partition only, and ids are stable (EX13), so a retry
     changes nothing. Earlier batches alone count as known. The table is never rewritten; only
-    the keys of the batch are looked up in it.
+    the keys of the batch are looked up in its two key columns, before any page is parsed. Of a page that a tenant
+    repeats in a batch the greatest text counts.
     """
     spark = pages.sparkSession
-    chunks = extract_chunks(pages.dropDuplicates(["url"]), **options)
-    stored = _read_chunks(spark, path, chunks).filter(F.col("batch_id") < batch_id)
-    keys = chunks.select("tenant_id", F.lower("source_url").alias("_key")).distinct()
-    known = stored.withColumn("_key", F.lower("source_url")).join(keys, ["tenant_id", "_key"], "left_semi").drop("_key")
-    fresh = new_urls(chunks.withColumnRenamed("source_url", "url"), known).withColumnRenamed("url", "source_url").select(*chunks.columns)
+    if "tenant_id" not in pages.columns:
+        pages = pages.withColumn("tenant_id", tenant_id_of(F.col("url")))
+    once = pages.groupBy("tenant_id", "url").agg(F.max("html").alias("html"))
+    stored = _read_chunks(spark, path, extract_chunks(once, **options)).filter(F.col("batch_id") < batch_id) \
+        .select("tenant_id", "source_url", "is_active", F.lower("source_url").alias("_key"))
+    keys = once.select("tenant_id", F.lower("url").alias("_key")).distinct()
+    known = stored.join(keys, ["tenant_id", "_key"], "left_semi")
+    fresh = extract_chunks(new_urls(once, known), **options)
     fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 

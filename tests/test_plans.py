@@ -131,3 +131,44 @@ def test_catalog_adds_unlocated_tenants_with_region_hits(spark):
     rows = out.filter("query_id = 'r'").orderBy("position").collect()
     assert [r["position"] for r in rows] == [1, 2, 3, 4] and {r["tenant_id"] for r in rows} == set("abcd")
     assert any(r["line"].endswith("A — X, Tirol (id: a)") for r in rows)
+
+
+def test_batch_gate_context_pending_and_state(spark):
+    from corpusflow.operators import textmodel as tm
+    from corpusflow.operators.extract import embed_texts
+    from corpusflow.plans.recommend_batch import PENDING, Models, recommend_batch
+
+    texts = [("de", "das hotel hat einen garten und die sauna ist schön"), ("en", "the hotel has a garden and the sauna is nice"),
+             ("en", "more sources please for the hotel with sauna"), ("de", "weitere quellen bitte für das hotel mit sauna")]
+    language = tm.train_nb(spark.createDataFrame(texts, "label string, text string"))
+    tenants = spark.createDataFrame([("a", "Hotel Adler", "Tirol", "Imst", "A", "a.at", True, 47.0, 11.0, False), ("b", "Hotel Berg", "Wien", "Wien", "A", "b.at", True, 48.0, 16.0, False)],
+                                    "tenant_id string, name string, region string, location string, country string, domain string, is_active boolean, latitude double, longitude double, has_lift boolean")
+    rows = [("1", "a", "Sauna", "quiet sauna garden with seven plain words more here now", "https://a.at/1"), ("2", "b", "Bar", "bar and music", "https://b.at/2")]
+    chunks = embed_texts(spark.createDataFrame(rows, "chunk_id string, tenant_id string, title string, content string, source_url string").withColumn("is_active", F.lit(True)))
+    turns = spark.createDataFrame([("s1", 0, "user", "quiet sauna garden please"), ("s2", 0, "user", "more sources please")],
+                                  "session_id string, turn int, role string, text string")
+    held = spark.createDataFrame([("s2", 2, "Hotel B", 0.5, "https://b"), ("s2", 1, "Hotel A", 0.75, "https://a"), ("s3", 1, "Hotel C", 0.4, "https://c")], PENDING)
+
+    def answer(questions, summaries, contexts):
+        return [f"{s} <{c.count('[Result ')}>" for s, c in zip(summaries, contexts)]
+
+    def run(relevant):
+        out = recommend_batch(turns, chunks, tenants, Models(language, answer=answer, relevant=relevant), pending=held, configured=" 1 ")
+        return {r["session_id"]: r for r in out.responses.collect()}, out
+
+    rejected, _ = run(lambda questions, contexts: [False] * len(questions))
+    assert rejected["s1"]["response_type"] == "no_results" and rejected["s1"]["answer"] is None
+    kept, out = run(lambda questions, contexts: ["Section: Sauna" in c for c in contexts])
+    assert kept["s1"]["response_type"] == "recommendations" and kept["s1"]["tenants"] == ["a"] and "<1>" in kept["s1"]["answer"]
+    assert kept["s2"]["response_type"] == "more_sources" and kept["s2"]["answer"].endswith("- Hotel A (0.75): https://a\n- Hotel B (0.50): https://b")
+    assert [r["session_id"] for r in out.pending.collect()] == ["s3"]
+    state = {r["session_id"]: r for r in out.state.collect()}
+    assert state["s1"]["focus_tenant"] == "a" and state["s1"]["tenants"] == ["a"] and state["s2"]["tenants"] is None
+
+
+def test_upsert_resolves_repeats_without_an_order(spark):
+    from corpusflow.sources.sinks import upsert_sessions
+
+    old = spark.createDataFrame([("a", "x", 1)], "session_id string, messages string, updated_at int")
+    new = spark.createDataFrame([("a", "y", 2), ("a", "z", 3), ("b", "n", 1), ("b", "n", 1)], "session_id string, messages string, updated_at int")
+    assert sorted(r["session_id"] for r in upsert_sessions(old, new).collect()) == ["a", "b"]

@@ -222,8 +222,7 @@ _PARSED = r"""raw AS (SELECT page_id, url, regexp_replace(html, '(?s)<(script|st
     host AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host FROM pages)"""
 _CHUNKS = f"""{_PARSED}, made AS (SELECT sha256('hotel_' || replace(regexp_replace(host, '^www\\.', ''), '.', '_') || '|' || url) AS chunk_id,
     'hotel_' || replace(regexp_replace(host, '^www\\.', ''), '.', '_') AS tenant_id, url AS source_url, page_id, title,
-    CASE WHEN length(content) <= 15000 THEN content ELSE CASE WHEN 15000 - instr(reverse(substr(content, 1, 15000)), '.') > 12000
-        THEN substr(content, 1, 15000 - instr(reverse(substr(content, 1, 15000)), '.') + 1) ELSE substr(content, 1, 15000) END END AS content
+    content
     FROM parsed JOIN host USING (page_id) WHERE length(content) >= 50)"""
 
 SQL = {

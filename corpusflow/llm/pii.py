@@ -35,6 +35,10 @@ _ID = r"[A-Za-z0-9@._%+/#:-]"
 #: Identifier-shaped values: a run of such characters with a digit or an at sign.
 CANDIDATE = rf"(?<!{_ID}){_ID}*[0-9@]{_ID}*"
 _EDGES = "._%/#:-"
+#: Numbers written in groups: digits, some in parentheses, with one dot, slash, hyphen or space between. Two groups of seven
+#: digits or more with a space between are two values of a list, and so is what stands before a parenthesis if it has four.
+GROUPED = (r"(?<![A-Za-z0-9@._%+/-])(?<![0-9][:#])(?:\([0-9]++\)|\+?[0-9]++)(?:(?:(?:(?<=\))[ .-]?|[./-]|(?<![0-9]{7})[ ]|"
+           r"[ ](?=[0-9]{1,6}(?![0-9])))[0-9]++|(?<![0-9]{4})[ .-]?\([0-9]++\))(?![._%/#:+-]*+[A-Za-z@]))++")
 
 #: Rounds of scoring; least confidence of a pattern; least distinct known values behind it.
 ROUNDS = 3
@@ -66,7 +70,7 @@ VALID: dict[str, Callable[[Column], Column]] = {
 #: What a value found by context must look like.
 PLAUSIBLE: dict[str, Callable[[Column], Column]] = {
     "email": lambda v: F.contains(v, F.lit("@")),
-    "ip": lambda v: F.size(F.split(v, "[.:]")) >= 4,
+    "ip": lambda v: (F.size(F.split(v, "[.:]")) >= 4) & ~F.contains(v, F.lit(" ")),
     "card": lambda v: F.length(_digits(v)) >= 8,
     "phone": lambda v: F.length(_digits(v)) >= 6,
 }
@@ -104,12 +108,23 @@ def base_spans(text: Column | str) -> Column:
     return F.concat(*[_found(t, k, p, maybe(t), VALID[k]) for k, (p, maybe) in KINDS.items()])
 
 
+def _grouped(value: Column) -> Column:
+    """Six digits or more; of more than a card has, only if no part could be a value by itself."""
+    digits = F.length(_digits(value))
+    return (digits >= 6) & ((digits <= 19) | ~F.rlike(value, F.lit("[^ ]{5}")))
+
+
+def _apart(spans: Column, others: Column) -> Column:
+    return F.filter(spans, lambda c: ~F.exists(others, lambda x: (x["start"] < c["end"]) & (c["start"] < x["end"])))
+
+
 def candidates(text: Column | str, base: Column | str) -> Column:
-    """Identifier-shaped values of five characters or more that touch no base span."""
+    """Numbers in groups, and identifier-shaped values of five characters or more apart from these; none touches a base span."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     b = F.col(base) if isinstance(base, str) else base
-    found = _found(t, "", CANDIDATE, F.rlike(t, F.lit("[0-9@]")), lambda v: F.length(v) >= 5, _EDGES)
-    return F.filter(found, lambda c: ~F.exists(b, lambda x: (x["start"] < c["end"]) & (c["start"] < x["end"])))
+    runs = _apart(_found(t, "", GROUPED, F.rlike(t, F.lit(r"[0-9)][ ./(-]{1,2}[0-9]")), _grouped), b)
+    single = _found(t, "", CANDIDATE, F.rlike(t, F.lit("[0-9@]")), lambda v: F.length(v) >= 5, _EDGES)
+    return F.concat(runs, _apart(_apart(single, b), runs))
 
 
 def contexts(span: Column) -> Column:

@@ -84,7 +84,7 @@ def _found(text: Column, kind: str, pattern: str, maybe: Column, valid: Callable
     """Spans (code points, end exclusive) of the leftmost matches that do not overlap and are valid, in order.
 
     Each match is put between marks and the text split there, so parts are by turns what stands between matches and a match.
-    A walk over the parts adds up their lengths.
+    A walk over the parts adds up their lengths and carries the last ``CONTEXT_CHARS`` code points, matches included.
     """
     marked = F.regexp_replace(F.translate(text, _MARK, _STAND_IN), pattern, f"{_MARK}$0{_MARK}")
     parts = F.split(marked, _MARK)
@@ -93,10 +93,12 @@ def _found(text: Column, kind: str, pattern: str, maybe: Column, valid: Callable
         inner = F.regexp_replace(part, f"^[{edges}]+|[{edges}]+$", "") if edges else part
         lead = F.length(part) - F.length(F.regexp_replace(part, f"^[{edges}]+", "")) if edges else F.lit(0)
         start = acc["at"] + lead
+        context = F.concat(acc["before"], F.left(part, lead)) if edges else acc["before"]
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(inner)).alias("end"),
-                        inner.alias("value"), F.right(acc["before"], F.lit(CONTEXT_CHARS)).alias("before"))
+                        inner.alias("value"), F.right(context, F.lit(CONTEXT_CHARS)).alias("before"))
         out = F.when(acc["hit"] & valid(inner), F.concat(acc["out"], F.array(span).cast(f"array<{SPAN}>"))).otherwise(acc["out"])
-        return F.struct((acc["at"] + F.length(part)).alias("at"), (~acc["hit"]).alias("hit"), part.alias("before"), out.alias("out"))
+        before = F.right(F.concat(acc["before"], part), F.lit(CONTEXT_CHARS))
+        return F.struct((acc["at"] + F.length(part)).alias("at"), (~acc["hit"]).alias("hit"), before.alias("before"), out.alias("out"))
 
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("hit"), F.lit("").alias("before"), _empty().alias("out"))
     return F.when(maybe, F.aggregate(parts, zero, step, lambda acc: acc["out"])).otherwise(_empty())
@@ -127,13 +129,25 @@ def candidates(text: Column | str, base: Column | str) -> Column:
     return F.concat(runs, _apart(_apart(single, b), runs))
 
 
+def _valued(word: Column) -> Column:
+    """A word that may be a value or a part of one, digits being 0."""
+    return (F.rlike(word, F.lit("[0@]")) & (F.length(word) >= 5)) | F.rlike(word, F.lit("^[0().,;+/-]*0[0().,;+/-]*$"))
+
+
 def contexts(span: Column) -> Column:
-    """Lexical patterns of a span: the word before it, and the two words before it; none at the start of a text."""
+    """Lexical patterns of a span: the word before it, and the two words before it; none at the start of a text.
+
+    A value in a list also has those before the list: words shaped like values right before it are passed over.
+    """
     words = F.filter(F.split(F.regexp_replace(F.lower(span["before"]), "[0-9]", "0"), r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    one = F.when(n >= 1, F.concat(F.lit("1 "), F.element_at(words, -1)))
-    two = F.when(n >= 2, F.concat(F.lit("2 "), F.element_at(words, -2), F.lit(" "), F.element_at(words, -1)))
-    return F.filter(F.array(one, two), lambda p: p.isNotNull())
+    other = F.filter(F.transform(words, lambda w, i: F.when(~_valued(w), i + 1)), lambda i: i.isNotNull())
+
+    def last(n: Column) -> list[Column]:
+        return [F.when(n >= 1, F.concat(F.lit("1 "), F.get(words, n - 1))),
+                F.when(n >= 2, F.concat(F.lit("2 "), F.get(words, n - 2), F.lit(" "), F.get(words, n - 1)))]
+
+    every = F.array(*last(F.size(words)), *last(F.coalesce(F.array_max(other), F.lit(0))))
+    return F.array_distinct(F.filter(every, lambda p: p.isNotNull()))
 
 
 def _links(scanned: DataFrame, spans: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Personal data by context: numbers in groups, words with digits before values, lists, patterns that found values induce."""
 
+import pytest
+
 from corpusflow.llm import pii
 
 
@@ -23,6 +25,18 @@ def test_numbers_in_groups(spark):
     assert found == [[("phone", v)] for v in values] + [[("card", "4111 1111 1111 1112")], []]
 
 
+def test_words_with_digits_before_values(spark):
+    seeds = [f"phone1: +49 30 1234567{i:02} IPv4: 10.1.2.{i} contact #2 user{i}@host.org" for i in range(12)]
+    found = spans(spark, [*seeds, "phone1: 5551234999", "IPv4: 10.1.2.x7", "contact #2 id-77821@intranet", "phone 5551234999"])[-4:]
+    assert found == [[("phone", "5551234999")], [("ip", "10.1.2.x7")], [("email", "id-77821@intranet")], []]
+
+
+@pytest.mark.parametrize("values", [["5551234999", "5551234888", "5551234777"], ["555-123-4567", "555-987-6543"], ["(555) 123-4567", "(555) 987-6543"]])
+def test_lists(spark, values):
+    for mark in (" ", ", "):
+        assert spans(spark, [*SEEDS, f"call phone: {mark.join(values)} today"])[-1] == [("phone", v) for v in values]
+
+
 def test_long_number_tables(spark):
     df = spark.createDataFrame([(0, "1 2 " * 4000), (1, "12-34 " * 3000), (2, "(1)" * 3000), (3, "1234567 " * 2000)], "doc_id long, text string")
     assert pii.find(df).where("spans = ''").count() == 4

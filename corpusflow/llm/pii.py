@@ -3,7 +3,7 @@
 Seeds are the valid matches of the fixed patterns. The words before them are lexical patterns; a graph links patterns with
 the distinct values that stand behind them anywhere in the corpus. Rounds score patterns by the share of their values that are
 known as one kind, and values by the patterns that lead to them; values of confident patterns become known for the next
-round. The last patterns mark further identifiers.
+round, where they count for every pattern they stand behind, seeds or not. The last patterns mark further identifiers.
 
 No match holds a line feed, and each pattern below starts only where a match of the plain form can start and never steps
 back, so time is linear in the text; the plain forms are given beside.
@@ -164,10 +164,8 @@ def confident_patterns(scanned: DataFrame, rounds: int = ROUNDS, confidence: flo
     values behind it, unknown and other kinds included. A value's weight is 1 for seeds, else that of its best pattern.
     """
     seeds = stored(_links(scanned, "base"), "seeds")
-    # only patterns that seeds induce, with every value behind them
-    induced = seeds.groupBy("pattern").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= support).select("pattern")
-    unknown = _links(scanned, "candidates").join(induced, "pattern", "left_semi").select("pattern", "value")
-    graph = stored(seeds.join(induced, "pattern", "left_semi").select("pattern", "value").union(unknown).distinct(), "graph")
+    # every pattern, since values that a round makes known may induce further ones
+    graph = stored(seeds.select("pattern", "value").union(_links(scanned, "candidates").select("pattern", "value")).distinct(), "graph")
     values = graph.groupBy("pattern").agg(F.count("*").alias("n_values"))
     known = first = seeds.select("value", "kind").distinct().withColumn("weight", F.lit(1.0))
     for _ in range(rounds):

@@ -37,6 +37,13 @@ def test_lists(spark, values):
         assert spans(spark, [*SEEDS, f"call phone: {mark.join(values)} today"])[-1] == [("phone", v) for v in values]
 
 
+def test_found_values_induce_patterns(spark):
+    new = [f"01715550{i}" for i in range(4)]
+    texts = [f"call phone: {v}" for v in new] + [f"ask durchwahl {v}" for v in new] + ["ask durchwahl 01719990"]
+    found = spans(spark, SEEDS + texts)[len(SEEDS):]
+    assert found == [[("phone", v)] for v in new] * 2 + [[("phone", "01719990")]]
+
+
 def test_long_number_tables(spark):
     df = spark.createDataFrame([(0, "1 2 " * 4000), (1, "12-34 " * 3000), (2, "(1)" * 3000), (3, "1234567 " * 2000)], "doc_id long, text string")
     assert pii.find(df).where("spans = ''").count() == 4

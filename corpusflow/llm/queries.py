@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import bytebpe, codes, langid, neardup, packing, pii, quality, simhash, toolcalls, toxicity
+from corpusflow.llm import bytebpe, codes, langid, linededup, neardup, packing, pii, quality, simhash, toolcalls, toxicity
 from corpusflow.llm.storage import ready
 from corpusflow.session import shared_folder
 
@@ -137,3 +137,18 @@ SELECT conv_id, call_id, name, seq, CASE WHEN NOT has_call THEN 'no_call' WHEN N
     CASE WHEN has_call THEN '{"arguments":{' || CASE WHEN ref IS NOT NULL THEN '"after":{"$ref":"call_' || conv_id || '_' || ref || '"},' ELSE '' END
         || '"limit":' || l || ',"query":' || to_json(text) || '}' ELSE '{"arguments":null' END || ',"id":"' || call_id || '","name":'
         || coalesce('"' || name || '"', 'null') || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS canonical FROM e"""
+
+
+@query
+def op12_line_bitmaps(spark, sf):
+    return linededup.deduplicate(table(spark, sf, "documents"))
+
+
+_BLANK = r"[\x20\x09-\x0D]+"
+SQL["op12_line_bitmaps"] = f"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM t),
+k AS (SELECT *, translate(regexp_replace(line, '^{_BLANK}|{_BLANK}$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+d AS (SELECT k.*, coalesce(k.doc_id <> c.last, false) AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id"""

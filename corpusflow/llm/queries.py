@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import bytebpe, codes, langid, linededup, neardup, packing, pii, quality, simhash, toolcalls, toxicity
+from corpusflow.llm import bytebpe, codes, langid, linededup, neardup, packing, pii, quality, simhash, spelling, toolcalls, toxicity
 from corpusflow.llm.storage import ready
 from corpusflow.session import shared_folder
 
@@ -152,3 +152,8 @@ c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY ke
 d AS (SELECT k.*, coalesce(k.doc_id <> c.last, false) AS gone FROM k LEFT JOIN c USING (key))
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id"""
+
+
+@query
+def op13_reduced_alphabet(spark, sf):
+    return spelling.variants(table(spark, sf, "documents"))

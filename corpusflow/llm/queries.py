@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import bytebpe, codes, langid, linededup, neardup, packing, pii, quality, simhash, spelling, toolcalls, toxicity
+from corpusflow.llm import alignment, bytebpe, codes, langid, linededup, neardup, packing, pii, quality, simhash, spelling, toolcalls, toxicity
 from corpusflow.llm.storage import ready
 from corpusflow.session import shared_folder
 
@@ -157,3 +157,8 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 @query
 def op13_reduced_alphabet(spark, sf):
     return spelling.variants(table(spark, sf, "documents"))
+
+
+@query
+def op11_spilled_alignment(spark, sf):
+    return alignment.align(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -20,13 +20,18 @@ from operator import add
 
 import numpy as np
 
-#: Segments of a generation that a worker remembers (two generations, about 200 bytes a segment).
-CACHED_SEGMENTS = 500_000
+#: Bytes that the segments of a generation take in a worker, about; two generations are kept.
+CACHED_BYTES = 96 << 20
+#: What a remembered segment takes besides its letters and ids, and the most letters that one may have.
+ENTRY_BYTES, REMEMBERED_CHARS = 180, 64
 #: New segments that go to the tokenizer in one string.
 JOINED = 16
 
 # Python's white space holds that of the vocabularies, so each cut is safe for them.
 _CUT = re.compile(r" (?=\S)")
+# Longer segments are also cut between punctuation and a letter of a script that every Unicode version knows as letters: these
+# stand in different pre-tokens, and no such letter composes with a mark before it.
+_INNER = re.compile(r"(?<=[,.;:!?)\]}…、。，！？；：])(?=[A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-Ωα-ωА-яぁ-ゖァ-ヺ一-龥가-힣])")
 _PUNCTUATION = string.punctuation
 # Fixed rule: byte-level vocabularies spell bytes that do not print as letters from U+0100 on, in order.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -34,40 +39,79 @@ _UNPRINTED = [b for b in range(256) if b not in _PRINTED]
 _BYTE_LETTERS = "".join(chr(b if b in _PRINTED else 256 + _UNPRINTED.index(b)) for b in range(256))
 
 
+def byte_of_letter(letter: str) -> int:
+    """The byte that a letter of a byte-level vocabulary stands for."""
+    return _BYTE_LETTERS.index(letter)
+
+
 def _spelled(text: str) -> str:
     """The text as a byte-level vocabulary spells its bytes."""
     return codecs.charmap_decode(text.encode(), "strict", _BYTE_LETTERS)[0]
 
 
 class Remembered:
-    """Ids of segments with ``before`` in front; what was not asked for during a whole generation is forgotten."""
+    """Ids of segments with ``before`` in front; what was not asked for during a whole generation is forgotten.
 
-    def __init__(self, encode: Callable[[str, list[str]], list[bytes]], before: str, cached: int):
-        self.encode, self.before, self.cached = encode, before, cached
+    A generation ends when its entries take ``cached`` bytes. Long segments, such as texts without spaces, are put together
+    from parts (``inner`` remembers those behind the first) and forgotten at once.
+    """
+
+    def __init__(self, encode: Callable[[str, list[str]], list[bytes]], before: str, cached: int, inner: Remembered | None = None,
+                 cut: re.Pattern[str] | None = _INNER):
+        self.encode, self.before, self.cached, self.inner, self.cut = encode, before, cached, inner or self, cut
         self.now: dict[str, bytes] = {}
         self.past: dict[str, bytes] = {}
+        self.held = 0
 
     def of(self, rows: list[list[str]], first: int, last: int | None) -> list[bytes]:
         """Ids of the segments first to last of each row, one after the other."""
-        if len(self.now) > self.cached:
-            self.now, self.past = {}, self.now
+        if self.held > self.cached:
+            self.now, self.past, self.held = {}, self.now, 0
         missing: set[str] = set()
         for row in rows:
             missing.update(filterfalse(self.now.__contains__, islice(row, first, last)))
+        passing: list[str] = []
         if missing:
             past = self.past
-            self.now.update((s, past[s]) for s in missing if s in past)
             new = [s for s in missing if s not in past]
-            self.now.update(zip(new, self.encode(self.before, new)))
-        return [b"".join(map(self.now.__getitem__, islice(row, first, last))) for row in rows]
+            passing = [s for s in new if len(s) > REMEMBERED_CHARS]
+            found = {s: past[s] for s in missing if s in past}
+            if passing:
+                new = [s for s in new if len(s) <= REMEMBERED_CHARS]
+                self.now.update(zip(passing, self._long(passing)))
+            found.update(zip(new, self.encode(self.before, new)))
+            self.held += sum(map(len, found)) * 2 + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
+            self.now.update(found)
+        out = [b"".join(map(self.now.__getitem__, islice(row, first, last))) for row in rows]
+        for s in passing:
+            del self.now[s]
+        return out
+
+    def _long(self, segments: list[str]) -> list[bytes]:
+        parts = [self.cut.split(s) if self.cut else [s] for s in segments]
+        starts = self.encode(self.before, [p[0] for p in parts])
+        return [start + rest for start, rest in zip(starts, self.inner.parts_of([p[1:] for p in parts]))]
+
+    def parts_of(self, rows: list[list[str]]) -> list[bytes]:
+        """Ids of rows of parts; what is remembered of them takes part in no generation that is being read."""
+        known: dict[str, bytes] = {}
+        new = list({p for row in rows for p in row if p not in self.now})
+        if new:
+            known.update(zip(new, self.encode(self.before, new)))
+        short = {p: v for p, v in known.items() if len(p) <= REMEMBERED_CHARS}
+        out = [b"".join(known[p] if p in known else self.now[p] for p in row) for row in rows]
+        self.now.update(short)
+        self.held += sum(map(len, short)) * 2 + sum(map(len, short.values())) + ENTRY_BYTES * len(short)
+        return out
 
 
 class SegmentEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers; ``encode(before, segments)`` does the work for new ones."""
 
-    def __init__(self, encode: Callable[[str, list[str]], list[bytes]], cached: int = CACHED_SEGMENTS):
+    def __init__(self, encode: Callable[[str, list[str]], list[bytes]], cached: int = CACHED_BYTES):
         (self.line,) = encode("", ["\n"])
-        self.heads, self.rest = Remembered(encode, "", cached), Remembered(encode, " ", cached)
+        self.heads = Remembered(encode, "", cached)
+        self.rest = Remembered(encode, " ", cached, self.heads)
 
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
         lines = [list(_lines(t)) if t else [] for t in texts]

@@ -21,6 +21,12 @@ def edits(word):
     return out - {word}
 
 
+def is_near(a, b):
+    a, b = sorted((a, b), key=len)
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a != b and (a[i:] == b[i + 1:] if len(a) < len(b) else a[i + 1:] == b[i + 1:])
+
+
 def plain(rows):
     lower, n = {i: i + 32 for i in range(65, 91)}, Counter()
     for doc, text in rows:
@@ -34,7 +40,7 @@ def plain(rows):
     n = {w: k for w, k in n.items() if len(w) >= 7 and k >= 2}
     out = {}
     for w in n:
-        near = [x for x in edits(w) if x in n]
+        near = [x for x in edits(w) if x in n] if len(w) < 40 else [x for x in n if is_near(w, x)]
         best = min(near, key=lambda x: (-n[x], x), default=None)
         form = best if best is not None and n[best] >= 10 * n[w] else None
         out[w] = [form, w, n[w], len(near), form and n[form]]

@@ -58,6 +58,33 @@ def test_any_texts(kind, texts):
     assert [ids_of(x) for x in mine(texts)] == [whole(t) for t in texts]
 
 
+def unspaced(n, seed):
+    import random
+
+    rng = random.Random(seed)
+    return ["".join(rng.choice(["，", "。", "漢", "字", "い", "ろ", "é", "x", "word", "3", "…", "(", ")", "'s", ".", "́", "한"]) for _ in range(rng.randrange(400))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("kind", CASES)
+def test_texts_without_spaces(kind):
+    mine, whole = CASES[kind]
+    texts = unspaced(150, 3)
+    for _ in range(2):
+        assert [ids_of(x) for x in mine(texts)] == [whole(t) for t in texts]
+
+
+def test_memory_is_bounded_by_bytes():
+    """Texts without spaces, each another one, leave no more in the cache than it may hold."""
+    encoder = segments.SegmentEncoder(CASES["bytes"][0].rest.encode, cached=100_000)
+    for at in range(40):
+        encoder([" ".join(unspaced(20, at))])
+        for side in (encoder.heads, encoder.rest):
+            assert all(len(s) <= segments.REMEMBERED_CHARS for some in (side.now, side.past) for s in some)
+            held = sum(2 * len(s) + len(v) + segments.ENTRY_BYTES for s, v in side.now.items())
+            assert held <= side.held <= 100_000 + 600_000
+    assert encoder.heads.past
+
+
 def test_full_cache_starts_anew():
     small = segments.SegmentEncoder(CASES["bytes"][0].rest.encode, cached=3)
     for text in ["a b c d e", "c d e f", "a b", "", "c d", "a b c d e f g h", "a f"]:

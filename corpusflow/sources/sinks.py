@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,31 +32,52 @@ def _upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], update: d
     new = incoming.withColumn("_new", F.lit(True)).alias("n")
     condition = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys]
     joined = old.join(new, condition, "full_outer")
-    is_old, is_new = F.col("o._old").isNotNull(), F.col("n._new").isNotNull()
-    columns = []
-    for c in existing.columns:
-        o = F.col(f"o.{c}")
+    return joined.select(*merged_columns(existing.columns, keys, update, set(incoming.columns), F.col("o._old").isNotNull(),
+                                         F.col("n._new").isNotNull(), lambda c: F.col(f"o.`{c}`"), lambda c: F.col(f"n.`{c}`")))
+
+
+def merged_columns(columns: list[str], keys: list[str], update: dict[str, str], given: set[str], is_old: Column, is_new: Column,
+                   old: Callable[[str], Column], new: Callable[[str], Column]) -> list[Column]:
+    """Columns of a row of the next version from its old and new form; a new row lacks columns that are not ``given``."""
+    out = []
+    for c in columns:
         if c in keys:
-            columns.append(F.coalesce(o, F.col(f"n.{c}")).alias(c))
+            out.append(F.coalesce(old(c), new(c)).alias(c))
             continue
-        n = F.col(f"n.{c}") if c in incoming.columns else F.lit(None)
+        n = new(c) if c in given else F.lit(None)
         how = update.get(c, "keep")
         if how == "replace":
-            columns.append(F.when(is_new, n).otherwise(o).alias(c))
+            out.append(F.when(is_new, n).otherwise(old(c)).alias(c))
         elif how == "coalesce":
-            columns.append(F.when(is_old, F.coalesce(n, o)).otherwise(n).alias(c))
+            out.append(F.when(is_old, F.coalesce(n, old(c))).otherwise(n).alias(c))
         else:
-            columns.append(F.when(is_old, o).otherwise(n).alias(c))
-    return joined.select(*columns)
+            out.append(F.when(is_old, old(c)).otherwise(n).alias(c))
+    return out
+
+
+#: What a known chunk or session takes from a new one.
+CHUNK_UPDATE = {"content": "replace", "title": "replace", "embedding": "replace", "crawled_at": "replace"}
+SESSION_UPDATE = {"messages": "replace", "updated_at": "replace"}
 
 
 def upsert_chunks(existing: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
     """SNK1: a known chunk_id gets new content, title, embedding and crawled_at only.
 
-    Repeats inside the batch are resolved first: the largest ``order`` wins.
+    Repeats inside the batch are resolved first: the largest ``order`` wins. ``store.merge_chunks`` does the same on a
+    stored table and moves only what the batch touches.
     """
-    return _upsert(existing, incoming, ["chunk_id"], {
-        "content": "replace", "title": "replace", "embedding": "replace", "crawled_at": "replace"}, order)
+    return _upsert(existing, incoming, ["chunk_id"], CHUNK_UPDATE, order)
+
+
+def tenant_update(columns: list[str]) -> dict[str, str]:
+    update = {c: "replace" for c in columns if c not in ("tenant_id", "created_at")}
+    return update | {c: "coalesce" for c in ("api_key", "latitude", "longitude")}
+
+
+def tenant_rows(incoming: DataFrame, as_of: Column, strict_quirks: bool = True) -> DataFrame:
+    if strict_quirks:
+        incoming = incoming.withColumn("api_key", F.coalesce("api_key", F.lit("")))
+    return incoming.withColumn("updated_at", as_of)
 
 
 def upsert_tenants(existing: DataFrame, incoming: DataFrame, as_of: Column, strict_quirks: bool = True) -> DataFrame:
@@ -63,16 +86,12 @@ def upsert_tenants(existing: DataFrame, incoming: DataFrame, as_of: Column, stri
     The writer sends an empty text for a missing api key, which overwrites the old one;
     ``strict_quirks=False`` keeps the old key instead.
     """
-    if strict_quirks:
-        incoming = incoming.withColumn("api_key", F.coalesce("api_key", F.lit("")))
-    update = {c: "replace" for c in existing.columns if c not in ("tenant_id", "created_at")}
-    update.update({c: "coalesce" for c in ("api_key", "latitude", "longitude")})
-    return _upsert(existing, incoming.withColumn("updated_at", as_of), ["tenant_id"], update)
+    return _upsert(existing, tenant_rows(incoming, as_of, strict_quirks), ["tenant_id"], tenant_update(existing.columns))
 
 
 def upsert_sessions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """SNK3: a known session gets new messages (and update time) only."""
-    return _upsert(existing, incoming, ["session_id"], {"messages": "replace", "updated_at": "replace"})
+    return _upsert(existing, incoming, ["session_id"], SESSION_UPDATE)
 
 
 def insert_absent(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -185,10 +204,16 @@ def append_query_log(log: DataFrame, path: str) -> None:
 def load_chunks(incoming: DataFrame, tenants: DataFrame, existing: DataFrame,
                 order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """SNK13: (next chunk table, rejected rows of unknown tenants); language defaults to ``de``."""
+    known, rejected = known_tenants(incoming, tenants)
+    return upsert_chunks(existing, known, order), rejected
+
+
+def known_tenants(incoming: DataFrame, tenants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of known tenants with a language, the others)."""
     known = incoming.join(tenants.select("tenant_id"), "tenant_id", "left_semi")
     rejected = incoming.join(tenants.select("tenant_id"), "tenant_id", "left_anti")
     known = known.withColumn("language", F.when(~is_blank(F.col("language")), F.col("language")).otherwise("de"))
-    return upsert_chunks(existing, known, order), rejected
+    return known, rejected
 
 
 def evolve(df: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -11,40 +11,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpusflow.operators.crawl import new_urls
 from corpusflow.operators.extract import extract_chunks, tenant_id_of
+from corpusflow.session import cut_lineage
+from corpusflow.sources.store import BUCKET, bucket_of, touched_buckets
 
 # Request limits per client.
 PER_MINUTE = 60
 PER_HOUR = 1000
 
 
-def _read_chunks(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    schema = like.withColumn("batch_id", F.lit(0).cast("long")).schema
+#: Hash partitions of the known keys of an ingested table.
+KEY_BUCKETS = 256
+
+
+def _known_keys(spark: SparkSession, path: str, keys: DataFrame, batch_id: int) -> DataFrame:
+    """Keys (tenant_id, _key) of the log that stand in the buckets of a batch's ``keys`` and came with earlier batches."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    types = dict(keys.dtypes)
+    schema = f"tenant_id {types['tenant_id']}, _key string, batch_id long, {BUCKET} int"
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).where(F.col(BUCKET).isin(touched_buckets(keys)) & (F.col("batch_id") < batch_id))
 
 
 def ingest_batch(pages: DataFrame, batch_id: int, path: str, **options) -> None:
     """ST2, one micro-batch: extract, drop known URLs, write the new chunks to the batch's partition.
 
-    A repeated batch overwrites its own partition only, and ids are stable (EX13), so a retry
-    changes nothing. Earlier batches alone count as known. The table is never rewritten; only
-    the keys of the batch are looked up in its two key columns, before any page is parsed. Of a page that a tenant
-    repeats in a batch the greatest text counts.
+    A repeated batch overwrites its own partitions only, and ids are stable (EX13), so a retry changes nothing. The table
+    is never rewritten. Known URLs are looked up before any page is parsed, in a log of keys below ``path``/_keys that is
+    partitioned by a hash of the key: a batch reads the buckets of its own keys, as earlier batches left them. The log is
+    written after the chunks, from these. Of a page that a tenant repeats in a batch the greatest text counts.
     """
     spark = pages.sparkSession
     if "tenant_id" not in pages.columns:
         pages = pages.withColumn("tenant_id", tenant_id_of(F.col("url")))
-    once = pages.groupBy("tenant_id", "url").agg(F.max("html").alias("html"))
-    stored = _read_chunks(spark, path, extract_chunks(once, **options)).filter(F.col("batch_id") < batch_id) \
-        .select("tenant_id", "source_url", "is_active", F.lower("source_url").alias("_key"))
-    keys = once.select("tenant_id", F.lower("url").alias("_key")).distinct()
-    known = stored.join(keys, ["tenant_id", "_key"], "left_semi")
-    fresh = extract_chunks(new_urls(once, known), **options)
-    fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    once = pages.groupBy("tenant_id", "url").agg(F.max("html").alias("html")).withColumn("_key", F.lower("url"))
+    bucket = bucket_of(["tenant_id", "_key"], KEY_BUCKETS)
+    log = f"{path}/_keys"
+    known = _known_keys(spark, log, cut_lineage(once.select("tenant_id", "_key", bucket).distinct()), batch_id)
+    fresh = once.join(known.select("tenant_id", "_key"), ["tenant_id", "_key"], "left_anti").drop("_key")
+    part = f"{path}/batch_id={batch_id}"
+    extracted = extract_chunks(fresh, **options)
+    extracted.write.mode("overwrite").parquet(part)
+    written = spark.read.schema(extracted.schema).parquet(part).where("is_active")
+    written.select("tenant_id", F.lower("source_url").alias("_key")).distinct().withColumn(BUCKET, bucket).repartition(BUCKET) \
+        .write.mode("overwrite").partitionBy(BUCKET).parquet(f"{log}/batch_id={batch_id}")
 
 
 def ingest_stream(pages: DataFrame, path: str, checkpoint: str, **options):

@@ -11,7 +11,7 @@ from corpusflow.plans import registry
 from corpusflow.session import build_session
 
 HEADLINE = [
-    "vs3_search_all_grouped_topk", "vs2_tenant_topk", "vs4_ivf_topk", "vs5_keyword_topk", "ex_extract_chunks", "ex10_links",
+    "vs3_search_all_exact", "vs3_search_all_grouped_topk", "vs2_tenant_topk", "vs4_ivf_topk", "vs5_keyword_topk", "ex_extract_chunks", "ex10_links",
     "cr1_bfs", "tf1_char_ngrams", "lg1_train_nb", "lg2_score_nb", "bn1_binary_nb", "cq2_template_swaps", "cs1_language_fold",
     "cs2_constraint_fold", "ge11_rank_fill", "rc1_recommend", "rc5_weighted_sources", "snk1_upsert", "bi2_health",
     "bi8_durations", "st3_rate_limit",

@@ -54,37 +54,41 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int, floor: float) -> np.ndarr
     return keep[order[:k]]
 
 
-def topk_kernel(k: int, floor: float, mode: str):
-    """Kernel for ``sized_product``.
+def topk_search(k: int, floor: float, mode: str, groups_of=None):
+    """``prepare`` for ``sliced_product``.
 
     big has (chunk_id, grp, embedding), small has (query_id, grp, embedding).
     mode "own": a query meets chunks of its own group; "each": best k of every group;
-    "all": best k over all groups.
+    "all": best k over all groups. ``groups_of`` may tell, for the small side, the rows that ask for each group.
     """
 
-    def kernel(big: pd.DataFrame, small: pd.DataFrame) -> pd.DataFrame:
-        big = big[big["embedding"].notna()]
-        out_q, out_c, out_g, out_s = [], [], [], []
-        if len(big) and len(small):
+    def prepare(small: pd.DataFrame):
+        vectors, usable = unit_matrix(small["embedding"])
+        places = np.flatnonzero(usable)
+        if groups_of:
+            asked_of = groups_of(small)
+        elif mode == "own":
+            asked_of = {g: places[i] for g, i in small.iloc[places].groupby("grp").indices.items()}
+        else:
+            asked_of = {None: places}
+        query_ids = small["query_id"].to_numpy()
+
+        def search(big: pd.DataFrame) -> pd.DataFrame:
+            out_q, out_c, out_g, out_s = [], [], [], []
             chunks, chunk_ok = unit_matrix(big["embedding"])
             big, chunks = big[chunk_ok], chunks[chunk_ok]
-            ids, groups, query_ids = big["chunk_id"].to_numpy(), big["grp"].to_numpy(), small["query_id"].to_numpy()
-            buckets = {None: np.arange(len(big))} if mode == "all" else big.groupby("grp").indices
-            queries = small.groupby("grp").indices if mode == "own" else {None: np.arange(len(small))}
-            for group, members in buckets.items():
-                asked = queries.get(group if mode == "own" else None)
+            ids, groups = big["chunk_id"].to_numpy(), big["grp"].to_numpy()
+            members_of = {None: np.arange(len(big))} if mode == "all" else big.groupby("grp").indices
+            for group, members in members_of.items():
+                asked = asked_of.get(group if mode == "own" else None)
                 if asked is None or not len(members):
                     continue
                 part, names = chunks[members], ids[members]
                 for start in range(0, len(asked), 1024):
                     block = asked[start:start + 1024]
-                    vectors, usable = unit_matrix(small["embedding"].iloc[block])
-                    if not usable.any():
-                        continue
                     if vectors.shape[1] != part.shape[1]:
                         raise ValueError(f"vectors of different sizes: {vectors.shape[1]} and {part.shape[1]}")
-                    scores = np.round(vectors @ part.T, SCORE_DIGITS)
-                    scores[~usable] = -np.inf
+                    scores = np.round(vectors[block] @ part.T, SCORE_DIGITS)
                     keep = scores >= max(floor, -2.0)
                     if part.shape[0] > k:
                         kth = np.partition(scores, part.shape[0] - k, axis=1)[:, part.shape[0] - k]
@@ -97,10 +101,22 @@ def topk_kernel(k: int, floor: float, mode: str):
                     out_c.append(names[cols])
                     out_g.append(groups[members][cols])
                     out_s.append(scores[rows, cols])
-        def column(parts: list, like: pd.Series) -> pd.Series:
-            return pd.Series(np.concatenate(parts) if parts else [], dtype=like.dtype)
 
-        return pd.DataFrame({"query_id": column(out_q, small["query_id"]), "chunk_id": column(out_c, big["chunk_id"]),
-                             "grp": column(out_g, big["grp"]), "score": np.concatenate(out_s) if out_s else np.zeros(0)})
+            def column(parts: list, like: pd.Series) -> pd.Series:
+                return pd.Series(np.concatenate(parts) if parts else [], dtype=like.dtype)
 
-    return kernel
+            return pd.DataFrame({"query_id": column(out_q, small["query_id"]), "chunk_id": column(out_c, big["chunk_id"]),
+                                 "grp": column(out_g, big["grp"]), "score": np.concatenate(out_s) if out_s else np.zeros(0)})
+
+        return search
+
+    return prepare
+
+
+def best_hits(k: int, keys: list[str]):
+    """``merge`` for ``sliced_product``: the k best hits of each query, or query and group; ties go to the smaller id."""
+
+    def merge(hits: pd.DataFrame) -> pd.DataFrame:
+        return hits.sort_values(["score", "chunk_id"], ascending=[False, True], kind="stable").groupby(keys, sort=False, dropna=False).head(k)
+
+    return merge

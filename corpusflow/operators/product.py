@@ -1,9 +1,8 @@
-"""Theta joins without a cross join: a small side that is broadcast only when its size
-was checked, and a block grid beyond that size.
+"""Theta joins without a cross join: slices of the small side, each of a bounded size, go to the tasks of the large side.
 
-A *kernel* is ``kernel(big: pandas.DataFrame, small: pandas.DataFrame) -> pandas.DataFrame``.
-It sees one bounded block of each side and returns matches only (a top-k, or the hits of a
-substring search), never the pairs. Both routes feed the same kernel, so they give the same rows.
+``prepare(small)`` is called once per task and slice and gives a function of the large side's rows, which returns matches
+only (a top-k, or the hits of a substring search), never the pairs. ``merge`` reduces what a task has found so far. There is
+one plan for every size: the large side is read once per slice and is neither copied nor shuffled.
 """
 
 from __future__ import annotations
@@ -16,11 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusflow.session import cut_lineage, shared_folder
+
+#: Bounds of a slice of the small side, which is held by the driver and each worker.
 SMALL_ROWS = 50_000
 SMALL_BYTES = 128 * 1024 * 1024
+#: Rows of the large side that meet a slice at once.
 BLOCK_ROWS = 8_192
+#: Rows found that a task reduces at once, and those that it keeps for the next batch.
+FOUND_ROWS, KEPT_ROWS = 200_000, 2_000_000
 
-Kernel = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
+Search = Callable[[pd.DataFrame], pd.DataFrame]
+Prepare = Callable[[pd.DataFrame], Search]
+Merge = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def _width(field: T.StructField):
@@ -41,72 +48,55 @@ def measure(df: DataFrame) -> tuple[int, int]:
     return row["n"], row["b"]
 
 
-def sized_product(big: DataFrame, small: DataFrame, kernel: Kernel, schema: str,
-                  big_key: str, small_key: str, big_group: str | None = None,
-                  small_group: str | None = None, max_rows: int = SMALL_ROWS,
-                  max_bytes: int = SMALL_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Run ``kernel`` over every (block of big, block of small) combination.
-
-    With ``big_group``/``small_group`` only blocks of the same group meet; a group that holds
-    a large share of the rows is split into as many blocks as its size asks for.
-    """
+def slices(small: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> Iterator[pd.DataFrame]:
+    """The small side in measured slices, dealt by row number, so that repeats of a row do not fill one."""
     rows, size = measure(small)
-    if rows <= max_rows and size <= max_bytes:
-        return _broadcast_product(big, small, kernel, schema)
-    return block_product(big, small, kernel, schema, big_key, small_key, big_group, small_group,
-                         block_rows)
-
-
-def _broadcast_product(big: DataFrame, small: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
-    # The caller has measured ``small``; it is below the broadcast bound.
-    held = big.sparkSession.sparkContext.broadcast(small.toPandas())
+    n = max(1, math.ceil(rows / max_rows), math.ceil(size / max_bytes))
+    if n == 1:
+        yield small.toPandas()
+        return
+    dealt = cut_lineage(small.withColumn("_slice", F.pmod(F.monotonically_increasing_id(), F.lit(n))))
+    for number in range(n):
+        yield dealt.where(F.col("_slice") == number).drop("_slice").toPandas()
+
+
+def sliced_product(big: DataFrame, small: DataFrame, prepare: Prepare, schema: str, merge: Merge | None = None,
+                   max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """What the slices of ``small`` find in ``big``. Of several slices each is searched and stored before the next is sent."""
+    spark = big.sparkSession
+    held = slices(small, max_rows, max_bytes)
+    found = _searched(big, next(held), prepare, schema, merge, block_rows)
+    folder = None
+    for part in held:
+        if folder is None:
+            folder = shared_folder(spark, "slices")
+            found.write.parquet(folder)
+        _searched(big, part, prepare, schema, merge, block_rows).write.mode("append").parquet(folder)
+    return spark.read.schema(found.schema).parquet(folder) if folder else found
+
+
+def _searched(big: DataFrame, part: pd.DataFrame, prepare: Prepare, schema: str, merge: Merge | None, block_rows: int) -> DataFrame:
+    shared = big.sparkSession.sparkContext.broadcast(part)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        search = prepare(shared.value)
+        found: list[pd.DataFrame] = []
+        waiting = kept = 0
         for batch in batches:
-            if len(batch):
-                yield kernel(batch, held.value)
+            for at in range(0, len(batch), block_rows):
+                hits = search(batch.iloc[at:at + block_rows])
+                if merge is None:
+                    yield hits
+                    continue
+                found.append(hits)
+                waiting += len(hits)
+                if waiting > max(FOUND_ROWS, kept):
+                    found = [merge(pd.concat(found))]
+                    waiting, kept = 0, len(found[0])
+                    if kept > KEPT_ROWS:
+                        yield found.pop()
+                        kept = 0
+        if found:
+            yield merge(pd.concat(found))
 
     return big.mapInPandas(run, schema)
-
-
-def _with_block(df: DataFrame, key: str, group: str | None, block_rows: int,
-                own: str, blocks: str) -> DataFrame:
-    """Add the row's own block number and the number of blocks of its group."""
-    if group is None:
-        total = max(1, math.ceil(df.count() / block_rows))
-        df = df.withColumn(blocks, F.lit(total))
-    else:
-        sizes = df.groupBy(group).agg(
-            F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)), F.lit(1)).cast("int").alias(blocks))
-        df = df.join(sizes, group)
-    return df.withColumn(own, F.pmod(F.xxhash64(F.col(key).cast("string")), F.col(blocks)).cast("int"))
-
-
-def block_product(big: DataFrame, small: DataFrame, kernel: Kernel, schema: str,
-                  big_key: str, small_key: str, big_group: str | None = None,
-                  small_group: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Fragment-and-replicate grid: each cell joins one bounded block of either side."""
-    left = _with_block(big, big_key, big_group, block_rows, "_bb", "_bn")
-    right = _with_block(small, small_key, small_group, block_rows, "_sb", "_sn")
-    if big_group is None:
-        left_blocks = max(1, math.ceil(big.count() / block_rows))
-        right_blocks = max(1, math.ceil(small.count() / block_rows))
-        left = left.withColumn("_sb", F.explode(F.sequence(F.lit(0), F.lit(right_blocks - 1))))
-        right = right.withColumn("_bb", F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1))))
-        cell = ["_bb", "_sb"]
-    else:
-        left = left.withColumn("_g", F.col(big_group))
-        right = right.withColumn("_g", F.col(small_group))
-        left_n = left.select("_g", "_bn").distinct()
-        right_n = right.select("_g", "_sn").distinct()
-        left = left.join(right_n, "_g").withColumn("_sb", F.explode(F.sequence(F.lit(0), F.col("_sn") - 1)))
-        right = right.join(left_n, "_g").withColumn("_bb", F.explode(F.sequence(F.lit(0), F.col("_bn") - 1)))
-        cell = ["_g", "_bb", "_sb"]
-    left = left.select(*cell, *[F.col(f"`{c}`") for c in big.columns])
-    right = right.select(*cell, *[F.col(f"`{c}`") for c in small.columns])
-    columns_big, columns_small = big.columns, small.columns
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return kernel(a[columns_big], b[columns_small])
-
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(run, schema)

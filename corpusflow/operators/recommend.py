@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import defaults as d
 from corpusflow.functions.text import is_blank, strip
-from corpusflow.operators.product import sized_product
+from corpusflow.operators.product import sliced_product
 from corpusflow.operators.retrieve import search, search_all
 
 # Result and source limits, reason texts, joining rule line.
@@ -201,18 +201,32 @@ def _number(shuffled: DataFrame) -> DataFrame:
     return cut.join(offset, ["_region", "_bucket"]).withColumn("position", F.row_number().over(inner) + F.col("_before"))
 
 
-def _region_kernel(tenants: pd.DataFrame, regions: pd.DataFrame) -> pd.DataFrame:
-    found = [tenants.loc[tenants["_fields"].str.contains(r.strip().lower(), regex=False), ["tenant_id"]].assign(_region=r)
-             for r in regions["_region"]]
-    empty = pd.DataFrame({"tenant_id": pd.Series(dtype=object), "_region": pd.Series(dtype=object)})
-    return pd.concat([empty, *found])[["_region", "tenant_id"]]
+def _region_search(regions: pd.DataFrame):
+    """Tenants whose fields hold a region's text; the empty text is in all."""
+    import ahocorasick
+
+    automaton, everywhere = ahocorasick.Automaton(), []
+    for region in regions["_region"]:
+        word = region.strip().lower()
+        if word:
+            automaton.add_word(word, [*automaton.get(word, []), region])
+        else:
+            everywhere.append(region)
+    if len(automaton):
+        automaton.make_automaton()
+
+    def search(tenants: pd.DataFrame) -> pd.DataFrame:
+        found = [sorted({r for _, some in (automaton.iter(fields) if len(automaton) else ()) for r in some}) + everywhere for fields in tenants["_fields"]]
+        return pd.DataFrame({"_region": pd.Series([r for some in found for r in some], dtype=object),
+                             "tenant_id": tenants["tenant_id"].to_numpy(dtype=object).repeat([len(some) for some in found])})
+
+    return search
 
 
 def _regions_of(tenants: DataFrame, wanted: DataFrame) -> DataFrame:
     """(_region, tenant_id): the strict region test of each distinct region asked for."""
     fields = F.concat_ws("\u0001", *[F.lower(c) for c in ("region", "location", "country", "domain", "tenant_id")])
-    return sized_product(tenants.select("tenant_id", fields.alias("_fields")), wanted, _region_kernel,
-                         "_region string, tenant_id string", "tenant_id", "_region")
+    return sliced_product(tenants.select("tenant_id", fields.alias("_fields")), wanted, _region_search, "_region string, tenant_id string")
 
 
 def route(queries: DataFrame) -> DataFrame:

@@ -146,9 +146,10 @@ def step_durations(steps: DataFrame) -> DataFrame:
 
     steps(run_id, agent, kind, phase, elapsed_ms, duration_ms, status); an end without a
     duration takes the difference of the elapsed times; a start without an end stays running.
+    Steps of one time count in the order of a hash of the row; equal rows are alike in any order.
     """
-    numbered = running_sum(steps.withColumn("_one", F.lit(1)), ["run_id", "agent", "phase"],
-                           "elapsed_ms", "_one", "occurrence").drop("_one")
+    tied = steps.withColumn("_one", F.lit(1)).withColumn("_tie", F.xxhash64("kind", "duration_ms", "status"))
+    numbered = running_sum(tied, ["run_id", "agent", "phase"], ["elapsed_ms", "_tie"], "_one", "occurrence").drop("_one", "_tie")
     start, end = F.col("phase") == "start", F.col("phase") == "end"
     paired = numbered.groupBy("run_id", "agent", "occurrence").agg(
         F.coalesce(F.max(F.when(end, F.col("kind"))), F.max("kind")).alias("kind"),

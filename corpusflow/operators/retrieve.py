@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.functions.vector import cosine, topk_kernel, unit_matrix
-from corpusflow.operators.product import BLOCK_ROWS, SMALL_BYTES, SMALL_ROWS, sized_product
+from corpusflow.functions.vector import best_hits, cosine, topk_search, unit_matrix
+from corpusflow.operators.product import BLOCK_ROWS, SMALL_BYTES, SMALL_ROWS, sliced_product
 from corpusflow.session import cut_lineage
 
 __all__ = ["cosine", "search", "search_all", "build_ivf", "search_ivf", "recall", "keyword_search",
@@ -30,12 +30,10 @@ def _topk(queries: DataFrame, chunks: DataFrame, k: int, min_score: float, mode:
         small = queries.select("query_id", F.col(group).alias("grp"), "embedding")
     else:
         small = queries.select("query_id", F.lit(None).cast(group_type).alias("grp"), "embedding")
-    own = mode == "own"
-    return sized_product(
-        big, small, topk_kernel(k, min_score, mode),
+    return sliced_product(
+        big, small, topk_search(k, min_score, mode),
         f"query_id {id_type}, chunk_id {chunk_type}, grp {group_type}, score double",
-        "chunk_id", "query_id", "grp" if own else None, "grp" if own else None,
-        max_rows, max_bytes, block_rows).withColumnRenamed("grp", group)
+        best_hits(k, ["query_id"] if mode == "all" else ["query_id", "grp"]), max_rows, max_bytes, block_rows).withColumnRenamed("grp", group)
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: float = 0.7,
@@ -44,8 +42,7 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: float =
     """VS2: best ``k`` active chunks of the query's own tenant.
 
     queries(query_id, tenant_id, embedding), chunks(chunk_id, tenant_id, embedding[, is_active])
-    -> (query_id, tenant_id, chunk_id, score, rn). Each block of chunks keeps k rows per query
-    before anything is shuffled.
+    -> (query_id, tenant_id, chunk_id, score, rn). Each task keeps k rows per query before anything is shuffled.
     """
     if "is_active" in chunks.columns:
         chunks = chunks.filter("is_active")
@@ -139,62 +136,60 @@ def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
              (F.count("_hit") / F.count(F.lit(1))).alias("recall"))
 
 
-def _keyword_kernel(k: int, min_score: float, own: bool):
-    def kernel(big: pd.DataFrame, small: pd.DataFrame) -> pd.DataFrame:
+def _keyword_search(k: int, min_score: float, own: bool):
+    """Terms are searched by one automaton a task and slice; a term's posting lists the queries that hold it, how often each.
+
+    Scores are made for the queries in the postings of a text's terms only.
+    """
+
+    def prepare(small: pd.DataFrame):
         import ahocorasick
 
-        columns = {"query_id": [], "chunk_id": [], "grp": [], "score": []}
         wanted = [[t for t in str(q).lower().split(" ") if t] for q in small["query"].fillna("")]
-        vocabulary = sorted({t for terms in wanted for t in terms})
-        if vocabulary and len(big):
-            number = {t: i for i, t in enumerate(vocabulary)}
-            automaton = ahocorasick.Automaton()
-            for term, i in number.items():
-                automaton.add_word(term, i)
+        sizes = np.array([len(terms) for terms in wanted], dtype=np.float64)
+        number = {t: i for i, t in enumerate(sorted({t for terms in wanted for t in terms}))}
+        automaton = ahocorasick.Automaton()
+        for term, i in number.items():
+            automaton.add_word(term, i)
+        if number:
             automaton.make_automaton()
-            uses = np.zeros((len(vocabulary), len(small)), dtype=np.float32)
-            for q, terms in enumerate(wanted):
-                for term in terms:
-                    uses[number[term], q] += 1.0
-            sizes = np.array([len(terms) for terms in wanted], dtype=np.float64)
-            asked = np.flatnonzero(sizes > 0)
-            groups, ids = big["grp"].to_numpy(), big["chunk_id"].to_numpy()
-            best: dict = {}
-            step = max(1, min(len(big), 4_000_000 // max(1, len(vocabulary))))
-            for start in range(0, len(big), step):
-                part = big.iloc[start:start + step]
-                seen = np.zeros((len(part), len(vocabulary)), dtype=np.float32)
-                titled = np.zeros_like(seen)
-                for i, (content, title) in enumerate(zip(part["content"], part["title"])):
-                    for _, term in automaton.iter(str(content or "").lower()):
-                        seen[i, term] = 1.0
-                    for _, term in automaton.iter(str(title or "").lower()):
-                        seen[i, term] = titled[i, term] = 1.0
-                scores = (seen @ uses)[:, asked] / sizes[asked]
-                scores = np.minimum(1.0, scores + 0.2 * ((titled @ uses)[:, asked] > 0))
-                rows, cols = np.nonzero(scores >= min_score)
-                for r, c in zip(rows, cols):
-                    g = groups[start + r]
-                    q = asked[c]
-                    if own and small["grp"].iloc[q] != g:
-                        continue
-                    best.setdefault((q, g), []).append((-scores[r, c], ids[start + r]))
-                for key, found in best.items():
-                    if len(found) > k:
-                        found.sort()
-                        del found[k:]
-            for (q, g), found in best.items():
-                for negative, chunk in sorted(found)[:k]:
-                    columns["query_id"].append(small["query_id"].iloc[q])
-                    columns["chunk_id"].append(chunk)
-                    columns["grp"].append(g)
-                    columns["score"].append(-negative)
-        return pd.DataFrame({"query_id": pd.Series(columns["query_id"], dtype=small["query_id"].dtype),
-                             "chunk_id": pd.Series(columns["chunk_id"], dtype=big["chunk_id"].dtype),
-                             "grp": pd.Series(columns["grp"], dtype=big["grp"].dtype),
-                             "score": np.asarray(columns["score"], dtype=np.float64)})
-
-    return kernel
+        uses = np.array([(number[t], q) for q, terms in enumerate(wanted) for t in terms], dtype=np.int64).reshape(-1, 2)
+        pair, times = np.unique(uses[:, 0] * len(small) + uses[:, 1], return_counts=True)
+        asked = pair % max(1, len(small))
+        first = np.searchsorted(pair, np.arange(len(number) + 1) * len(small))
+        query_ids, query_groups = small["query_id"].to_numpy(), small["grp"].to_numpy()
+
+        def postings(found: list[set[int]]) -> tuple[np.ndarray, np.ndarray]:
+            """(row * queries + query, number of the query's terms in the row), for queries with any."""
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            rows = np.repeat(np.arange(len(found)), counts)
+            terms = np.fromiter((t for some in found for t in some), np.int64, int(counts.sum()))
+            length = first[terms + 1] - first[terms]
+            at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(first[terms], length)
+            cells, place = np.unique(np.repeat(rows, length) * len(small) + asked[at], return_inverse=True)
+            return cells, np.bincount(place, times[at], len(cells))
+
+        def search(big: pd.DataFrame) -> pd.DataFrame:
+            parts = []
+            for start in range(0, len(big) if number else 0, 512):
+                part = big.iloc[start:start + 512]
+                titled = [{t for _, t in automaton.iter(str(x or "").lower())} for x in part["title"]]
+                seen = [more | {t for _, t in automaton.iter(str(x or "").lower())} for x, more in zip(part["content"], titled)]
+                cells, n = postings(seen)
+                row, query = cells // len(small), cells % len(small)
+                scores = np.minimum(1.0, n / sizes[query] + 0.2 * np.isin(cells, postings(titled)[0]))
+                groups = part["grp"].to_numpy()[row]
+                good = scores >= min_score
+                if own:
+                    good &= query_groups[query] == groups
+                parts.append(pd.DataFrame({"query_id": query_ids[query[good]], "chunk_id": part["chunk_id"].to_numpy()[row[good]],
+                                           "grp": groups[good], "score": scores[good]}))
+            return pd.concat(parts) if parts else pd.DataFrame({"query_id": small["query_id"][:0], "chunk_id": big["chunk_id"][:0], "grp": big["grp"][:0],
+                                                                "score": np.zeros(0)})
+
+        return search
+
+    return prepare
 
 
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: float = 0.7,
@@ -210,12 +205,11 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score:
     big = chunks.select("chunk_id", F.col("tenant_id").alias("grp"), "content", "title")
     group = F.col("tenant_id") if own_tenant else F.lit(None).cast(types["tenant_id"])
     small = queries.select("query_id", group.alias("grp"), "query")
-    hits = sized_product(
-        big, small, _keyword_kernel(k, min_score, own_tenant),
+    hits = sliced_product(
+        big, small, _keyword_search(k, min_score, own_tenant),
         f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {types['chunk_id']}, "
         f"grp {types['tenant_id']}, score double",
-        "chunk_id", "query_id", "grp" if own_tenant else None, "grp" if own_tenant else None,
-        max_rows, SMALL_BYTES, 2048).withColumnRenamed("grp", "tenant_id")
+        best_hits(k, ["query_id", "grp"]), max_rows).withColumnRenamed("grp", "tenant_id")
     return _rank(hits, ["query_id", "tenant_id"], [F.desc("score"), "chunk_id"], k)
 
 

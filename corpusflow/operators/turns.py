@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow import defaults as d
 from corpusflow.functions.text import any_substring, is_blank, strip
-from corpusflow.operators.product import SMALL_ROWS, sized_product
+from corpusflow.operators.product import SMALL_ROWS, sliced_product
 
 
 def region_tag(text: Column, regions: list[tuple[str, list[str]]] = d.REGIONS) -> Column:
@@ -63,8 +64,8 @@ def _bounded(text: str, start: int, end: int) -> bool:
     return before and after
 
 
-def _name_kernel(texts: pd.DataFrame, tenants: pd.DataFrame) -> pd.DataFrame:
-    """Two longest-named tenants that each text means: enough to see a unique longest one."""
+def _names(tenants: pd.DataFrame):
+    """Two longest-named tenants that each text means: enough to see a unique longest one. The automaton is made once a task."""
     import ahocorasick
 
     patterns: dict[str, list[tuple[int, bool]]] = {}
@@ -80,24 +81,26 @@ def _name_kernel(texts: pd.DataFrame, tenants: pd.DataFrame) -> pd.DataFrame:
     automaton = ahocorasick.Automaton()
     for pattern, uses in patterns.items():
         automaton.add_word(pattern, (len(pattern), uses))
-    out_text, out_tenant, out_size = [], [], []
     if patterns:
         automaton.make_automaton()
-        for key, text in zip(texts["text_id"], texts["text"]):
-            lower = (text or "").strip().lower()
-            if len(lower) < 3:
-                continue
-            found = set()
-            for end, (size, uses) in automaton.iter(lower):
-                for row, whole in uses:
-                    if row not in found and (not whole or _bounded(lower, end + 1 - size, end + 1)):
-                        found.add(row)
-            for row in sorted(found, key=lambda r: -len(names[r]))[:2]:
-                out_text.append(key)
-                out_tenant.append(tenants["tenant_id"].iloc[row])
-                out_size.append(len(names[row]))
-    return pd.DataFrame({"text_id": pd.Series(out_text, dtype=texts["text_id"].dtype), "tenant_id": pd.Series(out_tenant, dtype=object),
-                         "size": pd.Series(out_size, dtype="int32")})
+
+    sizes = np.array([len(n) for n in names], dtype="int32")
+
+    def meant(lower: str) -> list[int]:
+        found = set()
+        for end, (size, uses) in automaton.iter(lower):
+            found.update(row for row, whole in uses if not whole or _bounded(lower, end + 1 - size, end + 1))
+        return sorted(found, key=lambda r: (-len(names[r]), r))[:2]
+
+    def search(texts: pd.DataFrame) -> pd.DataFrame:
+        lower = texts["text"].fillna("").str.strip().str.lower()
+        long = lower.str.len() >= 3 if patterns else lower.str.len() < 0
+        found = lower[long].map(meant)
+        rows = np.array([r for some in found for r in some], dtype=np.int64)
+        return pd.DataFrame({"text_id": texts["text_id"][long].repeat(found.map(len).to_numpy(np.int64)).to_numpy(),
+                             "tenant_id": tenants["tenant_id"].to_numpy(dtype=object)[rows], "size": sizes[rows]})
+
+    return search
 
 
 def match_tenant(texts: DataFrame, tenants: DataFrame, key: str = "text_id", text: str = "text",
@@ -107,10 +110,9 @@ def match_tenant(texts: DataFrame, tenants: DataFrame, key: str = "text_id", tex
     All names are searched in one pass over each text; no text meets a tenant it does not name.
     """
     known = tenants.filter("is_active").filter(~is_blank(F.col("name"))).select("tenant_id", "name")
-    hits = sized_product(
-        texts.select(F.col(key).alias("text_id"), F.col(text).alias("text")), known, _name_kernel,
-        f"text_id {dict(texts.dtypes)[key]}, tenant_id string, size int", "text_id", "tenant_id",
-        max_rows=max_rows, block_rows=block_rows)
+    hits = sliced_product(
+        texts.select(F.col(key).alias("text_id"), F.col(text).alias("text")), known, _names,
+        f"text_id {dict(texts.dtypes)[key]}, tenant_id string, size int", max_rows=max_rows, block_rows=block_rows)
     best = hits.groupBy("text_id").agg(F.max(F.struct("size", "tenant_id")).alias("_a"),
                                        F.min(F.struct((-F.col("size")).alias("size"), F.col("tenant_id"))).alias("_b"))
     unique = best.filter(F.col("_a.tenant_id") == F.col("_b.tenant_id")) \

@@ -21,7 +21,7 @@ PER_HOUR = 1000
 
 
 #: Hash partitions of the known keys of an ingested table.
-KEY_BUCKETS = 256
+KEY_BUCKETS = 64
 
 
 def _known_keys(spark: SparkSession, path: str, keys: DataFrame, batch_id: int) -> DataFrame:

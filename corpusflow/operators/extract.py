@@ -90,10 +90,10 @@ def tag_language(chunks: DataFrame, model, known: list[str] | None = None, sampl
     from corpusflow.operators.textmodel import decide_language, detect_language
 
     text = F.col("content") if sample_chars is None else F.substring("content", 1, sample_chars)
-    sample = chunks.select("chunk_id", text.alias("text"))
-    decided = detect_language(decide_language(sample, model, "chunk_id"), known or model.labels, DEFAULT_LANGUAGE)
-    return chunks.drop("language").join(decided.select("chunk_id", "language"), "chunk_id", "left") \
-        .withColumn("language", F.coalesce("language", F.lit(DEFAULT_LANGUAGE))).select(*chunks.columns)
+    # the chunk itself is the key, so repeated and null ids stay rows of their own and nothing is joined
+    rows = chunks.select(F.struct(*[c for c in chunks.columns if c != "language"]).alias("_chunk"), text.alias("text"))
+    decided = detect_language(decide_language(rows, model, "_chunk"), known or model.labels, DEFAULT_LANGUAGE)
+    return decided.select("_chunk.*", F.coalesce("language", F.lit(DEFAULT_LANGUAGE)).alias("language")).select(*chunks.columns)
 
 
 def links_of(parsed: DataFrame, allowed: DataFrame | None = None, keep: list[str] | None = None,

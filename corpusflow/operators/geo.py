@@ -190,16 +190,12 @@ def distance_scores(queries: DataFrame, tenants: DataFrame, hits: DataFrame | No
     A subject is an intent, or the query itself when ``amenity_mixed`` restricts its candidates
     to tenants with text hits. Tenants are scored once per distinct intent, not once per query.
     """
-    active = tenants.filter("is_active").select("tenant_id", F.coalesce("has_lift", F.lit(False)).alias("has_lift"), "lat", "lng")
+    active = _located(tenants)
     geo = queries.filter("is_geo")
-    pure = geo.filter("NOT amenity_mixed").groupBy(F.col("intent").alias("subject")).agg(
-        F.first("targets").alias("targets"), F.first("requires_lift").alias("requires_lift"), F.first("conflicting").alias("conflicting"))
     columns = ["subject", "tenant_id", "has_lift", "pos", "name", "lead", "limit", "km", "requires_lift", "conflicting"]
-    rows = _targets(pure).join(tenant_place_km(active), F.col("name") == F.col("place")).select(*columns)
+    rows = _targets(_pure(geo)).join(tenant_place_km(active), F.col("name") == F.col("place")).select(*columns)
     if hits is not None:
-        mixed = geo.filter("amenity_mixed").select(F.col("query_id").cast("string").alias("subject"), "targets", "requires_lift", "conflicting")
-        found = hits.select(F.col("query_id").cast("string").alias("subject"), "tenant_id").distinct()
-        near = _targets(mixed).join(found, "subject").join(active, "tenant_id") \
+        near = _targets(_mixed(geo)).join(_found(hits), "subject").join(active, "tenant_id") \
             .withColumn("km", _km(F.col("t"), F.col("lat"), F.col("lng"))).select(*columns)
         rows = rows.unionByName(near)
     return _score(rows)
@@ -210,6 +206,72 @@ def conflicts(scores: DataFrame) -> DataFrame:
     return scores.groupBy("subject").agg((F.first("conflicting") & ~F.bool_or("close_enough")).alias("conflict"))
 
 
+def _pure(geo: DataFrame) -> DataFrame:
+    return geo.filter("NOT amenity_mixed").groupBy(F.col("intent").alias("subject")).agg(
+        F.first("targets").alias("targets"), F.first("requires_lift").alias("requires_lift"), F.first("conflicting").alias("conflicting"))
+
+
+def _located(tenants: DataFrame) -> DataFrame:
+    return tenants.filter("is_active").select("tenant_id", F.coalesce("has_lift", F.lit(False)).alias("has_lift"), "lat", "lng")
+
+
+def nearest_tenants(located: DataFrame, n: int) -> DataFrame:
+    """(place, tenant_id): of each gazetteer place the ``n`` nearest tenants, and all that are as near as the nearest, with and
+    without regard to a lift. Tasks keep a few rows per place before anything moves; places are a constant of the library."""
+    every = tenant_place_km(located)
+    place = Window.partitionBy("place")
+    some = every.withColumn("r", F.row_number().over(place.orderBy("km", "tenant_id"))).filter(F.col("r") <= n)
+    first = [rows.withColumn("r", F.rank().over(place.orderBy("km"))).filter(F.col("r") <= 1) for rows in (every, every.filter("has_lift"))]
+    return some.unionByName(first[0]).unionByName(first[1]).select("place", "tenant_id").distinct()
+
+
+def candidate_scores(geo: DataFrame, tenants: DataFrame, hits: DataFrame, n: int) -> DataFrame:
+    """The rows of ``distance_scores`` that can be ranked or be a pole: a bounded number for each subject.
+
+    The n tenants with the least distance to any target are among the n nearest of its targets, and the poles are nearest
+    to one target. Queries whose candidates are restricted to tenants with text hits are scored for these.
+    """
+    located = _located(tenants)
+    columns = ["subject", "tenant_id", "has_lift", "pos", "name", "lead", "limit", "km", "requires_lift", "conflicting"]
+    pure = _targets(_pure(geo))
+    near = nearest_tenants(located, n)
+    wanted = pure.select("subject", "name").join(near, F.col("name") == F.col("place")).select("subject", "tenant_id").distinct()
+    rows = [pure.join(wanted, "subject"), _targets(_mixed(geo)).join(_found(hits), "subject")]
+    return _score(rows[0].unionByName(rows[1]).join(located, "tenant_id").withColumn("km", _km(F.col("t"), F.col("lat"), F.col("lng"))).select(*columns))
+
+
+def _mixed(geo: DataFrame) -> DataFrame:
+    return geo.filter("amenity_mixed").select(F.col("query_id").cast("string").alias("subject"), "targets", "requires_lift", "conflicting")
+
+
+def _found(hits: DataFrame) -> DataFrame:
+    return hits.select(F.col("query_id").cast("string").alias("subject"), "tenant_id").distinct()
+
+
+def verdicts(geo: DataFrame, tenants: DataFrame, scores: DataFrame) -> DataFrame:
+    """GE9 without a row for each subject and tenant: (subject, conflict) of subjects with any candidate.
+
+    A tenant matters only by the places that it is close to and its lift. Subjects of intents meet the distinct sets of
+    places, through their first target; those restricted to text hits have all their candidates in ``scores``.
+    """
+    located = _located(tenants)
+    named = F.transform(_place_literal(d.PLACES), lambda p: F.struct(
+        p["name"].alias("place"), haversine_km(F.col("lat"), F.col("lng"), p["lat"], p["lng"]).alias("km"), (p["place_kind"] == "SkiArea").alias("ski")))
+    with_km = located.withColumn("_named", named)
+    close = F.transform(F.filter("_named", lambda p: p["km"] <= F.when(p["ski"], d.CLOSE_SKI_KM).otherwise(d.CLOSE_CITY_KM)), lambda p: p["place"])
+    least_ski = F.array_min(F.transform(F.filter("_named", lambda p: p["ski"]), lambda p: p["km"]))
+    close = F.concat(close, F.when(least_ski <= d.CLOSE_SKI_KM, F.array(F.lit(d.NEAREST_SKI))).otherwise(F.array().cast("array<string>")))
+    sets = with_km.select("has_lift", close.alias("close")).distinct().select("has_lift", "close", F.explode("close").alias("place"))
+    intents = _pure(geo).filter("conflicting").withColumn("names", F.transform("targets", lambda t: t["name"]))
+    fits = F.size(F.array_except("names", "close")) == 0
+    satisfied = intents.join(sets, F.get("names", F.lit(0)) == F.col("place")) \
+        .filter(fits & (~F.col("requires_lift") | F.col("has_lift"))).select("subject").distinct().withColumn("_close", F.lit(True))
+    mixed = conflicts(scores).join(_mixed(geo).select("subject"), "subject", "left_semi")
+    pure = scores.join(_pure(geo).select("subject"), "subject", "left_semi").groupBy("subject").agg(F.first("conflicting").alias("conflicting")) \
+        .join(satisfied, "subject", "left").select("subject", (F.col("conflicting") & F.col("_close").isNull()).alias("conflict"))
+    return pure.unionByName(mixed)
+
+
 def _branches(scores: DataFrame, verdict: DataFrame, n: int) -> DataFrame:
     """GE10: (subject, tenant_id, ord<source, ord>): poles first where there is a conflict, then by distance."""
     def best(name: str, condition: Column | None = None) -> Column:
@@ -232,12 +294,13 @@ def geo_rank(queries: DataFrame, tenants: DataFrame, hits: DataFrame, n: int = 3
     """GE11: (query_id, tenant_id, geo_rank, primary_km, conflict, distances, has_lift).
 
     queries from ``prepare``; hits(query_id, tenant_id, text_rank) in text order. Queries without
-    an intent or without candidates keep the text order; mixed ones are filled up from it.
+    an intent or without candidates keep the text order; mixed ones are filled up from it. Of an intent only the tenants
+    that can be ranked are scored, so nothing has a row for each intent and tenant.
     """
     queries = cut_lineage(queries.select("query_id", "targets", "requires_lift", "conflicting", "is_geo", "amenity_mixed", "intent"))
-    # read four times below; stored once, it is one row per (intent, tenant)
-    scores = cut_lineage(distance_scores(queries, tenants, hits))
-    verdict = conflicts(scores)
+    geo = queries.filter("is_geo")
+    scores = cut_lineage(candidate_scores(geo, tenants, hits, n))  # read three times below
+    verdict = cut_lineage(verdicts(geo, tenants, scores))
     subject = F.when(F.col("amenity_mixed"), F.col("query_id").cast("string")).otherwise(F.col("intent"))
     asked = queries.select("query_id", "is_geo", "amenity_mixed", F.when(F.col("is_geo"), subject).alias("subject"))
     ordered = asked.join(_branches(scores, verdict, n), "subject").select("query_id", "tenant_id", "ord")

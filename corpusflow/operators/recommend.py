@@ -165,11 +165,17 @@ def pending_sources(sources: DataFrame, requests: DataFrame, pending: DataFrame)
 
 
 def catalog(queries: DataFrame, tenants: DataFrame, chunks: DataFrame | None = None, seed: int = 7) -> DataFrame:
-    """RC8: (query_id, position, tenant_id, line) for catalog questions.
+    """RC8: (query_id, position, tenant_id, line) for catalog questions: ``catalog_lists`` with its parts joined."""
+    listed, links = catalog_lists(queries, tenants, chunks, seed)
+    return links.join(listed, "region").select("query_id", "position", "tenant_id", "line")
 
-    queries(query_id, region[, embedding]). A listing belongs to the region, not to the query: the
-    list is built once per distinct region and joined back. ``embedding`` is the vector of the
-    region text; its hits add tenants whose region and location are blank.
+
+def catalog_lists(queries: DataFrame, tenants: DataFrame, chunks: DataFrame | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """RC8, normalised: (region, position, tenant_id, line) of each distinct region asked for, and (query_id, region).
+
+    queries(query_id, region[, embedding]). A listing belongs to the region, not to the query, so its rows do not grow with
+    the questions; a blank region lists all active tenants. ``embedding`` is the vector of the region text; its hits add
+    tenants whose region and location are blank.
     """
     active = tenants.filter("is_active")
     wanted = queries.select(F.coalesce("region", F.lit("")).alias("_region")).distinct()
@@ -186,9 +192,8 @@ def catalog(queries: DataFrame, tenants: DataFrame, chunks: DataFrame | None = N
     numbered = _number(shuffled)
     line = F.concat(F.col("position").cast("string"), F.lit(". "), "name", F.when(place != "", F.concat(F.lit(" — "), place)).otherwise(""),
                     F.lit(" (id: "), "tenant_id", F.lit(")"))
-    listed = numbered.select("_region", "position", "tenant_id", line.alias("line"))
-    return queries.select("query_id", F.coalesce("region", F.lit("")).alias("_region")).join(listed, "_region") \
-        .select("query_id", "position", "tenant_id", "line")
+    listed = numbered.select(F.col("_region").alias("region"), "position", "tenant_id", line.alias("line"))
+    return listed, queries.select("query_id", F.coalesce("region", F.lit("")).alias("region"))
 
 
 def _number(shuffled: DataFrame) -> DataFrame:

@@ -281,13 +281,11 @@ def score_column(text: Column, model: NBModel) -> Column:
 def score_nb(df: DataFrame, model: NBModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """LG2/LG3, one row per text that has features: (key, tokens, word_tokens, scores, seen, word_seen); arrays follow
     ``model.labels``."""
-    if model.is_small():
-        return df.select(key, score_column(F.col(text), model).alias("_s")).filter("_s IS NOT NULL").select(key, "_s.*")
-    return score_nb_shuffled(df, model, key, text)
+    return with_scores(df.select(key, text), model, text).filter("tokens IS NOT NULL").select(key, *_SCORE)
 
 
 def score_nb_shuffled(df: DataFrame, model: NBModel, key: str = "doc_id", text: str = "text", salts: int = 1) -> DataFrame:
-    """The same for a model that workers cannot hold; rows of one key count as one text.
+    """The sums of a model that workers cannot hold, by a ``key`` that is unique.
 
     Texts meet the model on words, not on n-grams, with one row per text and distinct word. A
     partition with a frequent word is split at run time (adaptive skew join); ``salts`` > 1 spreads
@@ -318,11 +316,15 @@ def score_nb_shuffled(df: DataFrame, model: NBModel, key: str = "doc_id", text:
 _SCORE = ["tokens", "word_tokens", "scores", "seen", "word_seen"]
 
 
-def with_scores(df: DataFrame, model: NBModel, key: str, text: str) -> DataFrame:
-    """All rows with the score columns, null for texts without features."""
+def with_scores(df: DataFrame, model: NBModel, text: str) -> DataFrame:
+    """All rows with the score columns, null for texts without features.
+
+    Each row is a text of its own whatever its key: for a model that workers cannot hold rows are numbered and stored first.
+    """
     if model.is_small():
         return df.withColumn("_s", score_column(F.col(text), model)).select("*", *[F.col(f"_s.{c}") for c in _SCORE]).drop("_s")
-    return df.join(score_nb_shuffled(df, model, key, text), key, "left")
+    numbered = cut_lineage(df.withColumn("_row_number", F.monotonically_increasing_id()))
+    return numbered.join(score_nb_shuffled(numbered, model, "_row_number", text), "_row_number", "left").drop("_row_number")
 
 
 def _softmax(scores: Column) -> Column:
@@ -370,7 +372,7 @@ def decide_language(df: DataFrame, model: NBModel, key: str = "doc_id", text: st
         base = match_greetings(base, greetings, text)
     else:
         base = base.withColumn("greeting_codes", F.lit(None).cast("array<string>"))
-    scored = with_scores(script_profile(base, text), model, key, text).select(
+    scored = with_scores(script_profile(base, text), model, text).select(
         key, "greeting_codes", "letters", "restrict_script", "unsupported", *_SCORE)
     allowed = allowed_labels(F.col("restrict_script"))
     scored = rank_labels(scored, model.labels, allowed)
@@ -456,7 +458,7 @@ def train_binary_nb(labeled: DataFrame, positive: str, negative: str, label: str
 def score_binary_nb(df: DataFrame, model: NBModel, positive: str, negative: str, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """BN1: (key, label, p); a tie is positive, a text without features is negative with p = 1."""
-    scored = with_scores(df.select(key, text), model, key, text)
+    scored = with_scores(df.select(key, text), model, text)
     at = {name: i + 1 for i, name in enumerate(model.labels)}
     pos, neg = F.element_at("scores", at[positive]), F.element_at("scores", at[negative])
     top = F.greatest(pos, neg)

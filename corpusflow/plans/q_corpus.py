@@ -155,7 +155,7 @@ def cr5_plan(spark, sf):
 def _chunk_rows(spark, sf, shift: int):
     return _crawled(spark, sf).select(
         F.sha2(F.concat_ws("|", "tenant_id", "source_url"), 256).alias("chunk_id"), "tenant_id", "source_url", F.lit("T").alias("title"),
-        F.substring("content", 1 + shift, 20).alias("content"), F.lit("de").alias("language"), "is_active",
+        F.expr(f"substring(content, {1 + shift})").alias("content"), F.lit("de").alias("language"), "is_active",
         F.lit(None).cast("array<float>").alias("embedding"), F.lit(shift).alias("crawled_at"))
 
 
@@ -254,8 +254,8 @@ SQL = {
     "cr5_plan": f"""WITH {_CRAWLED} SELECT tenant_id, CASE WHEN count(*) FILTER (length(content) > 3000) > 0 THEN 'sitemap' WHEN right(tenant_id, 1) = '1' THEN 'nothing' ELSE 'links' END AS mode
         FROM crawled GROUP BY tenant_id""",
     "cr6_recrawl": f"""WITH {_CRAWLED}, fresh AS (SELECT * FROM crawled WHERE source_url LIKE '%1' AND tenant_id LIKE 't1%')
-        SELECT tenant_id, source_url, substr(content, 1, 20) AS content, 0 AS crawled_at FROM crawled WHERE tenant_id NOT IN (SELECT tenant_id FROM fresh)
-        UNION ALL SELECT tenant_id, source_url, substr(content, 4, 20), 3 FROM fresh""",
+        SELECT tenant_id, source_url, content, 0 AS crawled_at FROM crawled WHERE tenant_id NOT IN (SELECT tenant_id FROM fresh)
+        UNION ALL SELECT tenant_id, source_url, substr(content, 4), 3 FROM fresh""",
     "cr7_quality_verdict": f"""WITH {_CRAWLED}, e AS (SELECT tenant_id, CAST(floor(max(length(source_url)) * count(*) / 6) AS BIGINT) AS expected FROM crawled GROUP BY ALL),
         s AS (SELECT tenant_id, count(*) FILTER (is_active AND length(content) < 2500) AS pages,
             coalesce(avg(length(content)) FILTER (is_active AND length(content) < 2500), 0) AS avg_length FROM crawled GROUP BY ALL),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusflow import defaults as d
@@ -63,7 +64,8 @@ def ge6_distance_scores(spark, sf):
 
 
 def ge9_conflict(spark, sf):
-    return ge.conflicts(ge.distance_scores(_intents(spark, sf), _located(spark, sf), _text_hits(spark, sf)))
+    geo, tenants = _intents(spark, sf).filter("is_geo"), _located(spark, sf)
+    return ge.verdicts(geo, tenants, ge.candidate_scores(geo, tenants, _text_hits(spark, sf), 1))
 
 
 def ge11_rank_fill(spark, sf):
@@ -153,14 +155,34 @@ def rc6_strip_footer(spark, sf):
 
 
 def rc7_pending(spark, sf):
-    t = turns(spark, sf)
-    pending = t.filter("turn = 0").select("session_id", F.lit("old").alias("url"))
-    fresh = t.filter("turn = 2").select("session_id", F.lit("new").alias("url"))
-    asked = t.filter("turn = 3").select("session_id")
+    """Each turn as a session of its own, by its number with sources held back, new ones or a request, or several of these."""
+    t = turns(spark, sf).select(F.concat_ws(":", "session_id", "turn").alias("session_id"), (F.substring("session_id", 2, 20).cast("long") + F.col("turn")).alias("n"), "text")
+    pending = t.filter("n % 2 = 0").select("session_id", F.concat(F.lit("old "), "text").alias("url"))
+    fresh = t.filter("n % 3 = 0").select("session_id", F.concat(F.lit("new "), "text").alias("url"))
+    asked = t.filter("n % 5 < 2").select("session_id")
     returned, kept = rc.pending_sources(fresh, asked, pending)
     return returned.withColumn("kind", F.lit("returned")).unionByName(kept.withColumn("kind", F.lit("kept")))
 
 
+def _catalog_questions(spark, sf):
+    """Customers as questions: each asks for one region, or for none."""
+    return table(spark, sf, "customer").join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("c_custkey") % 7, "left") \
+        .select(F.col("c_custkey").alias("query_id"), F.col("r_name").alias("region"))
+
+
+def rc8_listings(spark, sf):
+    """A listing per region that is asked for, whatever the number of questions; positions are a seeded shuffle."""
+    lists, _ = rc.catalog_lists(_catalog_questions(spark, sf), supplier_tenants(spark, sf))
+    full = Window.partitionBy("region")
+    return lists.select("region", "tenant_id", (F.max("position").over(full) == F.count("*").over(full)).alias("numbered"),
+                        F.startswith("line", F.concat(F.col("position").cast("string"), F.lit(". "))).alias("lined"))
+
+
+def rc8_links(spark, sf):
+    """Which listing answers each question."""
+    return rc.catalog_lists(_catalog_questions(spark, sf), supplier_tenants(spark, sf))[1]
+
+
 def rc8_catalog(spark, sf):
     """Which tenants a listing holds (their order is a seeded shuffle)."""
     regions = table(spark, sf, "region")
@@ -233,7 +255,7 @@ def rc15_recommend_batch(spark, sf):
 QUERIES = {f.__name__: f for f in (
     rc15_recommend_batch, ge1_haversine, ge2_coordinates, ge3_nearest_place, ge4_places, ge5_intent, ge6_distance_scores, ge9_conflict,
     ge11_rank_fill, ge12_backfill, ge13_briefing, rc1_recommend, rc1_recommend_geo, rc2_result_count, rc3_context,
-    rc4_mentions, rc5_weighted_sources, rc5_section, rc6_strip_footer, rc7_pending, rc8_catalog, rc9_routing,
+    rc4_mentions, rc5_weighted_sources, rc5_section, rc6_strip_footer, rc7_pending, rc8_catalog, rc8_listings, rc8_links, rc9_routing,
     rc11_compose, rc12_public_view, rc13_append_sources, rc14_detail)}
 
 
@@ -347,12 +369,16 @@ SQL = {
     "rc6_strip_footer": """WITH t AS (SELECT doc_id, 'A' || doc_id || CASE doc_id % 3 WHEN 0 THEN chr(10) || '---' || chr(10) || '**Quellen:**' || chr(10) || '[to be done]' || chr(10) || ' [to be done] ' || chr(10)
             WHEN 1 THEN chr(10) || '**Sources:**' || chr(10) || '- https://x ' ELSE '  ' || chr(10) END AS t FROM documents)
         SELECT doc_id, regexp_replace(regexp_replace(t, '(\\n---\\s*)?\\n\\*\\*(Quellen|Sources):\\*\\*\\s*(\\n\\s*\\[to be done\\]\\s*)+', ''), '\\s+$', '') AS answer FROM t""",
-    "rc7_pending": f"""{with_('turns')}, p AS (SELECT session_id FROM turns WHERE turn = 0), f AS (SELECT session_id FROM turns WHERE turn = 2), a AS (SELECT session_id FROM turns WHERE turn = 3)
-        SELECT session_id, 'old' AS url, 'returned' AS kind FROM p WHERE session_id IN (FROM a)
-        UNION ALL SELECT session_id, 'old', 'kept' FROM p WHERE session_id NOT IN (FROM a) AND session_id NOT IN (FROM f) UNION ALL SELECT session_id, 'new', 'kept' FROM f""",
+    "rc7_pending": f"""{with_('turns')}, t AS (SELECT session_id || ':' || turn AS session_id, substr(session_id, 2)::BIGINT + turn AS n, text FROM turns)
+        SELECT session_id, 'old ' || text AS url, CASE WHEN n % 5 < 2 THEN 'returned' ELSE 'kept' END AS kind FROM t WHERE n % 2 = 0 AND (n % 5 < 2 OR n % 3 <> 0)
+        UNION ALL SELECT session_id, 'new ' || text, 'kept' FROM t WHERE n % 3 = 0""",
     "rc8_catalog": f"""{_T}, q AS (SELECT c_custkey AS query_id, r_name AS reg FROM customer LEFT JOIN region ON r_regionkey = c_custkey % 7)
         SELECT query_id, count(*) AS n, count(*) AS last, min(tenant_id) AS first_id, CAST(sum(nr) AS BIGINT) AS id_sum FROM q JOIN tenants ON is_active AND (reg IS NULL
         OR contains(lower(coalesce(region, '') || '~' || location || '~' || country || '~' || domain || '~' || tenant_id), lower(reg))) GROUP BY ALL""",
+    "rc8_listings": f"""{_T}, q AS (SELECT DISTINCT coalesce(r_name, '') AS region FROM customer LEFT JOIN region ON r_regionkey = c_custkey % 7)
+        SELECT q.region, tenant_id, true AS numbered, true AS lined FROM q JOIN tenants t ON is_active AND (q.region = ''
+        OR contains(lower(coalesce(t.region, '') || '~' || location || '~' || country || '~' || domain || '~' || tenant_id), lower(q.region)))""",
+    "rc8_links": "SELECT c_custkey AS query_id, coalesce(r_name, '') AS region FROM customer LEFT JOIN region ON r_regionkey = c_custkey % 7",
     "rc9_routing": f"""{with_('turns')}, n AS (SELECT session_id, turn, turn + substr(session_id, 2)::BIGINT AS n FROM turns),
         r AS (SELECT session_id, turn, CASE WHEN n % 11 = 3 THEN 'ethical_reject' WHEN n % 7 = 2 THEN 'out_of_scope' WHEN n % 5 = 1 AND n % 2 = 0 THEN 'more_sources'
             WHEN n % 3 = 0 THEN 'catalog' WHEN n % 4 = 0 THEN 'no_results' ELSE 'recommendations' END AS response_type FROM n)

@@ -110,7 +110,7 @@ def vs10_vector_migration(spark, sf):
 
 def vs11_relevance_gate(spark, sf):
     queries = vector_queries(spark, sf).select("query_id", "tenant_id", "embedding", (F.col("query_id") % 17 == 3).alias("is_geo"))
-    hits = vs.search(queries, vector_chunks(spark, sf).filter("chunk_id % 2 = 1"), 2, MIN_SCORE)
+    hits = vs.search(queries, vector_chunks(spark, sf), 2, MIN_SCORE)
     return vs.relevance_gate(queries, hits).select("query_id", F.round("best_score", 6).alias("best_score"), "relevance")
 
 
@@ -194,7 +194,7 @@ SQL = {
     "vs10_vector_migration": """SELECT label, count(*) AS total, count(*) FILTER (vec_id % 2 = 0 OR vec_id % 5 <> 1) AS with_vector,
         count(*) FILTER (NOT (vec_id % 2 = 0 OR vec_id % 5 <> 1)) AS without_vector FROM embeddings GROUP BY ALL""",
     "vs11_relevance_gate": f"""{with_('chunks', 'queries')}, {_PAIRS},
-        b AS (SELECT query_id, max(score) AS best FROM pairs WHERE own = tenant_id AND chunk_id % 2 = 1 AND score >= {MIN_SCORE} GROUP BY ALL)
+        b AS (SELECT query_id, max(score) AS best FROM pairs WHERE own = tenant_id AND score >= {MIN_SCORE} GROUP BY ALL)
         SELECT query_id, round(best, 6) AS best_score, CASE WHEN query_id % 17 = 3 OR coalesce(best, -1) >= 0.55
         THEN 'relevant' ELSE 'undecided' END AS relevance FROM queries LEFT JOIN b USING (query_id)""",
     "vs12_score_summary": f"""{with_('chunks', 'queries', 'vtenants')}, {_PAIRS}

@@ -31,7 +31,7 @@ def src2_key_lookup(spark, sf):
 def src3_domain_match(spark, sf):
     tenants = supplier_tenants(spark, sf).withColumn("allowed_domains", src.parse_json_list("domains_json"))
     hosts = table(spark, sf, "customer").select(
-        F.concat(F.lit("WWW.s"), F.col("c_custkey") % 150, F.lit(".Example.com")).alias("host")).distinct()
+        F.concat(F.lit("WWW.s"), "c_custkey", F.lit(".Example.com")).alias("host")).distinct()
     return src.match_domain(tenants, hosts)
 
 
@@ -352,7 +352,7 @@ SQL = {
     "src1_scan": f"{_T} SELECT tenant_id, name, region, is_active FROM tenants",
     "src2_key_lookup": f"""{_T} SELECT tenant_id, name FROM tenants WHERE is_active AND tenant_id IN (
         SELECT 't' || user_id FROM events WHERE user_id % 5 <> 0)""",
-    "src3_domain_match": f"""{_T}, h AS (SELECT DISTINCT 'WWW.s' || (c_custkey % 150) || '.Example.com' AS host FROM customer)
+    "src3_domain_match": f"""{_T}, h AS (SELECT DISTINCT 'WWW.s' || c_custkey || '.Example.com' AS host FROM customer)
         SELECT host, tenant_id FROM h JOIN tenants ON lower(host) = 'www.' || domain""",
     "src4_json_list": f"""{_T} SELECT tenant_id, CASE WHEN balance > 0 THEN 2 ELSE 0 END::BIGINT AS n,
         CASE WHEN balance > 0 THEN array_to_string(domains_json::JSON->>'$[*]', '|') ELSE '' END AS domains FROM tenants""",

@@ -64,7 +64,7 @@ def tf6_greetings(spark, sf):
     """Titles of parts looked up among phrases derived from part names."""
     parts = table(spark, sf, "part")
     phrases = parts.groupBy(tm.greeting_key(F.col("p_name")).alias("phrase")).agg(
-        F.array(F.min("p_type"), F.max("p_type")).alias("codes")).filter("phrase > 'm'")
+        F.array(F.min("p_type"), F.max("p_type")).alias("codes"))
     texts = parts.select("p_partkey", F.concat(F.lit(" "), F.upper("p_name"), F.lit("!! 1")).alias("text"))
     out = tm.match_greetings(texts, phrases)
     scores = tm.greeting_scores(F.array_distinct("greeting_codes"))
@@ -251,7 +251,7 @@ SQL = {
     "tf5_example_weight": "WITH d AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents) SELECT doc_id, "
                           + _weight() + " AS weight FROM d",
     "tf6_greetings": """WITH p AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^\\p{L} ]', '', 'g')) AS phrase, p_type FROM part),
-        g AS (SELECT phrase, min(p_type) AS a, max(p_type) AS b FROM p GROUP BY ALL HAVING phrase > 'm')
+        g AS (SELECT phrase, min(p_type) AS a, max(p_type) AS b FROM p GROUP BY ALL)
         SELECT p_partkey, a AS code, CASE WHEN a = b THEN 0.97 ELSE 0.78 END::DOUBLE AS p FROM p JOIN g USING (phrase)""",
     "tf7_cue_match": f"""SELECT doc_id, regexp_matches({_FOLD}, 'tion|heit|menta|ándose|(^|[^\\p{{L}}])(est|sich|por)($|[^\\p{{L}}])|(^|[^\\p{{L}}])(reen|unge)') AS hit FROM documents""",
     "lg1_train_nb": f"WITH {_LANG_SRC}, {_train('src', 0.45)} SELECT label, ngram, round(lp::DOUBLE, 4) AS log_likelihood FROM lik",

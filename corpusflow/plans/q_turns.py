@@ -128,7 +128,7 @@ def cs8_focus(spark, sf):
     t = table(spark, sf, "conversations")
     rec = t.select(F.concat(F.lit("s"), "conv_id").alias("session_id"), F.concat(F.lit("t"), F.col("turn") % (F.col("conv_id") % 3 + 1)).alias("tenant_id"),
                    F.concat(F.lit("Name "), F.col("turn") % (F.col("conv_id") % 3 + 1)).alias("tenant_name"))
-    state = t.filter("turn = 0").select(F.concat(F.lit("s"), "conv_id").alias("session_id"), F.lit("old").alias("focus_tenant"), F.lit("Old").alias("focus_name"))
+    state = t.select("conv_id").distinct().select(F.concat(F.lit("s"), "conv_id").alias("session_id"), F.lit("old").alias("focus_tenant"), F.lit("Old").alias("focus_name"))
     return cs.focus_after(rec, state)
 
 
@@ -210,7 +210,7 @@ SQL = {
     "cs7_compact": f"""{with_('turns')}, l AS (SELECT session_id, CASE WHEN turn % 2 = 0 THEN 'constraints' ELSE 'language' END AS kind, max(turn) AS turn FROM turns GROUP BY ALL)
         SELECT session_id, kind, CASE WHEN turn = 5 THEN '{{broken' ELSE '{{"n":' || turn || ',"r":"' || upper(role) || '"}}' END AS payload, turn AS ts FROM l JOIN turns USING (session_id, turn)""",
     "cs8_focus": """WITH r AS (SELECT DISTINCT conv_id, turn % (conv_id % 3 + 1) AS k FROM conversations), o AS (SELECT conv_id, min(k) AS k FROM r GROUP BY ALL HAVING count(*) = 1)
-        SELECT 's' || conv_id AS session_id, coalesce('t' || k, 'old') AS focus_tenant, coalesce('Name ' || k, 'Old') AS focus_name FROM conversations LEFT JOIN o USING (conv_id) WHERE turn = 0""",
+        SELECT 's' || conv_id AS session_id, coalesce('t' || k, 'old') AS focus_tenant, coalesce('Name ' || k, 'Old') AS focus_name FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN o USING (conv_id)""",
     "cs9_open": """WITH r AS (SELECT conv_id * 100 + turn AS request_id, turn % 3 <> 1 AND conv_id % 2 = 0 AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0) AS known, conv_id FROM conversations)
         SELECT request_id, CASE WHEN known THEN 's' || conv_id ELSE sha256('session|' || request_id) END AS session_id, NOT known AS is_new FROM r""",
 }

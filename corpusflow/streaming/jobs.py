@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import json
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpusflow.operators.extract import extract_chunks, tenant_id_of
 from corpusflow.session import cut_lineage
 from corpusflow.sources.store import BUCKET, bucket_of, touched_buckets
+from corpusflow.streaming.state import restart_timer, stateful
 
 # Request limits per client.
 PER_MINUTE = 60
@@ -77,43 +76,59 @@ def rate_violations(events: DataFrame, client: str = "user_id", ts: str = "ts",
 DURATIONS = "run_id string, agent string, occurrence bigint, kind string, duration_ms bigint, status string"
 
 
-def _pair_steps(ttl_ms: int, timed: bool):
-    """First-in-first-out pairing of starts and ends per (run, agent); the open ones are the state."""
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        starts, ends, done = (deque(json.loads(state.get[0])), deque(json.loads(state.get[1])), state.get[2]) \
-            if state.exists else (deque(), deque(), 0)
-        batch = pd.concat(list(batches)).sort_values("elapsed_ms", kind="stable")
-        out = []
-        for phase, ms, duration, kind, status in zip(batch["phase"], batch["elapsed_ms"], batch["duration_ms"], batch["kind"], batch["status"]):
-            if phase == "start":
-                starts.append(int(ms))
-            else:
-                ends.append([int(ms), None if pd.isna(duration) else int(duration), kind, status])
-            while starts and ends:
-                begun, (ended, given, end_kind, end_status) = starts.popleft(), ends.popleft()
-                done += 1
-                out.append([key[0], key[1], done, end_kind, given if given is not None else ended - begun, end_status])
-        state.update((json.dumps(list(starts)), json.dumps(list(ends)), done))
-        if timed:
-            state.setTimeoutTimestamp(int(batch["_ts"].max().timestamp() * 1000) + ttl_ms)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in DURATIONS.split(", ")])
-
-    return run
+class PairSteps(StatefulProcessor):
+    """First-in-first-out pairing of starts and ends per (run, agent); the open ones are list states.
+
+    A batch's rows go to the lists as they come, in parts; then the lists are put in order and paired. With a time to live
+    a timer forgets what is open, counted from the last step.
+    """
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.starts = handle.getListState("starts", "elapsed_ms long")
+        self.ends = handle.getListState("ends", "elapsed_ms long, duration_ms long, kind string, status string")
+        self.done = handle.getValueState("done", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for part in rows:
+            is_start = part["phase"] == "start"
+            begun = [(int(ms),) for ms in part.loc[is_start, "elapsed_ms"]]
+            ended = [(int(ms), None if pd.isna(d) else int(d), kind, status) for ms, d, kind, status in
+                     part.loc[~is_start, ["elapsed_ms", "duration_ms", "kind", "status"]].itertuples(index=False)]
+            if begun:
+                self.starts.appendList(begun)
+            if ended:
+                self.ends.appendList(ended)
+            restart_timer(self.handle, part, self.ttl_ms)
+        starts, ends = sorted(self.starts.get()), sorted(self.ends.get(), key=lambda e: e[0])
+        pairs = min(len(starts), len(ends))
+        if pairs:
+            done = self.done.get()[0] if self.done.exists() else 0
+            self.done.update((done + pairs,))
+            for state, rest in ((self.starts, starts[pairs:]), (self.ends, ends[pairs:])):
+                state.put(rest) if rest else state.clear()
+            yield pd.DataFrame([(key[0], key[1], done + i + 1, kind, given if given is not None else end - begun[0], status)
+                                for i, (begun, (end, given, kind, status)) in enumerate(zip(starts[:pairs], ends))], columns=_DURATIONS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for state in (self.starts, self.ends, self.done):
+            state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+_DURATIONS = [c.split()[0] for c in DURATIONS.split(", ")]
 
 
 def live_durations(steps: DataFrame, ts: str | None = None, ttl_hours: float = 2.0, watermark: str = "1 hour") -> DataFrame:
     """ST4: finished pairs of a stream of trace steps, as they close.
 
-    With an event time ``ts`` the open steps of a run are forgotten ``ttl_hours`` after its last one.
+    With an event time ``ts`` the open steps of a run are forgotten once the watermark is ``ttl_hours`` past its last one.
     """
     columns = ["run_id", "agent", "phase", "elapsed_ms", F.col("duration_ms").cast("double").alias("duration_ms"), "kind", "status"]
-    if ts is not None:
-        rows = steps.select(*columns, F.col(ts).alias("_ts")).withWatermark("_ts", watermark)
-        timeout = GroupStateTimeout.EventTimeTimeout
-    else:
-        rows, timeout = steps.select(*columns), GroupStateTimeout.NoTimeout
-    return rows.groupBy("run_id", "agent").applyInPandasWithState(
-        _pair_steps(int(ttl_hours * 3600_000), ts is not None), DURATIONS, "starts string, ends string, done bigint", "append", timeout)
+    return stateful(steps, ["run_id", "agent"], columns, PairSteps(int(ttl_hours * 3600_000) if ts else None), DURATIONS, ts, watermark)

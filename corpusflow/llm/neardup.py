@@ -174,13 +174,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     """vec_id, n_links, component_id, kept of every row of (vec_id, label, embedding).
 
     Vectors link if their labels are equal, their sizes too, and their cosine in double precision is at least the
-    threshold. A null label, a null, empty or zero vector, or one with null or non-finite components links with nothing
+    threshold, whatever their lengths (components from 5e-324 to 1.8e308). A null label, a null, empty or zero vector, or one with null or non-finite components links with nothing
     and is its own component. Equal vectors are aggregated before anything is compared. Repeated rows are vectors of
     their own; a null vec_id is ignored as least id and kept only if nothing in its component has an id; an empty table
     gives no rows; other columns are left out.
     """
     rows = vectors.select("vec_id", "label", "embedding").withColumn("fine", F.col("label").isNotNull() & usable("embedding"))
-    wide = F.transform("embedding", lambda x: x.cast("double"))
+    # squares of very small or large components would vanish or overflow: such vectors are scaled, which no cosine sees
+    most = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    wide = F.transform("embedding", lambda x: F.when(most.between(1e-100, 1e100), x.cast("double")).otherwise(x.cast("double") / most))
     distinct = rows.where("fine").groupBy("label", wide.alias("embedding")).agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     nodes = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
     found = stored(compared(nodes, threshold, tile), "compared")

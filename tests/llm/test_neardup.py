@@ -63,3 +63,17 @@ def test_given_vectors(spark):
 def test_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
     assert got(df) == []
+
+
+def test_tiny_and_huge_vectors(spark):
+    rows = [(1, 0, [1e-200, 0.0]), (2, 0, [3.0, 1e-3]), (3, 0, [1e300, 1e290]), (4, 0, [0.0, 5e-324]), (5, 0, [1e308, -1e308]), (6, 0, [1e-310, -1e-310]), (7, 0, [0.0, 0.0]),
+            (8, 0, [2e-200, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(vectors).collect()}
+    assert found == {1: (3, 1, True), 2: (3, 1, False), 3: (3, 1, False), 8: (3, 1, False), 4: (0, 4, True), 5: (1, 5, True), 6: (1, 5, False), 7: (0, 7, True)}
+
+
+def test_many_repeats_of_one_vector(spark):
+    rows = [(i, 1, [1.0, 2.0]) for i in range(10_000)] + [(20_000, 1, [1.0, 2.01])]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"))
+    assert [tuple(r) for r in found.groupBy("n_links", "component_id").count().collect()] == [(10_000, 0, 10_001)]

@@ -67,3 +67,39 @@ def test_status_and_errors(rows):
     assert "circle" in rows[2, "a"].errors and rows[2, "d"].valid and rows[1, "c"].valid
     for r in rows.values():
         assert toolcalls.canonical(json.loads(r.canonical)) == r.canonical
+
+
+@pytest.mark.parametrize("arguments,schema,errors,line", [
+    ('{"x":1e999}', "{}", ["$: not JSON"], None),
+    ('{"x":"\\ud800"}', "{}", ["$: not JSON"], None),
+    ("[" * 100_000, "{}", ["$: not JSON"], None),
+    ("1" * 5000, "{}", ["$: not JSON"], None),
+    ('{"a":1,"a":2}', "{}", ["$: repeated key a"], '{"a":2}'),
+    ('{"x":1}', '{"type":"foo"}', ["schema: unknown type foo"], '{"x":1}'),
+    ('{"x":1}', '{"type":["object","foo"]}', ["schema: unknown type foo"], '{"x":1}'),
+    ('{"x":1}', "no json", ["schema: not JSON"], '{"x":1}'),
+    ('{"x":1}', "[]", ["schema: no object"], '{"x":1}'),
+    ('{"x":1}', "true", [], '{"x":1}'),
+    ('{"x":1}', "false", ["$: not allowed"], '{"x":1}'),
+    ('{"x":1}', '{"properties":{"x":false}}', ["$.x: not allowed"], '{"x":1}'),
+    ('{"x":1}', '{"$ref":"#/d"}', ["schema: unknown word $ref"], '{"x":1}'),
+    ('{"x":1}', '{"minimum":"a","properties":[]}', [], '{"x":1}'),
+    ('2', '{"minimum":"a"}', ["schema: not usable"], "2"),
+    ('"a"', '{"pattern":"("}', ["schema: not usable"], '"a"'),
+    ('"a"', '{"minLength":3,"pattern":"^b"}', ["$: too short", "$: no match of pattern"], '"a"'),
+    ("true", '{"enum":[1]}', ["$: not in enum"], "true"),
+    ("1.0", '{"enum":[1],"const":1}', [], "1.0"),
+    ('[1,"a"]', '{"maxItems":1,"items":{"anyOf":[{"type":"integer"},{"type":"null"}]}}', ["$: too many items", "$[1]: fits none of anyOf"], '[1,"a"]'),
+    ("3", '{"allOf":[{"exclusiveMaximum":3},{"type":"integer"}],"title":"t"}', ["$: above maximum"], "3"),
+])
+def test_no_row_ends_a_job(arguments, schema, errors, line):
+    assert toolcalls._checked("f", arguments, schema) == (errors, line)
+
+
+def test_hash_join_and_long_forward_chain(spark):
+    n = 12
+    chain = [(1, f"c{i}", i, "f", f'{{"q":{{"$ref":"c{i + 1}"}}}}' if i < n else '{"q":"x"}') for i in range(n + 1)]
+    calls = spark.createDataFrame(chain + [(2, "a", 0, "f", '{"q":"x"}')], "conv_id long, call_id string, seq long, name string, arguments string")
+    order = toolcalls.topological(calls.selectExpr("conv_id", "call_id", "seq", "regexp_extract_all(arguments, 'ref\":\"(c[0-9]+)', 1) AS refs"))
+    found = {(r.conv_id, r.call_id): (r.ready, r.depth) for r in order.collect()}
+    assert len(found) == n + 2 and found[2, "a"] == (0, 0) and [found[1, f"c{i}"] for i in range(n, -1, -1)] == [(n, i) for i in range(n + 1)]

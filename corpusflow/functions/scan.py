@@ -19,7 +19,12 @@ SEGMENT = 1 << 16
 
 
 def segmented(df: DataFrame, partition: list[str], order: list[str], segment: int = SEGMENT) -> DataFrame:
-    """Add ``_seg``, ascending with the order inside a group; the rows are stored, so that it stays what it is."""
+    """Add ``_seg``, ascending with the order inside a group.
+
+    The rows are stored once, as they are read by the count, the summaries and the windows, and in segments once more, so
+    that a row's segment stays what it is.
+    """
+    df = cut_lineage(df)
     parts = math.ceil(df.count() / segment)
     if parts <= 1:
         return df.withColumn("_seg", F.lit(0))

@@ -179,10 +179,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     their own; a null vec_id is ignored as least id and kept only if nothing in its component has an id; an empty table
     gives no rows; other columns are left out.
     """
-    rows = vectors.select("vec_id", "label", "embedding").withColumn("fine", F.col("label").isNotNull() & usable("embedding"))
     # squares of very small or large components would vanish or overflow: such vectors are scaled, which no cosine sees
-    most = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
-    wide = F.transform("embedding", lambda x: F.when(most.between(1e-100, 1e100), x.cast("double")).otherwise(x.cast("double") / most))
+    largest = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    rows = vectors.select("vec_id", "label", "embedding").withColumn("fine", F.col("label").isNotNull() & usable("embedding")) \
+        .withColumn("scale", F.when(largest.between(1e-100, 1e100), 1.0).otherwise(largest))
+    wide = F.when(F.col("scale") == 1.0, F.col("embedding").cast("array<double>")) \
+        .otherwise(F.transform("embedding", lambda x: x.cast("double") / F.col("scale")))
     distinct = rows.where("fine").groupBy("label", wide.alias("embedding")).agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     nodes = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
     found = stored(compared(nodes, threshold, tile), "compared")

@@ -185,12 +185,21 @@ def rc8_links(spark, sf):
 
 def rc8_catalog(spark, sf):
     """Which tenants a listing holds (their order is a seeded shuffle)."""
-    regions = table(spark, sf, "region")
-    c = table(spark, sf, "customer")
-    queries = c.join(regions, F.col("r_regionkey") == F.col("c_custkey") % 7, "left").select(F.col("c_custkey").alias("query_id"), F.col("r_name").alias("region"))
-    out = rc.catalog(queries, supplier_tenants(spark, sf))
-    return out.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("position").alias("last"), F.min("tenant_id").alias("first_id"),
-                                       F.sum(F.substring("tenant_id", 2, 20).cast("long")).alias("id_sum"))
+    return _catalog_figures(_catalog_questions(spark, sf), supplier_tenants(spark, sf))
+
+
+def _catalog_figures(questions, tenants):
+    """Figures of the listing that answers each question. Each distinct region is asked for once and its listing is summed up
+    before the questions meet it, so no row exists per question and tenant."""
+    asked = questions.groupBy("query_id", F.coalesce("region", F.lit("")).alias("region")).agg(F.count(F.lit(1)).alias("times"))
+    regions = asked.select("region").distinct().select(F.col("region").alias("query_id"), "region")
+    listed = rc.catalog(regions, tenants).groupBy(F.col("query_id").alias("region")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("position").alias("last"), F.min("tenant_id").alias("first_id"),
+        F.sum(F.substring("tenant_id", 2, 20).cast("long")).alias("id_sum"))
+    # a question that comes several times counts each time
+    return asked.join(listed, "region").groupBy("query_id").agg(
+        F.sum(F.col("times") * F.col("n")).alias("n"), F.max("last").alias("last"), F.min("first_id").alias("first_id"),
+        F.sum(F.col("times") * F.col("id_sum")).alias("id_sum"))
 
 
 def rc9_routing(spark, sf):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.defaults import CYRILLIC_LANGUAGES
 from corpusflow.functions import text as tx
-from corpusflow.session import cut_lineage
+from corpusflow.session import cut_lineage, shared_folder
 
 # Smoothing and decision thresholds.
 LANGUAGE_SMOOTHING = 0.45
@@ -33,6 +33,8 @@ GREETING_FIRST = 0.78
 
 #: Largest model that workers hold; a worker needs about four times as much.
 BROADCAST_BYTES = 96 * 1024 * 1024
+#: Characters of the texts that meet the words of a larger model together.
+BLOCK_CHARS = 8 * 1024 * 1024
 
 
 # ---------------------------------------------------------------- features
@@ -208,20 +210,6 @@ def train_nb(labeled: DataFrame, smoothing: float = LANGUAGE_SMOOTHING, label: s
                    max(sums["v"], 1), smoothing)
 
 
-def score_words(words: DataFrame, model: NBModel) -> DataFrame:
-    """Per distinct word: its token counts and, per label, the log-score gain over "unseen", the
-    seen tokens and whether the word feature is known."""
-    grams = gram_rows(words, "word")
-    table = model.likelihoods()
-    sums = [F.count(F.lit(1)).alias("t"), F.max(F.when(F.col("ngram").startswith("w:"), 1).otherwise(0)).alias("wt")]
-    for i in range(len(model.labels)):
-        present = F.col(f"p{i}").isNotNull()
-        sums += [F.sum(F.when(present, F.col(f"p{i}") - model.unseen(i)).otherwise(0.0)).alias(f"g{i}"),
-                 F.count_if(present).alias(f"s{i}"),
-                 F.max(F.when(present & F.col("ngram").startswith("w:"), 1).otherwise(0)).alias(f"w{i}")]
-    return grams.join(table, "ngram", "left").groupBy("word").agg(*sums)
-
-
 class _WordScorer:
     """Per word: features, word features and, per label, gain, seen features and the known word feature; kept while met again."""
 
@@ -256,23 +244,33 @@ class _WordScorer:
         return self.table[at].sum(axis=0)
 
 
+class _Sums:
+    """The score columns of texts by a scorer of words; holds no more of the model than its totals."""
+
+    def __init__(self, model: NBModel):
+        self.unseen, self.priors = [model.unseen(i) for i in range(len(model.labels))], np.array(model.priors)
+
+    def of(self, scorer: _WordScorer, texts: pd.Series) -> pd.DataFrame:
+        rows, k = [], len(self.unseen)
+        for words in texts:
+            sums = scorer.total(words or "")
+            whole = sums[[0, 1, *range(2 + k, 2 + 3 * k)]].astype(np.int64)
+            rows.append((whole[0], whole[1], self.priors + np.array(self.unseen) * sums[0] + sums[2:2 + k], whole[2:2 + k], whole[2 + k:]))
+        return pd.DataFrame(rows, columns=["tokens", "word_tokens", "scores", "seen", "word_seen"])
+
+
 def score_column(text: Column, model: NBModel) -> Column:
     """LG2/LG3 of a text as struct<tokens, word_tokens, scores, seen, word_seen> (null without features), in the text's own row.
 
     The measured model goes to the workers once; texts meet it where they are, nothing is shuffled.
     """
-    held, unseen, priors, k = model.local(), [model.unseen(i) for i in range(len(model.labels))], np.array(model.priors), len(model.labels)
+    held, sums = model.local(), _Sums(model)
 
     @F.pandas_udf("tokens long, word_tokens long, scores array<double>, seen array<long>, word_seen array<long>")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = _WordScorer(*held.value, unseen)
+        scorer = _WordScorer(*held.value, sums.unseen)
         for part in parts:
-            rows = []
-            for words in part:
-                sums = scorer.total(words or "")
-                whole = sums[[0, 1, *range(2 + k, 2 + 3 * k)]].astype(np.int64)
-                rows.append((whole[0], whole[1], priors + np.array(unseen) * sums[0] + sums[2:2 + k], whole[2:2 + k], whole[2 + k:]))
-            yield pd.DataFrame(rows, columns=["tokens", "word_tokens", "scores", "seen", "word_seen"])
+            yield sums.of(scorer, part)
 
     scored = score(F.regexp_replace(F.lower(text), tx.WORD_BREAK, " "))
     return F.when(scored["tokens"] > 0, scored)
@@ -284,33 +282,63 @@ def score_nb(df: DataFrame, model: NBModel, key: str = "doc_id", text: str = "te
     return with_scores(df.select(key, text), model, text).filter("tokens IS NOT NULL").select(key, *_SCORE)
 
 
-def score_nb_shuffled(df: DataFrame, model: NBModel, key: str = "doc_id", text: str = "text", salts: int = 1) -> DataFrame:
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Number the blocks of a task, each of about BLOCK_CHARS characters of text, however long the texts are."""
+    seen = 0
+    for batch in batches:
+        ends = seen + batch["text"].str.len().fillna(0).add(64).cumsum().to_numpy()
+        yield batch.assign(block=(ends // BLOCK_CHARS).astype(np.int64))
+        seen = ends[-1] if len(ends) else seen
+
+
+def _block_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct features of each block; the rows of a block follow each other."""
+    at, words = None, set()
+
+    def features() -> pd.DataFrame:
+        grams = list({g for w in words if w for g in tx.word_features(w)})
+        return pd.DataFrame({"task": at[0], "block": at[1], "ngram": pd.Series(grams, dtype=object)})
+
+    for batch in batches:
+        for key, part in batch.groupby(["task", "block"], sort=False):
+            if key != at:
+                if at is not None:
+                    yield features()
+                at, words = key, set()
+            for text in part["text"]:
+                words.update((text or "").split(" "))
+    if at is not None:
+        yield features()
+
+
+def score_nb_shuffled(df: DataFrame, model: NBModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The sums of a model that workers cannot hold, by a ``key`` that is unique.
 
-    Texts meet the model on words, not on n-grams, with one row per text and distinct word. A
-    partition with a frequent word is split at run time (adaptive skew join); ``salts`` > 1 spreads
-    every word by hand. The per-text sums are combined map-side.
+    A block of texts gets the part of the model that its words need: it asks for each of its distinct n-grams once, however
+    often and in however many texts they stand. The texts move once, to their block; nothing has a row per text and word.
     """
-    per_text = tx.word_counts(df, [key], text)
-    vocabulary = per_text.select("word").distinct()
-    gains = score_words(vocabulary, model)
-    if salts > 1:
-        gains = gains.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = per_text.withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).cast("int"))
-        joined = salted.join(gains, ["word", "_salt"])
-    else:
-        joined = per_text.join(gains, "word")
-    n, count = F.col("n"), len(model.labels)
-    sums = [F.sum(n * F.col("t")).alias("tokens"), F.sum(n * F.col("wt")).alias("word_tokens")]
-    for i in range(count):
-        sums += [F.sum(n * F.col(f"{c}{i}")).alias(f"{c}{i}") for c in "gsw"]
-    summed = joined.groupBy(key).agg(*sums)
-    return summed.select(
-        key, "tokens", "word_tokens",
-        F.array(*[F.lit(model.priors[i]) + F.lit(model.unseen(i)) * F.col("tokens") + F.col(f"g{i}")
-                  for i in range(count)]).alias("scores"),
-        F.array(*[F.col(f"s{i}") for i in range(count)]).alias("seen"),
-        F.array(*[F.col(f"w{i}") for i in range(count)]).alias("word_seen"))
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession, "blocks")
+    kind, k = dict(df.dtypes)[key], len(model.labels)
+    plain = F.regexp_replace(F.lower(F.col(text)), tx.WORD_BREAK, " ")
+    schema = f"row {kind}, text string, task int, block long"
+    df.select(F.col(key).alias("row"), plain.alias("text")).withColumn("task", F.spark_partition_id()) \
+        .mapInPandas(_blocks, schema).write.parquet(folder)
+    texts = spark.read.schema(schema).parquet(folder)
+    asked = texts.select("task", "block", "text").mapInPandas(_block_grams, "task int, block long, ngram string")
+    given = asked.join(model.likelihoods(), "ngram")
+    sums = _Sums(model)
+
+    def score(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        scorer = _WordScorer(known["ngram"].tolist(), known[[f"p{i}" for i in range(k)]].to_numpy(np.float64), sums.unseen)
+        found = sums.of(scorer, rows["text"])
+        return found.assign(row=rows["row"].to_numpy())[["row", *_SCORE]][found["tokens"] > 0]
+
+    # small in bytes, long in time: adaptive execution must not put many blocks into one task
+    parts = max(spark.sparkContext.defaultParallelism, texts.select("task", "block").distinct().count())
+    dealt = [side.repartition(parts, "task", "block").groupBy("task", "block") for side in (texts, given)]
+    summed = dealt[0].cogroup(dealt[1]).applyInPandas(
+        score, f"row {kind}, tokens long, word_tokens long, scores array<double>, seen array<long>, word_seen array<long>")
+    return summed.withColumnRenamed("row", key)
 
 
 _SCORE = ["tokens", "word_tokens", "scores", "seen", "word_seen"]

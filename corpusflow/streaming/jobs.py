@@ -73,14 +73,15 @@ def rate_violations(events: DataFrame, client: str = "user_id", ts: str = "ts",
         client, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "requests")
 
 
+OPEN = "done long, starts array<long>, ends array<struct<elapsed_ms:long,duration_ms:long,kind:string,status:string>>"
 DURATIONS = "run_id string, agent string, occurrence bigint, kind string, duration_ms bigint, status string"
 
 
 class PairSteps(StatefulProcessor):
-    """First-in-first-out pairing of starts and ends per (run, agent); the open ones are list states.
+    """First-in-first-out pairing of starts and ends per (run, agent); the open ones and the number of pairs are one value state.
 
-    A batch's rows go to the lists as they come, in parts; then the lists are put in order and paired. With a time to live
-    a timer forgets what is open, counted from the last step.
+    Each call to the state store is a round trip, and most keys have few steps: a batch reads a key's state once and writes it
+    once, if it has changed. With a time to live a timer forgets what is open, counted from the last step.
     """
 
     def __init__(self, ttl_ms: int | None):
@@ -88,34 +89,28 @@ class PairSteps(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.starts = handle.getListState("starts", "elapsed_ms long")
-        self.ends = handle.getListState("ends", "elapsed_ms long, duration_ms long, kind string, status string")
-        self.done = handle.getValueState("done", "n long")
+        self.open = handle.getValueState("open", OPEN)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        done, starts, ends = self.open.get() or (0, [], [])
+        starts, ends = list(starts), [tuple(e) for e in ends]
         for part in rows:
-            is_start = part["phase"] == "start"
-            begun = [(int(ms),) for ms in part.loc[is_start, "elapsed_ms"]]
-            ended = [(int(ms), None if pd.isna(d) else int(d), kind, status) for ms, d, kind, status in
-                     part.loc[~is_start, ["elapsed_ms", "duration_ms", "kind", "status"]].itertuples(index=False)]
-            if begun:
-                self.starts.appendList(begun)
-            if ended:
-                self.ends.appendList(ended)
+            for phase, ms, given, kind, status in zip(*(part[c].tolist() for c in ("phase", "elapsed_ms", "duration_ms", "kind", "status"))):
+                if phase == "start":
+                    starts.append(int(ms))
+                else:
+                    ends.append((int(ms), None if pd.isna(given) else int(given), kind, status))
             restart_timer(self.handle, part, self.ttl_ms)
-        starts, ends = sorted(self.starts.get()), sorted(self.ends.get(), key=lambda e: e[0])
+        starts.sort()
+        ends.sort(key=lambda e: e[0])
         pairs = min(len(starts), len(ends))
+        self.open.update((done + pairs, starts[pairs:], ends[pairs:]))
         if pairs:
-            done = self.done.get()[0] if self.done.exists() else 0
-            self.done.update((done + pairs,))
-            for state, rest in ((self.starts, starts[pairs:]), (self.ends, ends[pairs:])):
-                state.put(rest) if rest else state.clear()
-            yield pd.DataFrame([(key[0], key[1], done + i + 1, kind, given if given is not None else end - begun[0], status)
+            yield pd.DataFrame([(key[0], key[1], done + i + 1, kind, given if given is not None else end - begun, status)
                                 for i, (begun, (end, given, kind, status)) in enumerate(zip(starts[:pairs], ends))], columns=_DURATIONS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for state in (self.starts, self.ends, self.done):
-            state.clear()
+        self.open.clear()
         return iter(())
 
     def close(self) -> None:

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 from corpusflow.functions.vector import SCORE_DIGITS, best_hits, topk_search, unit_matrix
 from corpusflow.operators.product import sliced_product
+from corpusflow.operators.retrieve import BLOCK_ROWS
+from corpusflow.session import cut_lineage
 
 #: Independent sets of lists. Two vectors that one set parts are often together in another, so several with a small share
 #: each find more than one with a large share.
@@ -24,6 +26,8 @@ LISTS_PER_ROOT, MAX_LISTS = 4.0, 16_384
 SAMPLE_ROWS = 1 << 18
 #: Share of the rows that a query is compared with, all tables together.
 READ_SHARE = 0.2
+#: Cosines of queries and centres that are held at once, and bytes of a slice of queries with the bitmaps of their lists.
+CELLS, SLICE_BYTES = 1 << 19, 32 * 1024 * 1024
 ROUNDS = 8
 
 
@@ -127,25 +131,26 @@ def open_index(spark: SparkSession, path: str) -> VectorIndex:
 
 
 def probes(queries: DataFrame, index: VectorIndex, min_score: float, read_share: float = READ_SHARE) -> DataFrame:
-    """query_id, embedding, lists (tbl * 2^16 + list), parts and n_read of each query with a vector.
+    """query_id, embedding, lists (a bit for each row of ``index.lists()``), parts and n_read of each query with a vector.
 
     A list is left out if no row of it can reach ``min_score``: its rows lie within a known angle of the centre. Of the
     others, of all tables, the nearest are searched that hold the share of the rows together, and at least one.
     """
     known = index.lists()
-    columns = (known["tbl"] * (1 << 16) + known["list"], known["n"], known["least"], known["part"])
+    columns = (known["n"], known["least"], known["part"])
     shared = index.spark.sparkContext.broadcast([c.to_numpy() for c in columns] + [unit_matrix(known["centre"])[0]])
     budget = read_share * known["n"].sum() / max(1, known["tbl"].nunique())
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, n, least, part, centres = shared.value
+        n, least, part, centres = shared.value
+        step = max(1, min(256, CELLS // max(1, len(n))))
         reach = np.arccos(np.clip(least, -1, 1))
         for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.iloc[at:at + 256]
+            for at in range(0, len(whole), step):
+                batch = whole.iloc[at:at + step]
                 x, usable = unit_matrix(batch["embedding"])
                 batch, x = batch[usable], x[usable]
-                if not len(batch) or not len(names):
+                if not len(batch) or not len(n):
                     continue
                 cosine = x @ centres.T
                 # the rounding of scores and of 32-bit centres is allowed for
@@ -154,12 +159,15 @@ def probes(queries: DataFrame, index: VectorIndex, min_score: float, read_share:
                 sizes = np.where(np.take_along_axis(may, order, 1), n[order], 0)
                 within = ((np.cumsum(sizes, axis=1) <= budget) | (np.arange(order.shape[1]) == 0)) & (sizes > 0)
                 mine = [row[keep] for row, keep in zip(order, within)]
-                yield pd.DataFrame({"query_id": batch["query_id"].to_numpy(), "embedding": batch["embedding"].to_numpy(), "lists": [names[m] for m in mine],
+                chosen = np.zeros(within.shape, bool)
+                np.put_along_axis(chosen, order, within, 1)
+                yield pd.DataFrame({"query_id": batch["query_id"].to_numpy(), "embedding": batch["embedding"].to_numpy(),
+                                    "lists": [row.tobytes() for row in np.packbits(chosen, axis=1)],
                                     "parts": [np.unique(part[m]) for m in mine], "n_read": (sizes * within).sum(axis=1)})
 
     kind = dict(queries.dtypes)["query_id"]
     return queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")) \
-        .mapInPandas(choose, f"query_id {kind}, embedding array<double>, lists array<int>, parts array<int>, n_read long")
+        .mapInPandas(choose, f"query_id {kind}, embedding array<double>, lists binary, parts array<int>, n_read long")
 
 
 def search_index(queries: DataFrame, index: VectorIndex, k: int = 5, min_score: float = 0.7, read_share: float = READ_SHARE) -> DataFrame:
@@ -167,24 +175,30 @@ def search_index(queries: DataFrame, index: VectorIndex, k: int = 5, min_score:
     lists that can hold a hit are searched, and the result is exact.
 
     Only the parts that some query probes are read (a partition filter in the scan); queries go to the tasks in bounded
-    slices, each with the numbers of its lists, and a row meets the queries of its list alone.
+    slices, each with a bitmap of its lists, and a row meets the queries of its list alone.
     """
-    asked = probes(queries, index, min_score, read_share)
+    asked = cut_lineage(probes(queries, index, min_score, read_share))  # read for the parts, for its size and in slices
+    known = index.lists()
+    numbers = (known["tbl"] * (1 << 16) + known["list"]).to_numpy()
     parts = [r[0] for r in asked.select(F.explode("parts")).distinct().collect()]  # at most as many as there are folders
     rows = index.rows().where(F.col("part").isin(parts)).select("chunk_id", (F.col("tbl") * (1 << 16) + F.col("list")).alias("grp"), "embedding")
 
-    def lists_of(small: pd.DataFrame) -> dict[int, np.ndarray]:
-        sizes = small["lists"].map(len).to_numpy(np.int64)
-        query = np.repeat(np.arange(len(small)), sizes)
-        every = np.concatenate([*small["lists"], np.zeros(0, np.int64)]).astype(np.int64)
-        order = np.argsort(every, kind="stable")
-        names, first = np.unique(every[order], return_index=True)
-        return dict(zip(names.tolist(), np.split(query[order], first[1:])))
+    class Asked:
+        """The rows of the small side that ask for a list, read from its column of the bitmaps."""
+
+        def __init__(self, small: pd.DataFrame):
+            self.bits = np.frombuffer(b"".join(small["lists"]), np.uint8).reshape(len(small), -1) if len(small) else np.zeros((0, 0), np.uint8)
+
+        def get(self, group: int) -> np.ndarray | None:
+            at = int(np.searchsorted(numbers, group))
+            if not len(self.bits) or at == len(numbers) or numbers[at] != group:
+                return None
+            return np.flatnonzero(self.bits[:, at >> 3] & (128 >> (at & 7)))
 
     best = best_hits(k, ["query_id"])
     types = dict(queries.dtypes)["query_id"], dict(index.rows().dtypes)["chunk_id"]
-    hits = sliced_product(rows, asked.select("query_id", "embedding", "lists"), topk_search(k, min_score, "own", lists_of),
-                          f"query_id {types[0]}, chunk_id {types[1]}, grp int, score double", lambda hits: best(hits.drop_duplicates(["query_id", "chunk_id"])))
+    hits = sliced_product(rows, asked.select("query_id", "embedding", "lists"), topk_search(k, min_score, "own", Asked),
+                          f"query_id {types[0]}, chunk_id {types[1]}, grp int, score double", lambda hits: best(hits.drop_duplicates(["query_id", "chunk_id"])), max_bytes=SLICE_BYTES, block_rows=BLOCK_ROWS)
     # a row that several tables found counts once
     once = hits.groupBy("query_id", "chunk_id").agg(F.max(F.round("score", SCORE_DIGITS)).alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))

@@ -121,6 +121,19 @@ class SegmentEncoder:
         return [self.line.join(islice(done, len(some))) for some in lines]
 
 
+def bounded(texts: Iterable[str | None], letters: int) -> Iterator[list[str | None]]:
+    """The texts in order, in lists that end with the text that brings them to so many letters."""
+    some, held = [], 0
+    for text in texts:
+        some.append(text)
+        held += len(text or "")
+        if held >= letters:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def _lines(text: str) -> Iterator[str]:
     """The text between the line feeds that have a non-space on both sides."""
     held = None

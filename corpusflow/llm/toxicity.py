@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.llm.segments import bounded
+
 ORDER = 5
 DISCOUNT = 0.9
 #: Evidence of a word that ordinary words seldom reach.
@@ -30,6 +32,8 @@ FEATURES = ("per_byte", "first", "second", "first_4", "first_8", "excess_for_len
 ROWS_PER_CLASS = 8_000
 CUTOFF = 0.7
 CACHED_WORDS = 300_000
+#: Letters of texts that are split at once, about, and words whose n-grams are held at once: a batch of rows has far more.
+LETTERS_AT_ONCE, WORDS_AT_ONCE = 1 << 18, 1 << 15
 
 # other ASCII than letters and digits stands between words; one digit stands for all
 _BETWEEN = bytes(i if i >= 128 or chr(i).isalpha() else 48 if chr(i).isdigit() else 32 for i in range(256))
@@ -52,6 +56,19 @@ def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[place], starts[:-1]
 
 
+def gram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of all words of the texts in ascending order, and how often each occurs."""
+    grams, n = np.zeros((2, 0), np.int64)
+    for some in bounded(texts, LETTERS_AT_ONCE):
+        words = [w for t in some for w in words_of(t)]
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            more, m = np.unique(_grams(words[at:at + WORDS_AT_ONCE])[0], return_counts=True)
+            grams, place = np.unique(np.concatenate([grams, more]), return_inverse=True)
+            m, n = np.concatenate([n, m]), np.zeros(len(grams), np.int64)
+            np.add.at(n, place, m)
+    return grams, n
+
+
 class Model:
     """Evidence of each n-gram and, for n-grams never seen, of its context; weights of the logistic function."""
 
@@ -96,8 +113,10 @@ class Model:
         return self.__dict__ | {"_known": {}}
 
     def word_evidence(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.zeros(0)
+        parts = [self._evidence(words[at:at + WORDS_AT_ONCE]) for at in range(0, len(words), WORDS_AT_ONCE)]
+        return np.concatenate([np.zeros(0), *parts])
+
+    def _evidence(self, words: list[bytes]) -> np.ndarray:
         keys, starts = _grams(words)
         out = _find(self.contexts, self.context_evidence, keys >> 8, 0.0)
         out = _find(self.grams, self.evidence, keys, out)
@@ -105,6 +124,10 @@ class Model:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """``FEATURES`` of each text: greatest evidences (0 beyond the words there are) and means of the first of them."""
+        parts = [self._features(some) for some in bounded(texts, LETTERS_AT_ONCE)]
+        return np.concatenate([np.zeros((0, len(FEATURES))), *parts])
+
+    def _features(self, texts: list[str | None]) -> np.ndarray:
         known = self._known
         if len(known) > CACHED_WORDS:
             known.clear()
@@ -187,9 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for y in (0, 1):
-                words = [w for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if c == y for w in words_of(t)]
-                if words:
-                    grams, n = np.unique(_grams(words)[0], return_counts=True)
+                grams, n = gram_counts([t for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if c == y])
+                if len(grams):
                     yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.full(len(grams), y, np.int32)), pa.array(n)],
                                                      ["gram", "toxic", "n"])
 

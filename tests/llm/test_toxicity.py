@@ -1,5 +1,7 @@
 """Kneser-Ney toxicity: probabilities against a plain formula, held-out accuracy, odd rows."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -84,3 +86,32 @@ def test_odd_rows(spark):
     empty = docs.where("false")
     assert toxicity.classify(empty, labels).count() == 0
     assert {r.score for r in toxicity.classify(docs, labels.where("toxic = 0")).collect()} == {0.0}
+
+
+def test_memory_of_a_batch_is_bounded():
+    """8 MB of text, as a worker gets it at once, also as one text: the same counts and evidence, and no arrays of the whole batch."""
+    words = [f"wort{i % 977}x{i % 31}" for i in range(800_000)]
+    texts = [" ".join(words[:400_000]), None, "", *(" ".join(words[i:i + 400]) for i in range(400_000, 800_000, 400))]
+    every, times = np.unique(words, return_counts=True)
+    plain = {}
+    for w, k in zip(every.tolist(), times.tolist()):
+        for gram, n in counted(toxicity.words_of(w)).items():
+            plain[gram] = plain.get(gram, 0) + n * k
+    tracemalloc.start()
+    grams, n = toxicity.gram_counts(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert dict(zip(grams.tolist(), n.tolist())) == plain and grams.tolist() == sorted(plain)
+    assert peak < 60 << 20  # the words of the one long text; arrays of all n-grams took over 400 MB
+    assert [len(x) for x in toxicity.gram_counts([None, ""])] == [0, 0]
+
+
+def test_blocks_change_no_features(monkeypatch):
+    frame = pd.concat([pd.DataFrame({"gram": list(c), "toxic": y, "n": list(c.values())})
+                       for y, c in enumerate([counted([b"good", b"day"]), counted([b"bad", b"goat"])])])
+    texts = ["good goat day bad", None, "", "bad " * 300, "é unknown words here", "day"]
+    whole = toxicity.Model(frame).features(texts)
+    monkeypatch.setattr(toxicity, "LETTERS_AT_ONCE", 1)
+    monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", 1)
+    assert (toxicity.Model(frame).features(texts) == whole).all()
+    assert toxicity.Model(frame).features([]).shape == (0, len(toxicity.FEATURES))

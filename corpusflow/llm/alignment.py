@@ -23,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.segments import CACHED_BYTES, Remembered, byte_encoder_of, byte_of_letter
+from corpusflow.llm import segments
+from corpusflow.llm.segments import CACHED_BYTES, Remembered, bounded, byte_encoder_of, byte_of_letter, four_bytes
 from corpusflow.llm.storage import stored
 
 #: Letters that are tokenized at once; one longer text goes alone.
@@ -58,7 +59,7 @@ class PieceEncoder:
 
     _CUT = re.compile("(?<=[^ ])(?= )")
 
-    def __init__(self, path: str, cached: int = CACHED_BYTES // 2):
+    def __init__(self, path: str, cached: int = CACHED_BYTES):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -68,15 +69,19 @@ class PieceEncoder:
         self.whole = any("▁" in p.lstrip("▁") for p in pieces)
         space = np.array([model.piece_to_id("▁")], "<u4").tobytes()
 
-        def encode(before: str, segments: list[str]) -> list[bytes]:
-            found = [np.array(ids, "<u4").tobytes() for ids in model.encode(segments, num_threads=1)]
-            return [raw if s or self.whole else space for s, raw in zip(segments, found)]
+        packed_ids = four_bytes(len(pieces))
+
+        def encode(before: str, segment: str) -> bytes:
+            return b"".join([packed_ids[i] for i in model.encode(segment)]) if segment or self.whole else space
 
         self.known = Remembered(encode, "", cached, cut=None)  # parts of a long word would each get a space
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.whole:
             return self.known.of([[t] for t in texts], 0, None)
+        return [ids for some in bounded(texts, segments.LETTERS_AT_ONCE) for ids in self._ids(some)]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") if "  " not in t and t[:1] != " " else [s[1:] for s in self._CUT.split(" " + t)] for t in texts]
         return self.known.of(split, 0, None)
 

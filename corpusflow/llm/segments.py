@@ -14,18 +14,18 @@ import os
 import re
 import string
 from collections.abc import Callable, Iterable, Iterator
-from functools import cache
-from itertools import filterfalse, islice
+from functools import cache, lru_cache
+from itertools import islice
 from operator import add
 
 import numpy as np
 
 #: Bytes that the segments of a generation take in a worker, about; two generations are kept.
-CACHED_BYTES = 96 << 20
+CACHED_BYTES = 32 << 20
 #: What a remembered segment takes besides its letters and ids, and the most letters that one may have.
 ENTRY_BYTES, REMEMBERED_CHARS = 180, 64
-#: New segments that go to the tokenizer in one string.
-JOINED = 16
+#: Letters of texts whose segments are looked up at once, about; few enough that they stay near the processor.
+LETTERS_AT_ONCE = 1 << 15
 
 # Python's white space holds that of the vocabularies, so each cut is safe for them.
 _CUT = re.compile(r" (?=\S)")
@@ -44,11 +44,27 @@ def byte_of_letter(letter: str) -> int:
     return _BYTE_LETTERS.index(letter)
 
 
+def four_bytes(n: int) -> list[bytes]:
+    """Each id below n as a little-endian unsigned 32-bit integer."""
+    return [i.to_bytes(4, "little") for i in range(n)]
+
+
 def _spelled(text: str) -> str:
     """The text as a byte-level vocabulary spells its bytes."""
     return codecs.charmap_decode(text.encode(), "strict", _BYTE_LETTERS)[0]
 
 
+class _Generation(dict):
+    """Ids by segment; ``find`` gives those of a segment that is not there, and may put it in."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, segment: str) -> bytes:
+        return self.find(segment)
+
+
 class Remembered:
     """Ids of segments with ``before`` in front; what was not asked for during a whole generation is forgotten.
 
@@ -56,64 +72,55 @@ class Remembered:
     from parts (``inner`` remembers those behind the first) and forgotten at once.
     """
 
-    def __init__(self, encode: Callable[[str, list[str]], list[bytes]], before: str, cached: int, inner: Remembered | None = None,
+    def __init__(self, encode: Callable[[str, str], bytes], before: str, cached: int, inner: Remembered | None = None,
                  cut: re.Pattern[str] | None = _INNER):
         self.encode, self.before, self.cached, self.inner, self.cut = encode, before, cached, inner or self, cut
-        self.now: dict[str, bytes] = {}
+        self.now: dict[str, bytes] = _Generation(self._find)
         self.past: dict[str, bytes] = {}
+        self.passing: dict[str, bytes] = {}
         self.held = 0
 
     def of(self, rows: list[list[str]], first: int, last: int | None) -> list[bytes]:
         """Ids of the segments first to last of each row, one after the other."""
         if self.held > self.cached:
-            self.now, self.past, self.held = {}, self.now, 0
-        missing: set[str] = set()
-        for row in rows:
-            missing.update(filterfalse(self.now.__contains__, islice(row, first, last)))
-        passing: list[str] = []
-        if missing:
-            past = self.past
-            new = [s for s in missing if s not in past]
-            passing = [s for s in new if len(s) > REMEMBERED_CHARS]
-            found = {s: past[s] for s in missing if s in past}
-            if passing:
-                new = [s for s in new if len(s) <= REMEMBERED_CHARS]
-                self.now.update(zip(passing, self._long(passing)))
-            found.update(zip(new, self.encode(self.before, new)))
-            self.held += sum(map(len, found)) * 2 + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
-            self.now.update(found)
-        out = [b"".join(map(self.now.__getitem__, islice(row, first, last))) for row in rows]
-        for s in passing:
-            del self.now[s]
+            self.now, self.past, self.held = _Generation(self._find), dict(self.now), 0
+        ids = self.now.__getitem__
+        out = [b"".join(map(ids, islice(row, first, last))) for row in rows]
+        self.passing.clear()
         return out
 
-    def _long(self, segments: list[str]) -> list[bytes]:
-        parts = [self.cut.split(s) if self.cut else [s] for s in segments]
-        starts = self.encode(self.before, [p[0] for p in parts])
-        return [start + rest for start, rest in zip(starts, self.inner.parts_of([p[1:] for p in parts]))]
-
-    def parts_of(self, rows: list[list[str]]) -> list[bytes]:
-        """Ids of rows of parts; what is remembered of them takes part in no generation that is being read."""
-        known: dict[str, bytes] = {}
-        new = list({p for row in rows for p in row if p not in self.now})
-        if new:
-            known.update(zip(new, self.encode(self.before, new)))
-        short = {p: v for p, v in known.items() if len(p) <= REMEMBERED_CHARS}
-        out = [b"".join(known[p] if p in known else self.now[p] for p in row) for row in rows]
-        self.now.update(short)
-        self.held += sum(map(len, short)) * 2 + sum(map(len, short.values())) + ENTRY_BYTES * len(short)
-        return out
+    def _find(self, segment: str) -> bytes:
+        if len(segment) > REMEMBERED_CHARS:
+            if segment not in self.passing:
+                self.passing[segment] = self._long(segment)
+            return self.passing[segment]
+        ids = self.past.get(segment)
+        if ids is None:
+            ids = self.encode(self.before, segment)
+        self.held += 2 * len(segment) + len(ids) + ENTRY_BYTES
+        self.now[segment] = ids
+        return ids
+
+    def _long(self, segment: str) -> bytes:
+        start, *rest = self.cut.split(segment) if self.cut else [segment]
+        return self.encode(self.before, start) + b"".join(map(self.inner.part, rest))
+
+    def part(self, part: str) -> bytes:
+        return self.now[part] if len(part) <= REMEMBERED_CHARS else self.encode(self.before, part)
 
 
 class SegmentEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers; ``encode(before, segments)`` does the work for new ones."""
+    """Ids of texts as little-endian unsigned 32-bit integers; ``encode(before, segment)`` does the work for new ones."""
 
-    def __init__(self, encode: Callable[[str, list[str]], list[bytes]], cached: int = CACHED_BYTES):
-        (self.line,) = encode("", ["\n"])
+    def __init__(self, encode: Callable[[str, str], bytes], cached: int = CACHED_BYTES):
+        self.line = encode("", "\n")
         self.heads = Remembered(encode, "", cached)
         self.rest = Remembered(encode, " ", cached, self.heads)
 
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
+        return [ids for some in bounded(texts, LETTERS_AT_ONCE) for ids in self._ids(some)]
+
+    def _ids(self, texts: list[str | None]) -> list[bytes]:
         lines = [list(_lines(t)) if t else [] for t in texts]
         # where single spaces are all the white space there is, the plain split makes the same cuts
         split = [x.split(" ") if x.isprintable() and "  " not in x else _CUT.split(x) for some in lines for x in some]
@@ -149,60 +156,44 @@ def _lines(text: str) -> Iterator[str]:
 
 def byte_encoder(path: str) -> SegmentEncoder:
     """Byte-level vocabulary of the tokenizers library, a space before a word being part of it."""
-    return SegmentEncoder(_library(path, "\n", str, True))
+    return SegmentEncoder(_library(path, str, True))
 
 
 def word_encoder(path: str) -> SegmentEncoder:
     """Vocabulary with word ends, lower case, white space dropped."""
-    return SegmentEncoder(_library(path, "|", str.lower, False))
+    return SegmentEncoder(_library(path, str.lower, False))
 
 
-def _library(path: str, mark: str, fold: Callable[[str], str], keeps_space: bool) -> Callable[[str, list[str]], list[bytes]]:
-    """Most new segments are letters with or without punctuation behind: two pre-tokens at once. For these the library's
-    model is called on many words, already spelled in its byte letters and with a one-token ``mark`` between them;
-    all other segments go through the whole tokenizer, one by one."""
+def _library(path: str, fold: Callable[[str], str], keeps_space: bool) -> Callable[[str, str], bytes]:
+    """Most new segments are letters with or without punctuation behind: two pre-tokens at once. The letters, spelled in byte
+    letters, go straight to the library's model; all other segments go through the whole tokenizer."""
     # Spark runs a worker for each core; threads of the library would take the others' time
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
-    from tokenizers.pre_tokenizers import Split
-
-    whole, model = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    whole.encode_special_tokens = model.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
-    spelled_mark = _spelled(mark)
-    model.normalizer, model.pre_tokenizer = None, Split(spelled_mark, "isolated")
-    (mark_id,) = whole.encode(mark, add_special_tokens=False).ids
-
-    def each(segments: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in whole.encode_batch_fast(segments, add_special_tokens=False)]
-
-    tails = {"": b""}
-
-    def encode(before: str, segments: list[str]) -> list[bytes]:
-        front = _spelled(before) if keeps_space else ""
-        # segment -> its letters as the vocabulary spells them; most are plain
-        spelled = {s: front + fold(s) for s in segments if s.isascii() and s.isalpha()}
-        tail = {}
-        for s in segments:
-            if s not in spelled:
-                stem = s.rstrip(_PUNCTUATION)
-                letters = fold(stem)
-                # Latin letters only: alike in every Unicode version, and composed already
-                if letters.isalpha() and max(letters) < "\u0250":
-                    spelled[s], tail[s] = front + _spelled(letters), s[len(stem):]
-        words = list(set(spelled.values()))
-        known: dict[str, bytes] = {}
-        groups = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
-        for group, found in zip(groups, model.encode_batch_fast([spelled_mark.join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(found.ids, dtype="<u4")
-            at, raw = np.flatnonzero(ids == mark_id) * 4, ids.tobytes()
-            known.update(zip(group, [raw[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)])], strict=True))
-        out = {s: known[x] for s, x in spelled.items()}
-        new = list(set(tail.values()).difference(tails))
-        tails.update(zip(new, each(new)))
-        out.update((s, out[s] + tails[t]) for s, t in tail.items())
-        left = [s for s in segments if s not in spelled]
-        out.update(zip(left, each([before + s for s in left])))
-        return list(map(out.__getitem__, segments))
+
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
+    tokenize = whole.model.tokenize
+    packed = four_bytes(max(whole.get_vocab(with_added_tokens=True).values()) + 1)
+    front = {before: _spelled(before) if keeps_space else "" for before in ("", " ")}
+
+    def plain(text: str) -> bytes:
+        return np.array(whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    tail_ids = lru_cache(1 << 12)(plain)
+
+    def encode(before: str, segment: str) -> bytes:
+        stem = segment if segment.isalpha() else segment.rstrip(_PUNCTUATION)
+        letters = fold(stem)
+        if not letters.isalpha():
+            return plain(before + segment)
+        if not letters.isascii():
+            # Latin letters only: alike in every Unicode version, and composed already
+            if max(letters) >= "\u0250":
+                return plain(before + segment)
+            letters = _spelled(letters)
+        ids = b"".join([packed[t.id] for t in tokenize(front[before] + letters)])
+        return ids if len(stem) == len(segment) else ids + tail_ids(segment[len(stem):])
 
     return encode
 
@@ -210,7 +201,7 @@ def _library(path: str, mark: str, fold: Callable[[str], str], keeps_space: bool
 def rank_encoder(path: str, pattern: str) -> SegmentEncoder:
     """Vocabulary in a local rank file, by the tiktoken library."""
     encoding = rank_encoding(path, pattern)
-    return SegmentEncoder(lambda before, segments: [np.array(encoding.encode_ordinary(before + s), dtype="<u4").tobytes() for s in segments])
+    return SegmentEncoder(lambda before, segment: np.array(encoding.encode_ordinary(before + segment), dtype="<u4").tobytes())
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -85,6 +85,47 @@ def test_memory_is_bounded_by_bytes():
     assert encoder.heads.past
 
 
+def test_segments_are_looked_up_in_small_blocks(monkeypatch):
+    """However many texts are given at once, a look-up holds the segments of a few; the ids are those of whole texts."""
+    encoder, held = segments.SegmentEncoder(CASES["bytes"][0].rest.encode), []
+    monkeypatch.setattr(encoder.rest, "of", lambda rows, *a, f=encoder.rest.of: held.append(sum(len(s) for r in rows for s in r)) or f(rows, *a))
+    texts = [*HARD, *(f"word{i} and more of it, " * 40 for i in range(400))]
+    assert [ids_of(raw) for raw in encoder(texts)] == [CASES["bytes"][1](t) for t in texts]
+    assert max(held) <= segments.LETTERS_AT_ONCE + max(map(len, texts)) and len(held) > 5
+
+
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_words_go_to_the_model_alone(kind, monkeypatch):
+    """Letters with or without punctuation cost no pass of the whole tokenizer; it was called on each group of them."""
+    import tokenizers
+
+    calls = []
+
+    class Whole:
+        def __init__(self, inner):
+            vars(self)["inner"] = inner
+
+        @classmethod
+        def from_file(cls, path, load=tokenizers.Tokenizer.from_file):
+            return cls(load(path))
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.inner, name, value)
+
+        def encode_batch_fast(self, texts, **more):
+            calls.extend(texts)
+            return self.inner.encode_batch_fast(texts, **more)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Whole)
+    encoder = (segments.byte_encoder if kind == "bytes" else segments.word_encoder)(BYTES if kind == "bytes" else WORDS)
+    text = " ".join(f"{a}{b}{end}" for a in ("Straße", "word", "ÉTÉ") for b in "abcdefghij" for end in ("", ",", ".\nUnd", "!?"))
+    assert ids_of(encoder([text])[0]) == CASES[kind][1](text)
+    assert set(calls) <= {"\n", ",", ".", "!?"}
+
+
 def test_full_cache_starts_anew():
     small = segments.SegmentEncoder(CASES["bytes"][0].rest.encode, cached=3)
     for text in ["a b c d e", "c d e f", "a b", "", "c d", "a b c d e f g h", "a f"]:

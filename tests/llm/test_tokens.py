@@ -214,6 +214,15 @@ def test_tournament_tree(sizes):
     assert [tree.place(s) for s in sizes] == first_fit(sizes, 40)
 
 
+def test_packing_looks_up_small_blocks(monkeypatch):
+    """A worker's batch of short texts is cut by letters, not by rows; the pieces hold the ids of whole texts."""
+    encoder, held = segments.SegmentEncoder(CASES["words"][0].rest.encode), []
+    monkeypatch.setattr(encoder.rest, "of", lambda rows, *a, f=encoder.rest.of: held.append(sum(len(s) for r in rows for s in r)) or f(rows, *a))
+    texts = [f"Wort{i % 9} und word {i}, ÉTÉ. " * 100 for i in range(256)]
+    assert [ids_of(raw) for raw in encoder(texts)] == [CASES["words"][1](t) for t in texts]
+    assert max(held) <= segments.LETTERS_AT_ONCE + max(map(len, texts))
+
+
 def test_packing(docs):
     rows = packing.pack_documents(docs, WORDS, capacity=256, group_documents=50).collect()
     whole = CASES["words"][1]

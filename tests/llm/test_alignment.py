@@ -110,3 +110,12 @@ def aligned_runs(texts):
         assert counts.sum() == n_records and (np.diff(pairs.astype(np.int64)) > 0).all()
         out.append((radix, pairs.tolist(), counts.tolist(), np.cumsum(rows, dtype=np.uint32).tolist(), links.tolist()))
     return out
+
+
+def test_pieces_are_looked_up_in_small_blocks(monkeypatch):
+    """However many texts are aligned at once, a look-up holds the words of a few; the pieces are those of whole texts."""
+    whole, mine, held = sentencepiece.SentencePieceProcessor(model_file=B), alignment.PieceEncoder(B), []
+    monkeypatch.setattr(mine.known, "of", lambda rows, *a, f=mine.known.of: held.append(sum(len(s) for r in rows for s in r)) or f(rows, *a))
+    texts = [f"word{i % 7} and  more of it, été {i} " * 60 for i in range(300)]
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in mine(texts)] == [whole.encode(t) for t in texts]
+    assert max(held) <= alignment.segments.LETTERS_AT_ONCE + max(map(len, texts)) and len(held) > 5

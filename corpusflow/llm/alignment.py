@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import groupby
 from operator import itemgetter
@@ -71,7 +71,7 @@ class PieceEncoder:
 
         packed_ids = four_bytes(len(pieces))
 
-        def encode(before: str, segment: str) -> bytes:
+        def encode(before: str, segment: str, known: Callable[[str], bytes | None]) -> bytes:
             return b"".join([packed_ids[i] for i in model.encode(segment)]) if segment or self.whole else space
 
         self.known = Remembered(encode, "", cached, cut=None)  # parts of a long word would each get a space

@@ -20,8 +20,9 @@ from operator import add
 
 import numpy as np
 
-#: Bytes that the segments of a generation take in a worker, about; two generations are kept.
-CACHED_BYTES = 32 << 20
+#: Bytes that the segments of a generation take in a worker, about; two generations are kept. Those that begin a line, far
+#: fewer, get half of it.
+CACHED_BYTES = 64 << 20
 #: What a remembered segment takes besides its letters and ids, and the most letters that one may have.
 ENTRY_BYTES, REMEMBERED_CHARS = 180, 64
 #: Letters of texts whose segments are looked up at once, about; few enough that they stay near the processor.
@@ -54,6 +55,10 @@ def _spelled(text: str) -> str:
     return codecs.charmap_decode(text.encode(), "strict", _BYTE_LETTERS)[0]
 
 
+#: Ids of a segment behind ``before``; the third may be asked for those of another segment behind it (None: not remembered).
+Encode = Callable[[str, str, Callable[[str], bytes | None]], bytes]
+
+
 class _Generation(dict):
     """Ids by segment; ``find`` gives those of a segment that is not there, and may put it in."""
 
@@ -72,7 +77,7 @@ class Remembered:
     from parts (``inner`` remembers those behind the first) and forgotten at once.
     """
 
-    def __init__(self, encode: Callable[[str, str], bytes], before: str, cached: int, inner: Remembered | None = None,
+    def __init__(self, encode: Encode, before: str, cached: int, inner: Remembered | None = None,
                  cut: re.Pattern[str] | None = _INNER):
         self.encode, self.before, self.cached, self.inner, self.cut = encode, before, cached, inner or self, cut
         self.now: dict[str, bytes] = _Generation(self._find)
@@ -96,25 +101,28 @@ class Remembered:
             return self.passing[segment]
         ids = self.past.get(segment)
         if ids is None:
-            ids = self.encode(self.before, segment)
+            ids = self.encode(self.before, segment, self._known)
         self.held += 2 * len(segment) + len(ids) + ENTRY_BYTES
         self.now[segment] = ids
         return ids
 
     def _long(self, segment: str) -> bytes:
         start, *rest = self.cut.split(segment) if self.cut else [segment]
-        return self.encode(self.before, start) + b"".join(map(self.inner.part, rest))
+        return self.encode(self.before, start, self._known) + b"".join(map(self.inner.part, rest))
 
     def part(self, part: str) -> bytes:
-        return self.now[part] if len(part) <= REMEMBERED_CHARS else self.encode(self.before, part)
+        return self.now[part] if len(part) <= REMEMBERED_CHARS else self.encode(self.before, part, self._known)
+
+    def _known(self, segment: str) -> bytes | None:
+        return self.now.get(segment) or self.past.get(segment)
 
 
 class SegmentEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers; ``encode(before, segment)`` does the work for new ones."""
+    """Ids of texts as little-endian unsigned 32-bit integers; ``encode`` does the work for new segments."""
 
-    def __init__(self, encode: Callable[[str, str], bytes], cached: int = CACHED_BYTES):
-        self.line = encode("", "\n")
-        self.heads = Remembered(encode, "", cached)
+    def __init__(self, encode: Encode, cached: int = CACHED_BYTES):
+        self.line = encode("", "\n", lambda segment: None)
+        self.heads = Remembered(encode, "", cached // 2)
         self.rest = Remembered(encode, " ", cached, self.heads)
 
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
@@ -164,9 +172,10 @@ def word_encoder(path: str) -> SegmentEncoder:
     return SegmentEncoder(_library(path, str.lower, False))
 
 
-def _library(path: str, fold: Callable[[str], str], keeps_space: bool) -> Callable[[str, str], bytes]:
-    """Most new segments are letters with or without punctuation behind: two pre-tokens at once. The letters, spelled in byte
-    letters, go straight to the library's model; all other segments go through the whole tokenizer."""
+def _library(path: str, fold: Callable[[str], str], keeps_space: bool) -> Encode:
+    """Most new segments are letters with or without punctuation behind: two pre-tokens at once. The letters, if they are not
+    remembered without it, go straight to the library's model, spelled in byte letters; all other segments go through the whole
+    tokenizer."""
     # Spark runs a worker for each core; threads of the library would take the others' time
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -182,18 +191,19 @@ def _library(path: str, fold: Callable[[str], str], keeps_space: bool) -> Callab
 
     tail_ids = lru_cache(1 << 12)(plain)
 
-    def encode(before: str, segment: str) -> bytes:
+    def encode(before: str, segment: str, known: Callable[[str], bytes | None]) -> bytes:
         stem = segment if segment.isalpha() else segment.rstrip(_PUNCTUATION)
         letters = fold(stem)
         if not letters.isalpha():
             return plain(before + segment)
-        if not letters.isascii():
+        if not (ascii := letters.isascii()) and max(letters) >= "\u0250":
             # Latin letters only: alike in every Unicode version, and composed already
-            if max(letters) >= "\u0250":
-                return plain(before + segment)
-            letters = _spelled(letters)
-        ids = b"".join([packed[t.id] for t in tokenize(front[before] + letters)])
-        return ids if len(stem) == len(segment) else ids + tail_ids(segment[len(stem):])
+            return plain(before + segment)
+        tail = segment[len(stem):]
+        ids = known(stem) if tail else None
+        if not ids:
+            ids = b"".join([packed[t.id] for t in tokenize(front[before] + (letters if ascii else _spelled(letters)))])
+        return ids + tail_ids(tail) if tail else ids
 
     return encode
 
@@ -201,7 +211,7 @@ def _library(path: str, fold: Callable[[str], str], keeps_space: bool) -> Callab
 def rank_encoder(path: str, pattern: str) -> SegmentEncoder:
     """Vocabulary in a local rank file, by the tiktoken library."""
     encoding = rank_encoding(path, pattern)
-    return SegmentEncoder(lambda before, segment: np.array(encoding.encode_ordinary(before + segment), dtype="<u4").tobytes())
+    return SegmentEncoder(lambda before, segment, known: np.array(encoding.encode_ordinary(before + segment), dtype="<u4").tobytes())
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -126,6 +126,54 @@ def test_words_go_to_the_model_alone(kind, monkeypatch):
     assert set(calls) <= {"\n", ",", ".", "!?"}
 
 
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_remembered_letters_are_not_tokenized_again(kind, monkeypatch):
+    """A word with punctuation behind takes the ids of its letters from the word without; only that word went to the model."""
+    import tokenizers
+
+    calls = []
+
+    class Model:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def tokenize(self, letters):
+            calls.append(letters)
+            return self.inner.tokenize(letters)
+
+    class Whole:
+        def __init__(self, inner):
+            vars(self)["inner"] = inner
+
+        @classmethod
+        def from_file(cls, path, load=tokenizers.Tokenizer.from_file):
+            return cls(load(path))
+
+        def __getattr__(self, name):
+            return Model(self.inner.model) if name == "model" else getattr(self.inner, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.inner, name, value)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Whole)
+    encoder = (segments.byte_encoder if kind == "bytes" else segments.word_encoder)(BYTES if kind == "bytes" else WORDS)
+    words = [f"{a}{b}" for a in ("Straße", "word", "ÉTÉ", "İx", "Σας", "漢") for b in "abcdefghij"]
+    plain = ". " + " ".join(words)
+    texts = [plain, *(". " + " ".join(w + end for w in words) for end in (",", ".", "'", "!?", "|", "'s"))]
+    assert [ids_of(raw) for raw in encoder(texts)] == [CASES[kind][1](t) for t in texts]
+    assert len(calls) == len(set(calls)) == (40 if kind == "bytes" else 30)  # in lower case, İ is a letter and a mark
+
+
+def test_a_worker_remembers_many_segments():
+    """300,000 words, fewer than a corpus has, take one generation, so each is encoded once."""
+    asked = []
+    encoder = segments.SegmentEncoder(lambda before, segment, *more: asked.append(segment) or b"1234")
+    texts = ["x " + " ".join(f"w{i:07d}" for i in range(at, at + 1000)) for at in range(0, 300_000, 1000)]
+    first = encoder(texts)
+    n = len(asked)
+    assert encoder(texts) == first and len(asked) == n
+
+
 def test_full_cache_starts_anew():
     small = segments.SegmentEncoder(CASES["bytes"][0].rest.encode, cached=3)
     for text in ["a b c d e", "c d e f", "a b", "", "c d", "a b c d e f g h", "a f"]:

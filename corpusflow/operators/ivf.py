@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.functions.vector import SCORE_DIGITS, best_hits, topk_search, unit_matrix
-from corpusflow.operators.product import sliced_product
-from corpusflow.operators.retrieve import BLOCK_ROWS
+from corpusflow.functions.vector import SCORE_DIGITS, best_hits, topk_search, topk_stream, unit_matrix
+from corpusflow.operators.product import measure, sliced_product, streamed_product
+from corpusflow.operators.retrieve import BLOCK_ROWS, stream_blocks
 from corpusflow.session import cut_lineage
 
 #: Independent sets of lists. Two vectors that one set parts are often together in another, so several with a small share
@@ -27,7 +27,7 @@ SAMPLE_ROWS = 1 << 18
 #: Share of the rows that a query is compared with, all tables together.
 READ_SHARE = 0.2
 #: Cosines of queries and centres that are held at once, and bytes of a slice of queries with the bitmaps of their lists.
-CELLS, SLICE_BYTES = 1 << 19, 32 * 1024 * 1024
+CELLS, SLICE_BYTES = 1 << 19, 64 * 1024 * 1024
 ROUNDS = 8
 
 
@@ -130,21 +130,76 @@ def open_index(spark: SparkSession, path: str) -> VectorIndex:
     return VectorIndex(spark, path, T.StructType.fromJson(json.loads(spark.read.text(f"{path}/_schema").first()[0])))
 
 
+def _searched(index: VectorIndex, read_share: float) -> tuple[pd.DataFrame, float]:
+    """(lists that a search looks at, rows that a query may read; infinite if there is no bound).
+
+    Without a bound one table is enough, since each table holds every row: the one whose lists are the narrowest.
+    """
+    known = index.lists()
+    tables = max(1, known["tbl"].nunique())
+    budget = read_share * known["n"].sum() / tables
+    if len(known) and read_share >= tables:
+        wide = (known["n"] * np.arccos(known["least"].clip(-1, 1))).groupby(known["tbl"]).sum()
+        known, budget = known[known["tbl"] == wide.idxmin()].reset_index(drop=True), np.inf
+    return known, budget
+
+
+def _bits(known: pd.DataFrame) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
+    """(bit of each list in the bitmap of a query, first byte and bytes of each table); tables begin with a byte of their own."""
+    bits, of_table, first = np.zeros(len(known), np.int64), {}, 0
+    for t, at in known.groupby("tbl").indices.items():
+        bits[at] = first * 8 + np.arange(len(at))
+        of_table[t] = first, -(-len(at) // 8)
+        first += of_table[t][1]
+    return bits, of_table
+
+
+def _nearest_within(cosine: np.ndarray, may: np.ndarray, n: np.ndarray, budget: float, most: int) -> np.ndarray:
+    """Mask of the nearest lists of each row that hold ``budget`` rows together, at least one; ``most`` are sorted at first."""
+    chosen = np.zeros(cosine.shape, bool)
+    rows, masked = np.arange(len(cosine)), np.where(may, cosine, -2.0)
+    while len(rows):
+        some = masked[rows]
+        if most < cosine.shape[1]:
+            order = np.sort(np.argpartition(-some, most - 1, axis=1)[:, :most], axis=1)
+            order = np.take_along_axis(order, np.argsort(-np.take_along_axis(some, order, 1), axis=1, kind="stable"), 1)
+        else:
+            order = np.argsort(-some, axis=1, kind="stable")
+        sizes = np.where(np.take_along_axis(may[rows], order, 1), n[order], 0)
+        total = np.cumsum(sizes, axis=1)
+        within = ((total <= budget) | (np.arange(order.shape[1]) == 0)) & (sizes > 0)
+        of_rows = np.zeros(some.shape, bool)
+        np.put_along_axis(of_rows, order, within, 1)
+        chosen[rows] = of_rows
+        if most >= cosine.shape[1]:
+            break
+        # a list as near as the last sorted one, or farther, may come next
+        values = np.take_along_axis(some, order, 1)
+        ends = np.take_along_axis(values, np.minimum(within.sum(axis=1), most - 1)[:, None], 1)[:, 0]
+        rows, most = rows[(ends == values[:, -1]) & (ends > -2)], min(cosine.shape[1], 4 * most)
+    return chosen
+
+
 def probes(queries: DataFrame, index: VectorIndex, min_score: float, read_share: float = READ_SHARE) -> DataFrame:
-    """query_id, embedding, lists (a bit for each row of ``index.lists()``), parts and n_read of each query with a vector.
+    """query_id, embedding, lists (a bit for each list, see ``_bits``), parts and n_read of each query with a vector.
 
     A list is left out if no row of it can reach ``min_score``: its rows lie within a known angle of the centre. Of the
     others, of all tables, the nearest are searched that hold the share of the rows together, and at least one.
     """
-    known = index.lists()
-    columns = (known["n"], known["least"], known["part"])
-    shared = index.spark.sparkContext.broadcast([c.to_numpy() for c in columns] + [unit_matrix(known["centre"])[0]])
-    budget = read_share * known["n"].sum() / max(1, known["tbl"].nunique())
+    known, budget = _searched(index, read_share)
+    of_table = [c.index.to_numpy() for _, c in known.groupby("tbl")]
+    # the rounding of scores and of 32-bit centres is allowed for
+    reach = np.arccos(np.clip(known["least"].to_numpy(np.float64), -1, 1)) + np.arccos(np.clip(min_score - 1e-4, -1, 1))
+    needed = np.where(reach >= np.pi, -np.inf, np.cos(np.minimum(reach, np.pi)))
+    shared = index.spark.sparkContext.broadcast([known["n"].to_numpy(), known["part"].to_numpy(), needed, unit_matrix(known["centre"])[0]])
+    most = max(1, int(1.5 * min(1.0, budget / max(1, known["n"].sum())) * len(known)) + 16)
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, least, part, centres = shared.value
+        n, part, needed, centres = shared.value
         step = max(1, min(256, CELLS // max(1, len(n))))
-        reach = np.arccos(np.clip(least, -1, 1))
+        order = np.argsort(part, kind="stable")
+        first = np.flatnonzero(np.diff(part[order], prepend=-1))
+        names = part[order][first].astype(np.int32)
         for whole in batches:
             for at in range(0, len(whole), step):
                 batch = whole.iloc[at:at + step]
@@ -153,17 +208,13 @@ def probes(queries: DataFrame, index: VectorIndex, min_score: float, read_share:
                 if not len(batch) or not len(n):
                     continue
                 cosine = x @ centres.T
-                # the rounding of scores and of 32-bit centres is allowed for
-                may = np.cos(np.clip(np.arccos(np.clip(cosine, -1, 1)) - reach, 0, np.pi)) >= min_score - 1e-4
-                order = np.argsort(-np.where(may, cosine, -2.0), axis=1, kind="stable")
-                sizes = np.where(np.take_along_axis(may, order, 1), n[order], 0)
-                within = ((np.cumsum(sizes, axis=1) <= budget) | (np.arange(order.shape[1]) == 0)) & (sizes > 0)
-                mine = [row[keep] for row, keep in zip(order, within)]
-                chosen = np.zeros(within.shape, bool)
-                np.put_along_axis(chosen, order, within, 1)
+                may = cosine >= needed
+                chosen = may if budget == np.inf else _nearest_within(cosine, may, n, budget, most)
+                of_part = np.logical_or.reduceat(chosen[:, order], first, axis=1)
+                packed = np.concatenate([np.packbits(chosen[:, at], axis=1) for at in of_table], axis=1)
                 yield pd.DataFrame({"query_id": batch["query_id"].to_numpy(), "embedding": batch["embedding"].to_numpy(),
-                                    "lists": [row.tobytes() for row in np.packbits(chosen, axis=1)],
-                                    "parts": [np.unique(part[m]) for m in mine], "n_read": (sizes * within).sum(axis=1)})
+                                    "lists": [row.tobytes() for row in packed],
+                                    "parts": [names[row] for row in of_part], "n_read": chosen @ n})
 
     kind = dict(queries.dtypes)["query_id"]
     return queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")) \
@@ -172,33 +223,57 @@ def probes(queries: DataFrame, index: VectorIndex, min_score: float, read_share:
 
 def search_index(queries: DataFrame, index: VectorIndex, k: int = 5, min_score: float = 0.7, read_share: float = READ_SHARE) -> DataFrame:
     """VS4: (query_id, chunk_id, score, rn), the best k rows in the lists near a query. With ``read_share`` >= 1 * tables all
-    lists that can hold a hit are searched, and the result is exact.
+    lists of a table that can hold a hit are searched, and the result is exact.
 
-    Only the parts that some query probes are read (a partition filter in the scan); queries go to the tasks in bounded
-    slices, each with a bitmap of its lists, and a row meets the queries of its list alone.
+    Only the parts that some query probes are read (a partition filter in the scan). Queries have a bitmap of their lists, and
+    a row counts for the queries of its list alone. With a bound on the rows read, queries go to the tasks in bounded slices, of
+    several slices each with the lists of one table; without, many queries stay in blocks and the rows pass by.
     """
     asked = cut_lineage(probes(queries, index, min_score, read_share))  # read for the parts, for its size and in slices
-    known = index.lists()
-    numbers = (known["tbl"] * (1 << 16) + known["list"]).to_numpy()
+    known, budget = _searched(index, read_share)
+    numbers, (bits, of_table) = (known["tbl"] * (1 << 16) + known["list"]).to_numpy(), _bits(known)
     parts = [r[0] for r in asked.select(F.explode("parts")).distinct().collect()]  # at most as many as there are folders
-    rows = index.rows().where(F.col("part").isin(parts)).select("chunk_id", (F.col("tbl") * (1 << 16) + F.col("list")).alias("grp"), "embedding")
+    rows = index.rows().where(F.col("part").isin(parts)).select("chunk_id", (F.col("tbl") * (1 << 16) + F.col("list")).alias("grp"), "embedding", "tbl")
+    asking = asked.select("query_id", "embedding", "lists")
+
+    def bit_of(group: int) -> int:
+        return int(bits[np.searchsorted(numbers, group)])
+
+    def asked_from(first: int):
+        class Asked:
+            """The rows of the small side that ask for a list, read from its column of the bitmaps, which begin with the byte ``first``."""
 
-    class Asked:
-        """The rows of the small side that ask for a list, read from its column of the bitmaps."""
+            def __init__(self, small: pd.DataFrame):
+                self.bits = np.frombuffer(b"".join(small["lists"]), np.uint8).reshape(len(small), -1) if len(small) else np.zeros((0, 0), np.uint8)
 
-        def __init__(self, small: pd.DataFrame):
-            self.bits = np.frombuffer(b"".join(small["lists"]), np.uint8).reshape(len(small), -1) if len(small) else np.zeros((0, 0), np.uint8)
+            def get(self, group: int) -> np.ndarray | None:
+                at = int(np.searchsorted(numbers, group))
+                if not len(self.bits) or at == len(numbers) or numbers[at] != group:
+                    return None
+                bit = int(bits[at]) - 8 * first
+                return np.flatnonzero(self.bits[:, bit >> 3] & (128 >> (bit & 7)))
 
-        def get(self, group: int) -> np.ndarray | None:
-            at = int(np.searchsorted(numbers, group))
-            if not len(self.bits) or at == len(numbers) or numbers[at] != group:
-                return None
-            return np.flatnonzero(self.bits[:, at >> 3] & (128 >> (at & 7)))
+        return Asked
 
     best = best_hits(k, ["query_id"])
     types = dict(queries.dtypes)["query_id"], dict(index.rows().dtypes)["chunk_id"]
-    hits = sliced_product(rows, asked.select("query_id", "embedding", "lists"), topk_search(k, min_score, "own", Asked),
-                          f"query_id {types[0]}, chunk_id {types[1]}, grp int, score double", lambda hits: best(hits.drop_duplicates(["query_id", "chunk_id"])), max_bytes=SLICE_BYTES, block_rows=BLOCK_ROWS)
+    schema = f"query_id {types[0]}, chunk_id {types[1]}, grp int, score double"
+
+    def sliced(rows: DataFrame, small: DataFrame, first: int) -> DataFrame:
+        return sliced_product(rows.drop("tbl"), small, topk_search(k, min_score, "own", asked_from(first), budget == np.inf), schema,
+                              lambda hits: best(hits.drop_duplicates(["query_id", "chunk_id"])), max_bytes=SLICE_BYTES, block_rows=BLOCK_ROWS)
+
+    count, size = measure(asking)
+    blocks = stream_blocks(index.spark, count, size, k) if budget == np.inf else 0
+    if blocks:
+        hits = streamed_product(rows.drop("tbl"), asking, blocks, topk_stream(k, min_score, distinct=True, bit_of=bit_of), f"{schema}, rn int").drop("rn")
+    elif size <= SLICE_BYTES or len(of_table) < 2:
+        hits = sliced(rows, asking, 0)
+    else:
+        hits = None
+        for t, (first, width) in of_table.items():
+            of = sliced(rows.where(F.col("tbl") == int(t)), asking.withColumn("lists", F.substring("lists", first + 1, width)), first)
+            hits = of if hits is None else hits.unionByName(of)
     # a row that several tables found counts once
     once = hits.groupBy("query_id", "chunk_id").agg(F.max(F.round("score", SCORE_DIGITS)).alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))

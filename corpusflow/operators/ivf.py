@@ -235,6 +235,8 @@ def search_index(queries: DataFrame, index: VectorIndex, k: int = 5, min_score:
     parts = [r[0] for r in asked.select(F.explode("parts")).distinct().collect()]  # at most as many as there are folders
     rows = index.rows().where(F.col("part").isin(parts)).select("chunk_id", (F.col("tbl") * (1 << 16) + F.col("list")).alias("grp"), "embedding", "tbl")
     asking = asked.select("query_id", "embedding", "lists")
+    one = index.rows().where(F.col("tbl") == int(known["tbl"].min() if len(known) else 0))
+    once_a_table = one.groupBy("chunk_id").count().filter("count > 1 OR chunk_id IS NULL").isEmpty()
 
     def bit_of(group: int) -> int:
         return int(bits[np.searchsorted(numbers, group)])
@@ -253,6 +255,8 @@ def search_index(queries: DataFrame, index: VectorIndex, k: int = 5, min_score:
                 bit = int(bits[at]) - 8 * first
                 return np.flatnonzero(self.bits[:, bit >> 3] & (128 >> (bit & 7)))
 
+        if once_a_table:
+            Asked.table_of = staticmethod(lambda group: group >> 16)
         return Asked
 
     best = best_hits(k, ["query_id"])

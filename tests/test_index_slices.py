@@ -1,8 +1,10 @@
 """A search without a bound on the rows looks at one table; one with a bound sends the lists of one table at a time."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from corpusflow.functions import vector
 from corpusflow.operators import ivf, product, retrieve
 from tests.test_streamed import both, rows, sides  # noqa: F401
 
@@ -32,6 +34,40 @@ def test_slices_of_a_bounded_search_hold_the_lists_of_one_table(sides, tmp_path,
     assert len(sent) >= 6 and max(sent) <= width // 3 + 1
 
 
+def test_what_a_query_has_found_bounds_its_other_lists(sides, tmp_path, monkeypatch):  # noqa: F811
+    queries, chunks = sides
+    once = chunks.dropDuplicates(["chunk_id"])
+    index = ivf.build_index(once, str(tmp_path / "index"), tables=2, lists=40)
+    few = rows(ivf.search_index(queries, index, 4, -1.0, 0.9))
+    looked, exact = [], vector._exact
+    monkeypatch.setattr(vector, "_exact", lambda a, r, b, c: looked.append(len(r)) or exact(a, r, b, c))
+    small = ivf.probes(queries, index, -1.0, 0.9).toPandas()
+    groups = index.rows().selectExpr("chunk_id", "tbl * 65536 + list AS grp", "embedding").toPandas()
+    numbers = sorted(groups["grp"].unique())
+    bits = np.unpackbits(np.frombuffer(b"".join(small["lists"]), np.uint8).reshape(len(small), -1), axis=1)
+    known = index.lists()
+    places, _ = ivf._bits(known)
+    column = {t * 65536 + n: bits[:, b] for t, n, b in zip(known["tbl"], known["list"], places)}
+
+    class Asked:
+        def __init__(self, small):
+            pass
+
+        def get(self, group):
+            return np.flatnonzero(column[group])
+
+    def found():
+        looked.clear()
+        hits = pd.concat(vector.topk_search(4, -1.0, "own", Asked)(small)(groups)).drop_duplicates(["query_id", "chunk_id"])
+        hits = hits.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True]).groupby("query_id").head(4)
+        return [tuple(r) for r in hits[["query_id", "chunk_id", "score"]].to_numpy().tolist()], sum(looked)
+
+    plain, pairs = found()
+    Asked.table_of = staticmethod(lambda group: group >> 16)
+    bounded, fewer = found()
+    assert bounded == plain and len(plain) == len(few) and len(numbers) > 40 and fewer < 0.9 * pairs
+
+
 def test_nearest_lists_within_the_bound():
     rng = np.random.default_rng(2)
     cosine, may, n = rng.random((50, 400)).round(2), rng.random((50, 400)) < 0.7, rng.integers(1, 30, 400)

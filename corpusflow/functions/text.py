@@ -25,7 +25,7 @@ SCRIPT_RANGES = {
 
 
 def letters(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^\p{L}]", "")
+    return F.regexp_replace(text, r"[^\p{L}]+", "")
 
 
 def letter_count(text: Column) -> Column:
@@ -33,10 +33,15 @@ def letter_count(text: Column) -> Column:
     return F.length(letters(text))
 
 
+def has_letters(text: Column, least: int) -> Column:
+    """Whether the text has so many letters, without a look at what follows them."""
+    return text.rlike(r"^" + r"[^\p{L}]*+\p{L}" * least)
+
+
 def script_counts(text: Column) -> dict[str, Column]:
     """TF3: letters per script; ``other`` is what no range covers."""
     only = letters(text)
-    counts = {name: F.length(F.regexp_replace(only, f"[^{span}]", "")) for name, span in SCRIPT_RANGES.items()}
+    counts = {name: F.length(F.regexp_replace(only, f"[^{span}]+", "")) for name, span in SCRIPT_RANGES.items()}
     known = counts["latin"]
     for name in ("cyrillic", "greek", "georgian", "armenian"):
         known = known + counts[name]

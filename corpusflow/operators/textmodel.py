@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -99,10 +100,9 @@ def greeting_scores(codes: Column) -> Column:
 
 def example_weight(text: Column, is_greeting: Column | None = None) -> Column:
     """TF5: weight of a training text by length and completeness."""
-    count = tx.letter_count(text)
     complete = F.substring(text, -1, 1).isin(".", "?", "!", "։", "…")
     greeting = is_greeting if is_greeting is not None else F.lit(False)
-    return F.when(greeting, 1.0).when(count < 12, 0.2).when(complete & (count >= 25), 1.0) \
+    return F.when(greeting, 1.0).when(~tx.has_letters(text, 12), 0.2).when(complete & tx.has_letters(text, 25), 1.0) \
         .when(complete, 0.7).otherwise(0.35)
 
 
@@ -138,6 +138,7 @@ class NBModel:
     vocabulary: int
     smoothing: float
     _held: Broadcast | None = None
+    _held_short: Broadcast | None = None
 
     def denominator(self, i: int) -> float:
         return self.totals[i] + self.smoothing * self.vocabulary
@@ -165,6 +166,17 @@ class NBModel:
             self._held = self.counts.sparkSession.sparkContext.broadcast((rows["ngram"].tolist(), matrix))
         return self._held
 
+    def local_short(self) -> Broadcast | None:
+        """``local`` without the word features, of which a large corpus has ever more; None if that is still too large."""
+        if self._held_short is None:
+            short = self.likelihoods().filter(~F.startswith("ngram", F.lit("w:")))
+            if short.count() * (48 + 9 * len(self.labels)) > BROADCAST_BYTES:
+                return None
+            rows = short.toPandas()
+            matrix = rows.drop(columns="ngram").to_numpy(dtype=np.float64)
+            self._held_short = self.counts.sparkSession.sparkContext.broadcast((rows["ngram"].tolist(), matrix))
+        return self._held_short
+
     def likelihood_table(self) -> DataFrame:
         """LG1 as rows: (label, ngram, log_likelihood)."""
         rows = F.array(*[F.struct(F.lit(label).alias("label"), self.log_likelihood(i).alias("log_likelihood"))
@@ -210,38 +222,114 @@ def train_nb(labeled: DataFrame, smoothing: float = LANGUAGE_SMOOTHING, label: s
                    max(sums["v"], 1), smoothing)
 
 
+class _Grams:
+    """Numbers of the n-grams of a model. Short ones of two-byte letters are looked up by a whole number, for many words at once."""
+
+    def __init__(self, grams: list[str]):
+        self.index = {g: i for i, g in enumerate(grams)}
+        short = [(self._code(g), i) for i, g in enumerate(grams) if len(g) <= tx.MAX_N and max(g, default="\0") < "\uffff"]
+        self.codes = pd.Index(np.array([c for c, _ in short], np.uint64))
+        self.numbers = np.array([i for _, i in short], np.int64)
+
+    @staticmethod
+    def _code(gram: str) -> int:
+        code = 0
+        for letter in gram:
+            code = code << 16 | ord(letter) + 1
+        return code
+
+    def of(self, words: list[str], whole_words: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(features of each word, whether it has a word feature, number of that or -1; word and number of the known n-grams)."""
+        words = [unicodedata.normalize("NFC", w) for w in words]
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        whole = lengths - 2 <= tx.MAX_WORD_FEATURE
+        get = whole_words.get
+        number = np.fromiter((get("w:" + w, -1) if ok else -1 for w, ok in zip(words, whole.tolist())), np.int64, len(words))
+        letters = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        word = np.repeat(np.arange(len(words)), lengths)
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(letters))
+        wide = np.zeros(len(words), bool)
+        wide[word[letters > 0xFFFF]] = True
+        counts, found_of, found = whole.astype(np.int64), [], []
+        code = np.zeros(len(letters), np.uint64)
+        for n in range(1, tx.MAX_N + 1):
+            counts += np.maximum(0, lengths - n + 1)
+            code = code[:len(letters) - n + 1] << np.uint64(16) | letters[n - 1:]
+            if n < tx.MIN_N:
+                continue
+            at = np.flatnonzero((left[:len(code)] >= n) & ~wide[word[:len(code)]])
+            places = self.codes.get_indexer(code[at])
+            known = places >= 0
+            found_of.append(word[at[known]])
+            found.append(self.numbers[places[known]])
+        for i in np.flatnonzero(wide):
+            numbers = [g for g in map(self.index.get, tx.word_features(words[i])[int(whole[i]):]) if g is not None]
+            found_of.append(np.full(len(numbers), i))
+            found.append(np.array(numbers, np.int64))
+        return counts, whole, number, np.concatenate(found_of), np.concatenate(found)
+
+
 class _WordScorer:
-    """Per word: features, word features and, per label, gain, seen features and the known word feature; kept while met again."""
+    """Per word: features, word features and, per label, gain, seen features and the known word feature; kept while met again.
 
-    CACHED = 300_000
+    Texts of so many words are taken together, and their new words are looked up at once.
+    """
 
-    def __init__(self, grams: list[str], likelihoods: np.ndarray, unseen: list[float]):
-        self.index = {g: i for i, g in enumerate(grams)}
+    CACHED, TOGETHER = 300_000, 65_536
+
+    def __init__(self, grams: list[str] | _Grams, likelihoods: np.ndarray, unseen: list[float], words: list[str] | None = None):
+        """``words``: word features whose likelihoods follow those of the grams, which then hold none."""
+        self.grams = grams if isinstance(grams, _Grams) else _Grams(grams)
+        self.words = self.grams.index if words is None else {w: i for i, w in enumerate(words, len(self.grams.index))}
         self.known = ~np.isnan(likelihoods)
         self.gain = np.where(self.known, likelihoods - np.array(unseen), 0.0)
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, 2 + 3 * len(unseen)))
 
-    def _add(self, word: str) -> int:
-        grams = tx.word_features(word)
-        found = [i for i in map(self.index.get, grams) if i is not None]
-        has_word = grams[0].startswith("w:")
-        whole = self.index.get(grams[0]) if has_word else None
-        row = len(self.rows)
-        if row == len(self.table):
+    def _add(self, words: list[str]) -> None:
+        counts, has_word, number, of, grams = self.grams.of(words, self.words)
+        first, k = len(self.rows), self.gain.shape[1]
+        while first + len(words) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        seen = self.known[found].sum(axis=0)
-        word_seen = self.known[whole] if whole is not None else np.zeros(len(seen))
-        self.table[row] = np.concatenate([[len(grams), has_word], self.gain[found].sum(axis=0), seen, word_seen])
-        self.rows[word] = row
-        return row
+        new = self.table[first:first + len(words)]
+        whole = np.flatnonzero(number >= 0)
+        of, grams = np.concatenate([whole, of]), np.concatenate([number[whole], grams])
+        new[:, 0], new[:, 1] = counts, has_word
+        for i in range(k):
+            new[:, 2 + i] = np.bincount(of, self.gain[grams, i], len(words))
+            new[:, 2 + k + i] = np.bincount(of, self.known[grams, i], len(words))
+            new[:, 2 + 2 * k + i] = 0
+            new[whole, 2 + 2 * k + i] = self.known[number[whole], i]
+        self.rows.update(zip(words, range(first, first + len(words))))
 
     def total(self, text: str) -> np.ndarray:
-        if len(self.rows) > self.CACHED:
+        return next(self.totals([text]))
+
+    def totals(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The sums of each text."""
+        waiting: list[str] = []
+        ends: list[int] = []
+        for text in texts:
+            waiting += text.split()
+            ends.append(len(waiting))
+            if len(waiting) >= self.TOGETHER:
+                yield from self._summed(waiting, ends)
+                waiting, ends = [], []
+        yield from self._summed(waiting, ends)
+
+    def _summed(self, words: list[str], ends: list[int]) -> Iterator[np.ndarray]:
+        new = set(words).difference(self.rows)
+        if len(self.rows) + len(new) > self.CACHED and self.rows:
             self.rows.clear()
-        get = self.rows.get
-        at = [r if (r := get(w)) is not None else self._add(w) for w in text.split(" ") if w]
-        return self.table[at].sum(axis=0)
+            new = set(words)
+        names = list(new)
+        for at in range(0, len(names), self.TOGETHER):
+            self._add(names[at:at + self.TOGETHER])
+        table = self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
+        first = 0
+        for end in ends:
+            yield table[first:end].sum(axis=0)
+            first = end
 
 
 class _Sums:
@@ -252,15 +340,14 @@ class _Sums:
 
     def of(self, scorer: _WordScorer, texts: pd.Series) -> pd.DataFrame:
         rows, k = [], len(self.unseen)
-        for words in texts:
-            sums = scorer.total(words or "")
+        for sums in scorer.totals(words or "" for words in texts):
             whole = sums[[0, 1, *range(2 + k, 2 + 3 * k)]].astype(np.int64)
             rows.append((whole[0], whole[1], self.priors + np.array(self.unseen) * sums[0] + sums[2:2 + k], whole[2:2 + k], whole[2 + k:]))
         return pd.DataFrame(rows, columns=["tokens", "word_tokens", "scores", "seen", "word_seen"])
 
 
 def score_column(text: Column, model: NBModel) -> Column:
-    """LG2/LG3 of a text as struct<tokens, word_tokens, scores, seen, word_seen> (null without features), in the text's own row.
+    """LG2/LG3 of a text as struct<tokens, word_tokens, scores, seen, word_seen> (no tokens without features), in the text's own row.
 
     The measured model goes to the workers once; texts meet it where they are, nothing is shuffled.
     """
@@ -272,8 +359,8 @@ def score_column(text: Column, model: NBModel) -> Column:
         for part in parts:
             yield sums.of(scorer, part)
 
-    scored = score(F.regexp_replace(F.lower(text), tx.WORD_BREAK, " "))
-    return F.when(scored["tokens"] > 0, scored)
+    # a condition on the scores must not be pushed below them, where it would score every text once more
+    return score.asNondeterministic()(F.regexp_replace(F.lower(text), tx.WORD_BREAK, " "))
 
 
 def score_nb(df: DataFrame, model: NBModel, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -291,12 +378,17 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = ends[-1] if len(ends) else seen
 
 
-def _block_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _block_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct word features of each block."""
+    return _block_grams(batches, lambda words: {f"w:{c}" for w in words if w and len(c := unicodedata.normalize("NFC", w)) <= tx.MAX_WORD_FEATURE})
+
+
+def _block_grams(batches: Iterator[pd.DataFrame], of: Callable | None = None) -> Iterator[pd.DataFrame]:
     """The distinct features of each block; the rows of a block follow each other."""
     at, words = None, set()
 
     def features() -> pd.DataFrame:
-        grams = list({g for w in words if w for g in tx.word_features(w)})
+        grams = list(of(words) if of else {g for w in words if w for g in tx.word_features(w)})
         return pd.DataFrame({"task": at[0], "block": at[1], "ngram": pd.Series(grams, dtype=object)})
 
     for batch in batches:
@@ -311,11 +403,24 @@ def _block_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield features()
 
 
+_SHORT: dict[int, tuple[_Grams, np.ndarray, list]] = {}
+
+
+def _short_grams(short: Broadcast) -> tuple[_Grams, np.ndarray]:
+    """The n-grams of a broadcast, made ready once in a worker; the last ones stay."""
+    grams, likelihoods = short.value
+    if id(grams) not in _SHORT:
+        _SHORT.clear()
+        _SHORT[id(grams)] = _Grams(grams), likelihoods, grams
+    return _SHORT[id(grams)][:2]
+
+
 def score_nb_shuffled(df: DataFrame, model: NBModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The sums of a model that workers cannot hold, by a ``key`` that is unique.
 
-    A block of texts gets the part of the model that its words need: it asks for each of its distinct n-grams once, however
-    often and in however many texts they stand. The texts move once, to their block; nothing has a row per text and word.
+    A block of texts gets the part of the model that its words need: it asks for each of its distinct features once, however
+    often and in however many texts they stand. Most of a large model are word features; if workers can hold the n-grams
+    without them, only word features are asked for. The texts move once, to their block; nothing has a row per text and word.
     """
     spark, folder = df.sparkSession, shared_folder(df.sparkSession, "blocks")
     kind, k = dict(df.dtypes)[key], len(model.labels)
@@ -324,12 +429,18 @@ def score_nb_shuffled(df: DataFrame, model: NBModel, key: str = "doc_id", text:
     df.select(F.col(key).alias("row"), plain.alias("text")).withColumn("task", F.spark_partition_id()) \
         .mapInPandas(_blocks, schema).write.parquet(folder)
     texts = spark.read.schema(schema).parquet(folder)
-    asked = texts.select("task", "block", "text").mapInPandas(_block_grams, "task int, block long, ngram string")
+    short = model.local_short()
+    asked = texts.select("task", "block", "text").mapInPandas(_block_words if short else _block_grams, "task int, block long, ngram string")
     given = asked.join(model.likelihoods(), "ngram")
     sums = _Sums(model)
 
     def score(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        scorer = _WordScorer(known["ngram"].tolist(), known[[f"p{i}" for i in range(k)]].to_numpy(np.float64), sums.unseen)
+        grams, likelihoods = known["ngram"].tolist(), known[[f"p{i}" for i in range(k)]].to_numpy(np.float64)
+        if short:
+            of, held = _short_grams(short)
+            scorer = _WordScorer(of, np.concatenate([held, likelihoods]), sums.unseen, grams)
+        else:
+            scorer = _WordScorer(grams, likelihoods, sums.unseen)
         found = sums.of(scorer, rows["text"])
         return found.assign(row=rows["row"].to_numpy())[["row", *_SCORE]][found["tokens"] > 0]
 
@@ -350,7 +461,8 @@ def with_scores(df: DataFrame, model: NBModel, text: str) -> DataFrame:
     Each row is a text of its own whatever its key: for a model that workers cannot hold rows are numbered and stored first.
     """
     if model.is_small():
-        return df.withColumn("_s", score_column(F.col(text), model)).select("*", *[F.col(f"_s.{c}") for c in _SCORE]).drop("_s")
+        has = F.col("_s.tokens") > 0
+        return df.withColumn("_s", score_column(F.col(text), model)).select("*", *[F.when(has, F.col(f"_s.{c}")).alias(c) for c in _SCORE]).drop("_s")
     numbered = cut_lineage(df.withColumn("_row_number", F.monotonically_increasing_id()))
     return numbered.join(score_nb_shuffled(numbered, model, "_row_number", text), "_row_number", "left").drop("_row_number")
 
@@ -491,8 +603,8 @@ def score_binary_nb(df: DataFrame, model: NBModel, positive: str, negative: str,
     pos, neg = F.element_at("scores", at[positive]), F.element_at("scores", at[negative])
     top = F.greatest(pos, neg)
     p = F.exp(pos - top) / (F.exp(pos - top) + F.exp(neg - top))
-    joined = scored.select(key, tx.letter_count(F.col(text)).alias("_letters"), p.alias("_p"))
-    usable = (F.col("_letters") >= MIN_LETTERS) & F.col("_p").isNotNull()
+    joined = scored.select(key, tx.has_letters(F.col(text), MIN_LETTERS).alias("_letters"), p.alias("_p"))
+    usable = F.col("_letters") & F.col("_p").isNotNull()
     is_positive = usable & (F.col("_p") >= 0.5)
     return joined.select(key, F.when(is_positive, positive).otherwise(negative).alias("label"),
                          F.when(is_positive, F.col("_p")).when(usable, 1 - F.col("_p")).otherwise(1.0).alias("p"))

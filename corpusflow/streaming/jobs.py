@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -12,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from corpusflow.operators.extract import extract_chunks, tenant_id_of
 from corpusflow.session import cut_lineage
 from corpusflow.sources.store import BUCKET, bucket_of, touched_buckets
-from corpusflow.streaming.state import restart_timer, stateful
+from corpusflow.streaming.state import TIME, restart_timer, stateful
 
 # Request limits per client.
 PER_MINUTE = 60
@@ -119,11 +121,119 @@ class PairSteps(StatefulProcessor):
 
 _DURATIONS = [c.split()[0] for c in DURATIONS.split(", ")]
 
+#: Hash buckets of (run, agent) whose state is one value; fixed for a checkpoint.
+STEP_BUCKETS = 512
+_OPEN = pa.schema([("run_id", pa.string()), ("agent", pa.string()), ("start", pa.bool_()), ("elapsed_ms", pa.int64()),
+                   ("duration_ms", pa.float64()), ("kind", pa.string()), ("status", pa.string())])
+_KEYS = pa.schema([("run_id", pa.string()), ("agent", pa.string()), ("done", pa.int64()), ("due", pa.int64())])
+
+
+def _stored(rows: pd.DataFrame, schema: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_table(pa.Table.from_pandas(rows, schema, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _read(data: bytes | None, schema: pa.Schema) -> pd.DataFrame:
+    return (pa.ipc.open_stream(bytes(data)).read_all() if data else schema.empty_table()).to_pandas()
+
+
+def _key_codes(*frames: pd.DataFrame) -> list[np.ndarray]:
+    """Numbers of the (run_id, agent) of some frames, the same for the same pair; null is a value."""
+    runs, names = pd.factorize(np.concatenate([f["run_id"].to_numpy(object) for f in frames]), use_na_sentinel=False)
+    agents, _ = pd.factorize(np.concatenate([f["agent"].to_numpy(object) for f in frames]), use_na_sentinel=False)
+    codes = pd.factorize(agents.astype(np.int64) * (len(names) + 1) + runs)[0]
+    return np.split(codes, np.cumsum([len(f) for f in frames])[:-1])
+
+
+def _ranks(codes: np.ndarray, ms: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by key and time, place of each in its key, rows of each key); rows of one time keep their order."""
+    order = np.lexsort((ms, codes))
+    counts = np.bincount(codes, minlength=n)
+    return order, np.arange(len(order)) - (np.cumsum(counts) - counts)[codes[order]], counts
+
+
+class PairBuckets(StatefulProcessor):
+    """``PairSteps`` for the keys (run, agent) of a bucket together: open steps, numbers of pairs and due times are one value.
+
+    A call and its state cost the same for a thousand keys as for one. One timer a bucket stands at its first due time.
+    """
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("bucket", "open binary, keys binary")
+
+    def _state(self) -> tuple[pd.DataFrame, pd.DataFrame]:
+        held = self.held.get() or (None, None)
+        return _read(held[0], _OPEN), _read(held[1], _KEYS)
+
+    def _keep(self, open_: pd.DataFrame, keys: pd.DataFrame) -> None:
+        if self.ttl_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if len(keys):
+                self.handle.registerTimer(int(keys["due"].min()))
+        if len(keys):
+            self.held.update((_stored(open_, _OPEN), _stored(keys, _KEYS)))
+        else:
+            self.held.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        open_, keys = self._state()
+        new = pd.concat(list(rows), ignore_index=True)
+        new["start"] = (new["phase"] == "start").astype(bool)
+        steps = new[_OPEN.names] if not len(open_) else pd.concat([open_, new[_OPEN.names]], ignore_index=True)
+        old, codes = _key_codes(keys, steps)
+        n = int(max(old.max(initial=-1), codes.max(initial=-1))) + 1
+        done, due = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        done[old], due[old] = keys["done"], keys["due"]
+        if self.ttl_ms is not None:
+            timed = new[TIME].notna().to_numpy()
+            last = new[TIME][timed].to_numpy("datetime64[ms]").astype(np.int64) + self.ttl_ms
+            np.maximum.at(due, codes[len(open_):][timed], last)
+        ms, is_start = steps["elapsed_ms"].to_numpy(np.int64), steps["start"].to_numpy(bool)
+        begun, ended = np.flatnonzero(is_start), np.flatnonzero(~is_start)
+        (by, place, starts), (by_end, place_end, ends) = (_ranks(codes[at], ms[at], n) for at in (begun, ended))
+        pairs = np.minimum(starts, ends)
+        begun, ended = begun[by], ended[by_end]
+        paired, paired_end = place < pairs[codes[begun]], place_end < pairs[codes[ended]]
+        first, last = begun[paired], ended[paired_end]
+        found = steps.iloc[last]
+        given = found["duration_ms"].to_numpy(np.float64)
+        took = np.where(np.isnan(given), ms[last] - ms[first], np.nan_to_num(given).astype(np.int64))
+        out = pd.DataFrame({"run_id": found["run_id"].to_numpy(), "agent": found["agent"].to_numpy(),
+                            "occurrence": done[codes[last]] + place_end[paired_end] + 1, "kind": found["kind"].to_numpy(),
+                            "duration_ms": took, "status": found["status"].to_numpy()})[_DURATIONS]
+        rest = np.concatenate([begun[~paired], ended[~paired_end]])
+        named = pd.concat([keys, new], ignore_index=True)[["run_id", "agent"]] if len(keys) else new[["run_id", "agent"]]
+        numbers = np.concatenate([old, codes[len(open_):]])
+        once, at = np.unique(numbers, return_index=True)
+        self._keep(steps.iloc[rest], named.iloc[at].assign(done=(done + pairs)[once], due=due[once]))
+        if len(out):
+            yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """Forget the keys that are due."""
+        open_, keys = self._state()
+        past = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs() + 1)
+        stays = keys["due"].to_numpy(np.int64) >= past
+        of_keys, of_open = _key_codes(keys, open_)
+        self._keep(open_[np.isin(of_open, of_keys[stays])], keys[stays])
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
 
 def live_durations(steps: DataFrame, ts: str | None = None, ttl_hours: float = 2.0, watermark: str = "1 hour") -> DataFrame:
     """ST4: finished pairs of a stream of trace steps, as they close.
 
     With an event time ``ts`` the open steps of a run are forgotten once the watermark is ``ttl_hours`` past its last one.
     """
-    columns = ["run_id", "agent", "phase", "elapsed_ms", F.col("duration_ms").cast("double").alias("duration_ms"), "kind", "status"]
-    return stateful(steps, ["run_id", "agent"], columns, PairSteps(int(ttl_hours * 3600_000) if ts else None), DURATIONS, ts, watermark)
+    bucket = F.pmod(F.xxhash64("run_id", "agent"), F.lit(STEP_BUCKETS)).cast("int").alias("bucket")
+    columns = [bucket, "run_id", "agent", "phase", "elapsed_ms", F.col("duration_ms").cast("double").alias("duration_ms"), "kind", "status"]
+    return stateful(steps, ["bucket"], columns, PairBuckets(int(ttl_hours * 3600_000) if ts else None), DURATIONS, ts, watermark)

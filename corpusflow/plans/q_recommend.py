@@ -11,7 +11,7 @@ from corpusflow.operators import recommend as rc
 from corpusflow.operators import retrieve as vs
 from corpusflow.plans.tables import (PHRASES, supplier_tenants, table, turns, vector_chunks, vector_queries,
                                      vector_tenants, with_)
-from corpusflow.session import cut_lineage
+from corpusflow.session import cut_lineage, stored
 
 
 def _located(spark, sf):
@@ -252,9 +252,9 @@ def rc15_recommend_batch(spark, sf):
     from corpusflow.plans.recommend_batch import Models, recommend_batch
 
     docs = table(spark, sf, "documents")
-    chunks = embed_texts(docs.select(
+    chunks = stored(embed_texts(docs.select(
         F.col("doc_id").cast("string").alias("chunk_id"), F.concat(F.lit("t"), F.col("doc_id") % 10).alias("tenant_id"), F.lit(True).alias("is_active"),
-        F.concat(F.lit("Doc "), "doc_id").alias("title"), F.col("text").alias("content"), F.concat(F.lit("https://d/"), "doc_id").alias("source_url")))
+        F.concat(F.lit("Doc "), "doc_id").alias("title"), F.col("text").alias("content"), F.concat(F.lit("https://d/"), "doc_id").alias("source_url"))), "chunks")
     scope = tm.train_binary_nb(_quality(spark, sf).withColumn("label", F.when(F.col("label") == "good", "in_scope").otherwise("out_of_scope")), "in_scope", "out_of_scope")
     models = Models(language_model(spark, sf), scope=scope)
     return recommend_batch(turns(spark, sf), chunks, vector_tenants(spark, sf).withColumn("has_lift", F.lit(False)), models)[0].select(

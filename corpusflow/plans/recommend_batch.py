@@ -118,7 +118,7 @@ def recommend_batch(turns: DataFrame, chunks: DataFrame, tenants: DataFrame, mod
     sources held back for a "more sources" request, which returns and clears them. ``configured`` is the configured
     number of results, 1 to 20, and goes before ``n``. A question whose best score is too low for a decision goes through
     ``models.relevant`` with its context; what it rejects has no results. All sessions run together; what several
-    branches read is stored once.
+    branches read is stored once. ``chunks`` are read some ten times and should be a stored table, not vectors still to be made.
     """
     if configured is not None:
         number = configured.strip()
@@ -148,7 +148,7 @@ def recommend_batch(turns: DataFrame, chunks: DataFrame, tenants: DataFrame, mod
     full = hits.join(chunks.select("chunk_id", "title", "content", "source_url"), "chunk_id") \
         .withColumn("chunk_id", F.col("chunk_id").cast("string"))
     is_geo = searching.filter("is_geo").select("query_id")
-    extra = ge.backfill(geo.join(is_geo, "query_id", "left_semi"), hits, vectors, chunks, located, n)
+    extra = cut_lineage(ge.backfill(geo.join(is_geo, "query_id", "left_semi"), hits, vectors, chunks, located, n))  # a search that four steps read
     full = full.select(*extra.columns).unionByName(extra)
     recommendations = cut_lineage(rc.recommend(full, tenants, geo, n))
     lists = recommendations.groupBy("query_id").agg(

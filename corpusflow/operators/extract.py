@@ -144,14 +144,14 @@ def derive_tenants(urls: DataFrame, url: str = "url", rendered: bool = False) ->
 
 def feature_hash_embedder(dims: int = 64, seed: int = 7) -> Callable[[list[str]], np.ndarray]:
     """Offline stand-in for an embedding model: signed hashing of lower-cased words, unit length."""
-    import xxhash
+    from xxhash import xxh64_intdigest as digest
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dims), dtype=np.float64)
         for row, text in enumerate(texts):
-            for word in (text or "").lower().split():
-                h = xxhash.xxh64_intdigest(word, seed)
-                out[row, h % dims] += 1.0 if (h >> 32) & 1 else -1.0
+            h = np.array([digest(word, seed) for word in (text or "").lower().split()], dtype=np.uint64)
+            signs = ((h >> np.uint64(32)) & np.uint64(1)).astype(np.float64) * 2 - 1
+            out[row] = np.bincount((h % np.uint64(dims)).astype(np.int64), signs, dims)
         length = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return out / np.where(length > 0, length, 1.0)
 

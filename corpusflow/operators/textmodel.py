@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -210,7 +211,7 @@ def train_nb(labeled: DataFrame, smoothing: float = LANGUAGE_SMOOTHING, label: s
         raise ValueError("training data is empty")
     labels = sorted(docs)
     by_word = tx.word_counts(data, ["label"], "text", F.col("_weight"))
-    grams = gram_rows(by_word, "label", "n")
+    grams = by_word.select("label", "word", F.col("n").cast("double").alias("n")).mapInArrow(_gram_sums(labels), "label string, ngram string, n double")
     wide = grams.groupBy("ngram").agg(*[
         F.sum(F.when(F.col("label") == name, F.col("n"))).alias(f"c{i}") for i, name in enumerate(labels)])
     wide = cut_lineage(wide)
@@ -222,6 +223,83 @@ def train_nb(labeled: DataFrame, smoothing: float = LANGUAGE_SMOOTHING, label: s
                    max(sums["v"], 1), smoothing)
 
 
+def _short_codes(words: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(for each size (word, n-gram as a whole number) of the n-grams of composed words, words with letters over two bytes, left out)."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    letters = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    word = np.repeat(np.arange(len(words)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(letters))
+    wide = np.zeros(len(words), bool)
+    wide[word[letters > 0xFFFF]] = True
+    code, found = np.zeros(len(letters), np.uint64), []
+    for n in range(1, tx.MAX_N + 1):
+        code = code[:len(letters) - n + 1] << np.uint64(16) | letters[n - 1:]
+        if n >= tx.MIN_N:
+            at = np.flatnonzero((left[:len(code)] >= n) & ~wide[word[:len(code)]])
+            found.append((word[at], code[at]))
+    return found, np.flatnonzero(wide)
+
+
+def _gram_of(code: int) -> str:
+    out = ""
+    while code:
+        out, code = chr((code & 0xFFFF) - 1) + out, code >> 16
+    return out
+
+
+def _gram_sums(labels: list[str]) -> Callable:
+    """(label, word, n) -> (label, ngram, n): word features one by one, n-grams summed up over what a task reads."""
+    schema = pa.schema([("label", pa.string()), ("ngram", pa.string()), ("n", pa.float64())])
+
+    def rows(names: list[str], grams: list[str], n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(grams, pa.string()), pa.array(n, pa.float64())], schema=schema)
+
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+        sums = np.concatenate([s for _, s in held])
+        return codes, np.stack([np.bincount(at, sums[:, i], len(codes)) for i in range(len(labels))], axis=1)
+
+    def given(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        codes, sums = summed(held)
+        for i, name in enumerate(labels):
+            some = np.flatnonzero(sums[:, i])
+            for at in range(0, len(some), 65_536):
+                part = some[at:at + 65_536]
+                yield rows([name] * len(part), [_gram_of(c) for c in codes[part].tolist()], sums[part, i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = kept = 0
+        number = {name: i for i, name in enumerate(labels)}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = [unicodedata.normalize("NFC", w) for w in batch.column("word").to_pylist()]
+            names, n = batch.column("label").to_pylist(), batch.column("n").to_numpy(zero_copy_only=False)
+            whole = [i for i, w in enumerate(words) if len(w) <= tx.MAX_WORD_FEATURE]
+            yield rows([names[i] for i in whole], ["w:" + words[i] for i in whole], n[whole])
+            coded, wide = _short_codes(words)
+            for i in wide.tolist():
+                grams = tx.word_features(words[i])[int(len(words[i]) <= tx.MAX_WORD_FEATURE):]
+                yield rows([names[i]] * len(grams), grams, np.full(len(grams), n[i]))
+            of, codes = (np.concatenate(c) for c in zip(*coded))
+            codes, at = np.unique(codes, return_inverse=True)
+            label = np.array([number[x] for x in names])
+            sums = np.bincount(at * len(labels) + label[of], n[of], len(codes) * len(labels)).reshape(-1, len(labels))
+            held.append((codes, sums))
+            waiting += len(codes)
+            if waiting > max(500_000, kept):
+                held = [summed(held)]
+                waiting, kept = 0, len(held[0][0])
+                if kept > 2_000_000:  # other scripts have more n-grams than a task should hold
+                    yield from given(held)
+                    held, kept = [], 0
+        if held:
+            yield from given(held)
+
+    return run
+
+
 class _Grams:
     """Numbers of the n-grams of a model. Short ones of two-byte letters are looked up by a whole number, for many words at once."""
 
@@ -241,28 +319,19 @@ class _Grams:
     def of(self, words: list[str], whole_words: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(features of each word, whether it has a word feature, number of that or -1; word and number of the known n-grams)."""
         words = [unicodedata.normalize("NFC", w) for w in words]
-        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
-        whole = lengths - 2 <= tx.MAX_WORD_FEATURE
+        short = [len(w) <= tx.MAX_WORD_FEATURE for w in words]
         get = whole_words.get
-        number = np.fromiter((get("w:" + w, -1) if ok else -1 for w, ok in zip(words, whole.tolist())), np.int64, len(words))
-        letters = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-        word = np.repeat(np.arange(len(words)), lengths)
-        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(letters))
-        wide = np.zeros(len(words), bool)
-        wide[word[letters > 0xFFFF]] = True
-        counts, found_of, found = whole.astype(np.int64), [], []
-        code = np.zeros(len(letters), np.uint64)
-        for n in range(1, tx.MAX_N + 1):
-            counts += np.maximum(0, lengths - n + 1)
-            code = code[:len(letters) - n + 1] << np.uint64(16) | letters[n - 1:]
-            if n < tx.MIN_N:
-                continue
-            at = np.flatnonzero((left[:len(code)] >= n) & ~wide[word[:len(code)]])
-            places = self.codes.get_indexer(code[at])
+        number = np.fromiter((get("w:" + w, -1) if ok else -1 for w, ok in zip(words, short)), np.int64, len(words))
+        whole, lengths = np.array(short, bool), np.fromiter(map(len, words), np.int64, len(words)) + 2
+        counts = whole + sum(np.maximum(0, lengths - n + 1) for n in range(tx.MIN_N, tx.MAX_N + 1))
+        found_of, found = [], []
+        coded, wide = _short_codes(words)
+        for of, codes in coded:
+            places = self.codes.get_indexer(codes)
             known = places >= 0
-            found_of.append(word[at[known]])
+            found_of.append(of[known])
             found.append(self.numbers[places[known]])
-        for i in np.flatnonzero(wide):
+        for i in wide:
             numbers = [g for g in map(self.index.get, tx.word_features(words[i])[int(whole[i]):]) if g is not None]
             found_of.append(np.full(len(numbers), i))
             found.append(np.array(numbers, np.int64))

@@ -130,17 +130,19 @@ def open_index(spark: SparkSession, path: str) -> VectorIndex:
     return VectorIndex(spark, path, T.StructType.fromJson(json.loads(spark.read.text(f"{path}/_schema").first()[0])))
 
 
-def _searched(index: VectorIndex, read_share: float) -> tuple[pd.DataFrame, float]:
+def _searched(index: VectorIndex, read_share: float, one_table: bool) -> tuple[pd.DataFrame, float]:
     """(lists that a search looks at, rows that a query may read; infinite if there is no bound).
 
-    Without a bound one table is enough, since each table holds every row: the one whose lists are the narrowest.
+    Without a bound one table is enough, since each table holds every row: with ``one_table`` the one whose lists are the narrowest.
     """
     known = index.lists()
     tables = max(1, known["tbl"].nunique())
     budget = read_share * known["n"].sum() / tables
     if len(known) and read_share >= tables:
-        wide = (known["n"] * np.arccos(known["least"].clip(-1, 1))).groupby(known["tbl"]).sum()
-        known, budget = known[known["tbl"] == wide.idxmin()].reset_index(drop=True), np.inf
+        budget = np.inf
+        if one_table:
+            wide = (known["n"] * np.arccos(known["least"].clip(-1, 1))).groupby(known["tbl"]).sum()
+            known = known[known["tbl"] == wide.idxmin()].reset_index(drop=True)
     return known, budget
 
 
@@ -180,13 +182,14 @@ def _nearest_within(cosine: np.ndarray, may: np.ndarray, n: np.ndarray, budget:
     return chosen
 
 
-def probes(queries: DataFrame, index: VectorIndex, min_score: float, read_share: float = READ_SHARE) -> DataFrame:
+def probes(queries: DataFrame, index: VectorIndex, min_score: float, read_share: float = READ_SHARE, one_table: bool = False) -> DataFrame:
     """query_id, embedding, lists (a bit for each list, see ``_bits``), parts and n_read of each query with a vector.
 
     A list is left out if no row of it can reach ``min_score``: its rows lie within a known angle of the centre. Of the
-    others, of all tables, the nearest are searched that hold the share of the rows together, and at least one.
+    others, of all tables, the nearest are searched that hold the share of the rows together, and at least one. If the share
+    leaves none out, ``one_table`` takes the lists of one table, which hold every row.
     """
-    known, budget = _searched(index, read_share)
+    known, budget = _searched(index, read_share, one_table)
     of_table = [c.index.to_numpy() for _, c in known.groupby("tbl")]
     # the rounding of scores and of 32-bit centres is allowed for
     reach = np.arccos(np.clip(known["least"].to_numpy(np.float64), -1, 1)) + np.arccos(np.clip(min_score - 1e-4, -1, 1))
@@ -229,8 +232,8 @@ def search_index(queries: DataFrame, index: VectorIndex, k: int = 5, min_score:
     a row counts for the queries of its list alone. With a bound on the rows read, queries go to the tasks in bounded slices, of
     several slices each with the lists of one table; without, many queries stay in blocks and the rows pass by.
     """
-    asked = cut_lineage(probes(queries, index, min_score, read_share))  # read for the parts, for its size and in slices
-    known, budget = _searched(index, read_share)
+    asked = cut_lineage(probes(queries, index, min_score, read_share, True))  # read for the parts, for its size and in slices
+    known, budget = _searched(index, read_share, True)
     numbers, (bits, of_table) = (known["tbl"] * (1 << 16) + known["list"]).to_numpy(), _bits(known)
     parts = [r[0] for r in asked.select(F.explode("parts")).distinct().collect()]  # at most as many as there are folders
     rows = index.rows().where(F.col("part").isin(parts)).select("chunk_id", (F.col("tbl") * (1 << 16) + F.col("list")).alias("grp"), "embedding", "tbl")

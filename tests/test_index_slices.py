@@ -13,9 +13,12 @@ def test_without_a_bound_one_table_of_the_index_is_searched(sides, tmp_path, mon
     queries, chunks = sides
     index = ivf.build_index(chunks, str(tmp_path / "index"), tables=3)
     # each table holds every row: reading more than one of them compares rows again
-    assert 0 < ivf.share_read(queries, index, -1.0, 3.0).first()["share"] <= 1
+    asked = []
+    probes = ivf.probes
+    monkeypatch.setattr(ivf, "probes", lambda *given: asked.append(probes(*given)) or asked[-1])
     search = lambda share: ivf.search_index(queries, index, 4, 0.1, share)
     sliced, streamed = both(monkeypatch, lambda: search(3.0))
+    assert [a.agg(F.max("n_read")).first()[0] <= chunks.count() for a in asked] == [True, True]
     whole = queries.filter("embedding IS NOT NULL").alias("q").crossJoin(chunks.filter("embedding IS NOT NULL").alias("c")).select(
         "query_id", "chunk_id", F.round(retrieve.cosine(F.col("q.embedding"), F.col("c.embedding")), 9).alias("score")).filter("score >= 0.1").distinct()
     place = F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)")

@@ -160,11 +160,9 @@ class NBModel:
         return self.vocabulary * (48 + 9 * len(self.labels)) <= BROADCAST_BYTES
 
     def local(self) -> Broadcast:
-        """n-grams and their log-likelihoods (NaN = none) for the workers, fetched once; only for a small model."""
+        """The likelihoods for the workers, fetched once as an Arrow table (the driver has no object for each n-gram); only for a small model."""
         if self._held is None:
-            rows = self.likelihoods().toPandas()
-            matrix = rows.drop(columns="ngram").to_numpy(dtype=np.float64)
-            self._held = self.counts.sparkSession.sparkContext.broadcast((rows["ngram"].tolist(), matrix))
+            self._held = self.counts.sparkSession.sparkContext.broadcast(self.likelihoods().toArrow())
         return self._held
 
     def local_short(self) -> Broadcast | None:
@@ -173,9 +171,7 @@ class NBModel:
             short = self.likelihoods().filter(~F.startswith("ngram", F.lit("w:")))
             if short.count() * (48 + 9 * len(self.labels)) > BROADCAST_BYTES:
                 return None
-            rows = short.toPandas()
-            matrix = rows.drop(columns="ngram").to_numpy(dtype=np.float64)
-            self._held_short = self.counts.sparkSession.sparkContext.broadcast((rows["ngram"].tolist(), matrix))
+            self._held_short = self.counts.sparkSession.sparkContext.broadcast(short.toArrow())
         return self._held_short
 
     def likelihood_table(self) -> DataFrame:
@@ -338,6 +334,12 @@ class _Grams:
         return counts, whole, number, np.concatenate(found_of), np.concatenate(found)
 
 
+def _parts(likelihoods: pa.Table) -> tuple[list[str], np.ndarray]:
+    """(n-grams, their log-likelihoods, NaN = none)."""
+    matrix = [likelihoods.column(name).to_numpy().astype(np.float64) for name in likelihoods.column_names if name != "ngram"]
+    return likelihoods.column("ngram").to_pylist(), np.column_stack(matrix)
+
+
 class _WordScorer:
     """Per word: features, word features and, per label, gain, seen features and the known word feature; kept while met again.
 
@@ -424,7 +426,7 @@ def score_column(text: Column, model: NBModel) -> Column:
 
     @F.pandas_udf("tokens long, word_tokens long, scores array<double>, seen array<long>, word_seen array<long>")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = _WordScorer(*held.value, sums.unseen)
+        scorer = _WordScorer(*_parts(held.value), sums.unseen)
         for part in parts:
             yield sums.of(scorer, part)
 
@@ -472,16 +474,17 @@ def _block_grams(batches: Iterator[pd.DataFrame], of: Callable | None = None) ->
         yield features()
 
 
-_SHORT: dict[int, tuple[_Grams, np.ndarray, list]] = {}
+_SHORT: dict[int, tuple[_Grams, np.ndarray, pa.Table]] = {}
 
 
 def _short_grams(short: Broadcast) -> tuple[_Grams, np.ndarray]:
     """The n-grams of a broadcast, made ready once in a worker; the last ones stay."""
-    grams, likelihoods = short.value
-    if id(grams) not in _SHORT:
+    held = short.value
+    if id(held) not in _SHORT:
+        grams, likelihoods = _parts(held)
         _SHORT.clear()
-        _SHORT[id(grams)] = _Grams(grams), likelihoods, grams
-    return _SHORT[id(grams)][:2]
+        _SHORT[id(held)] = _Grams(grams), likelihoods, held
+    return _SHORT[id(held)][:2]
 
 
 def score_nb_shuffled(df: DataFrame, model: NBModel, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.defaults import CYRILLIC_LANGUAGES
 from corpusflow.functions import text as tx
-from corpusflow.session import cut_lineage, shared_folder
+from corpusflow.session import cut_lineage, shared_folder, stored
 
 # Smoothing and decision thresholds.
 LANGUAGE_SMOOTHING = 0.45
@@ -503,7 +503,8 @@ def score_nb_shuffled(df: DataFrame, model: NBModel, key: str = "doc_id", text:
     texts = spark.read.schema(schema).parquet(folder)
     short = model.local_short()
     asked = texts.select("task", "block", "text").mapInPandas(_block_words if short else _block_grams, "task int, block long, ngram string")
-    given = asked.join(model.likelihoods(), "ngram")
+    # the likelihoods are 32-bit numbers, which move as such
+    given = asked.join(model.likelihoods().select("ngram", *[F.col(f"p{i}").cast("float") for i in range(k)]), "ngram")
     sums = _Sums(model)
 
     def score(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -535,7 +536,7 @@ def with_scores(df: DataFrame, model: NBModel, text: str) -> DataFrame:
     if model.is_small():
         has = F.col("_s.tokens") > 0
         return df.withColumn("_s", score_column(F.col(text), model)).select("*", *[F.when(has, F.col(f"_s.{c}")).alias(c) for c in _SCORE]).drop("_s")
-    numbered = cut_lineage(df.withColumn("_row_number", F.monotonically_increasing_id()))
+    numbered = stored(df.withColumn("_row_number", F.monotonically_increasing_id()), "numbered")
     return numbered.join(score_nb_shuffled(numbered, model, "_row_number", text), "_row_number", "left").drop("_row_number")
 
 

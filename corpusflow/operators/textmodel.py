@@ -33,8 +33,8 @@ MAX_SHARED_LETTERS = 96
 GREETING_SINGLE = 0.97
 GREETING_FIRST = 0.78
 
-#: Largest model that workers hold; a worker needs about four times as much.
-BROADCAST_BYTES = 96 * 1024 * 1024
+#: Largest model that workers hold, or n-grams of one without its word features; a worker needs some four to eight times as much.
+BROADCAST_BYTES = 32 * 1024 * 1024
 #: Characters of the texts that meet the words of a larger model together.
 BLOCK_CHARS = 8 * 1024 * 1024
 
